@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Zone abbreviations and their offset in minutes.
@@ -33,30 +33,29 @@ MONTHS = {
 }
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?(?:\s*([AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
-_ZONE = r"(?:\s*([Zz]|[+\-−]\d{2}(?::?\d{2})?(?:\[[A-Za-z0-9_/+\-]+\])?|(?:UTC|GMT)[+\-−]\d{1,2}(?::?\d{2})?|\(?[A-Za-z]{2,5}\)?|[A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)+))?"
+_ZONE = r"(?:\s*(?:([+\-−])(\d{2}):?(\d{2})?(?:\[[A-Za-z0-9_/+\-]+\])?|([A-Za-z]{1,5}|[A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)+)))?"
 _GAP = r"(?:\s*[Tt]\s*|,?\s+(?:at\s+|um\s+|à\s+|a\s+las\s+)?)"
 _DOW = r"(?:\p{L}{2,10}\.?,?\s+)?"
 _MON = r"(\p{L}{3,10})\.?"
 
-# name, pattern, where year, month, day, hour, minute, second, fraction, half, zone stand
+# name, pattern, where year, month, day, hour, minute, second, fraction, half of day, and sign, hours, minutes, name of the zone stand
 CASCADE: list[tuple[str, str, str]] = [
-    ("iso", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_GAP}{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
-    ("compact", rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,12}}))?)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    ("numeric", rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|?$1|?$2|$4|$5|$6|$7|$8|$9"),
-    ("day_name", rf"^{_DOW}(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s\-]+(?:de\s+)?{_MON}[\s,\-]+(?:de\s+)?(\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
-    ("name_day", rf"^{_DOW}{_MON}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-    ("ctime", rf"^\p{{L}}{{3}},?\s+{_MON}\s+(\d{{1,2}})\s+{_TIME}{_ZONE}\s+(\d{{4}})$", "$9|$1|$2|$3|$4|$5|$6|$7|$8"),
+    ("iso", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_GAP}{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
+    ("compact", rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,12}}))?)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8|$9|$10|$11"),
+    ("numeric", rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|?$1|?$2|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
+    ("day_name", rf"^{_DOW}(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s\-]+(?:de\s+)?{_MON}[\s,\-]+(?:de\s+)?(\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
+    ("name_day", rf"^{_DOW}{_MON}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_GAP}{_TIME}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
+    ("ctime", rf"^\p{{L}}{{3}},?\s+{_MON}\s+(\d{{1,2}})\s+{_TIME}{_ZONE}\s+(\d{{4}})$", "$12|$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11"),
 ]
 # digits of a bare number: seconds, milliseconds, microseconds or nanoseconds since 1970
 EPOCH = r"^(\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})(?:\.(\d{1,12}))?$"
 
 
-def _month(part: Column) -> Column:
-    names = {n: str(m) for m, all_ in MONTHS.items() for n in all_}
-    low = F.lower(part)
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    named = F.coalesce(F.try_element_at(table, F.substring(low, 1, 4)), F.try_element_at(table, F.substring(low, 1, 3)))
-    return F.when(part.rlike(r"^\d"), part.try_cast("int")).otherwise(named.try_cast("int"))
+def _zones(df: DataFrame) -> DataFrame:
+    """(zone_key, zone_name, zone_minutes): IANA names and abbreviations, about 600 rows."""
+    rows = [(z.lower(), z, None) for z in available_timezones() if "/" in z and not z.startswith("posix/")]
+    rows += [(a.lower(), "UTC", m) for a, m in ABBREVIATIONS.items()]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "zone_key string, zone_name string, zone_minutes int"))
 
 
 def with_utc_millis(df: DataFrame, value: str, zone: str, locale: str, out: str = "utc_ms") -> DataFrame:
@@ -66,68 +65,55 @@ def with_utc_millis(df: DataFrame, value: str, zone: str, locale: str, out: str
     the one that settles whether day or month comes first in all-numeric dates (month
     for en-US and en-PH, else day). Null, blank, date-only, time-only and impossible
     values give null, as does a zone that doesn't exist; digits beyond milliseconds are
-    cut off. Rows, their order and other columns stay as they are.
+    cut off. Rows and other columns stay as they are; columns that begin with ``__`` are
+    reserved.
 
-    The parts are columns of projections of their own, so that Spark doesn't run the
-    patterns once per part.
+    Each step is a projection of its own, so that Spark runs a pattern once per row, and
+    zones are looked up in a broadcast table of fixed size.
     """
-    text = F.trim(F.regexp_replace(F.col(value), r"[\s\u00a0\u2007\u2009\u202f]+", " "))
-    step = df.withColumn("__text", text)
+    step = df.withColumn("__text", F.trim(F.regexp_replace(value, r"[\s\u00a0\u2007\u2009\u202f]+", " ")))
     text = F.col("__text")
     parsed = F.when(text.rlike(EPOCH), F.concat(F.lit("e|"), F.regexp_replace(text, EPOCH, "$1|$2")))
     for _, pattern, order in CASCADE:
         parsed = parsed.when(text.rlike(pattern), F.regexp_replace(text, pattern, order))
-    step = step.withColumn("__parts", F.split(parsed, r"\|"))
-    part = lambda i: F.element_at("__parts", i)
-    is_epoch = part(1) == "e"
+    step = step.withColumn("__parts", F.split(parsed, r"\|")).withColumn("__n", F.size("__parts"))
+    part = lambda i: F.try_element_at("__parts", F.lit(i))
+    stated = F.col("__n") == 12
     swap = part(2).startswith("?") & ~F.coalesce(F.col(locale).isin("en-US", "en-PH"), F.lit(False))
-    month = F.ltrim(F.when(swap, part(3)).otherwise(part(2)), F.lit("?"))
-    day = F.ltrim(F.when(swap, part(2)).otherwise(part(3)), F.lit("?"))
-    raw_hour = part(4).try_cast("int")
-    hour = (
-        F.when(part(8) == "", raw_hour)
-        .when((raw_hour < 1) | (raw_hour > 12), F.lit(None))
-        .otherwise(F.pmod(raw_hour, F.lit(12)) + F.when(F.lower(part(8)) == "p", 12).otherwise(0))
-    )
-    said = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(9), "−", "-"), r"[()]|\[.*$", ""), r"^(?i)(?:UTC|GMT)(?=[+\-])", "")
-    seconds = F.concat(F.when(part(6) == "", F.lit("0")).otherwise(part(6)), F.lit("."), F.substring(F.rpad(part(7), 3, "0"), 1, 3))
+    named = F.when(stated & (part(12) != ""), F.lower(part(12))).when(stated & (part(9) == ""), F.lower(F.col(zone)))
     step = step.withColumns(
         {
-            "__month": F.when(is_epoch, None).otherwise(_month(month)),
-            "__day": F.when(is_epoch, None).otherwise(day.try_cast("int")),
-            "__hour": F.when(is_epoch, None).otherwise(hour),
-            "__second": F.when(is_epoch, None).otherwise(seconds.try_cast("decimal(16,6)")),
-            "__said": F.when(is_epoch, None).otherwise(said),
+            "__month": F.lower(F.ltrim(F.when(swap, part(3)).otherwise(part(2)), F.lit("?"))),
+            "__day": F.ltrim(F.when(swap, part(2)).otherwise(part(3)), F.lit("?")).try_cast("int"),
+            "__hour": part(4).try_cast("int"),
+            "__half": F.lower(part(8)),
+            "__offset": F.when(part(9) != "", F.when(part(9) == "+", 1).otherwise(-1) * (part(10).try_cast("int") * 60 + F.coalesce(part(11).try_cast("int"), F.lit(0)))),
+            "zone_key": F.when(stated & (part(9) != ""), F.lit("utc")).otherwise(named),
         }
     )
-    said = F.col("__said")
-    digits = F.regexp_replace(F.substring(said, 2, 9), ":", "")
-    digits = F.when(F.length(digits) == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
-    offset = F.when(F.substring(said, 1, 1) == "-", -1).otherwise(1) * (
-        F.substring(digits, 1, 2).try_cast("int") * 60
-        + F.when(F.length(digits) >= 4, F.substring(digits, 3, 2).try_cast("int")).otherwise(0)
-    )
-    abbreviations = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    step = step.withColumn(
-        "__minutes",
-        F.when(said == "", None).when(said.rlike(r"^[+\-]\d"), offset).otherwise(F.try_element_at(abbreviations, F.upper(said))),
+    months = F.create_map(*[F.lit(x) for m, names in MONTHS.items() for n in names for x in (n, m)])
+    month, half, hour = F.col("__month"), F.col("__half"), F.col("__hour")
+    head = F.substring(month, 1, F.when(month.startswith("jui"), 4).otherwise(3))
+    step = step.join(_zones(df), "zone_key", "left").withColumns(
+        {
+            "__month": F.when(month.rlike(r"^\d"), month.try_cast("int")).otherwise(F.try_element_at(months, head)),
+            "__hour": F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)),
+            "__second": F.concat(F.when(part(6) == "", F.lit("0")).otherwise(part(6)), F.lit("."), F.substring(F.rpad(part(7), 3, "0"), 1, 3)).try_cast(
+                "decimal(16,6)"
+            ),
+        }
     )
-    minutes = F.col("__minutes")
-    known = sorted(z for z in available_timezones() if "/" in z)
-    named = F.when(said == "", F.col(zone)).when(minutes.isNotNull(), F.lit("UTC")).when(said.isin(known), said)
-    named = F.when(named.isin([*known, "UTC"]), named)
     instant = F.try_make_timestamp(
-        part(1).try_cast("int"), F.col("__month"), F.col("__day"), F.col("__hour"), part(5).try_cast("int"), F.col("__second"), named
+        part(1).try_cast("int"), F.col("__month"), F.col("__day"), F.col("__hour"), part(5).try_cast("int"), F.col("__second"), F.col("zone_name")
     )
-    shifted = F.unix_millis(instant) - F.coalesce(minutes, F.lit(0)).cast("bigint") * 60000
-    number, after = part(2), F.substring(F.rpad(part(3), 3, "0"), 1, 3)
-    whole = number.try_cast("bigint")
+    shift = F.coalesce("__offset", "zone_minutes", F.lit(0)).cast("bigint") * 60000
+    whole, after = part(2).try_cast("bigint"), F.substring(F.rpad(part(3), 3, "0"), 1, 3).try_cast("bigint")
+    length = F.length(part(2))
     epoch = (
-        F.when(F.length(number) <= 10, whole * 1000 + after.try_cast("bigint"))
-        .when(F.length(number) <= 13, whole)
-        .when(F.length(number) <= 16, F.call_function("div", whole, F.lit(1000)))
+        F.when(length <= 10, whole * 1000 + after)
+        .when(length <= 13, whole)
+        .when(length <= 16, F.call_function("div", whole, F.lit(1000)))
         .otherwise(F.call_function("div", whole, F.lit(1000000)))
     )
-    return step.withColumn(out, F.when(is_epoch, epoch).otherwise(shifted).cast("bigint")).drop(
-        "__text", "__parts", "__month", "__day", "__hour", "__second", "__said", "__minutes"
-    )
+    step = step.withColumn(out, F.when(F.col("__n") == 3, epoch).when(stated, F.unix_millis(instant) - shift))
+    return step.select(*[c for c in df.columns if c != out], out)

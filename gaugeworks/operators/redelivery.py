@@ -18,7 +18,7 @@ import json
 import unicodedata
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A store has at most so many partitions; their names are held by the driver.
@@ -37,30 +37,28 @@ def _accents() -> tuple[str, str, str]:
     return "".join(letters), "".join(bases), "".join(marks)
 
 
-def trace_key(trace: Column) -> Column:
-    """A trace id however it is written: upper or lower case, with or without dashes,
-    braces, blanks, ``urn:uuid:`` or ``trace:`` before it. Null if nothing is left."""
-    bare = F.regexp_replace(F.lower(trace), r"[\s{}()\"'​﻿ ]", "")
-    key = F.regexp_replace(bare, r"^(?:urn:|uuid:|trace:|trace[_-]?id[:=]|id:)+|-", "")
-    return F.when(key != "", key)
+def with_message_key(df: DataFrame, trace: str, name: str, out: str) -> DataFrame:
+    """``df`` with one identifier of each message; null if the trace or the file is missing.
 
-
-def file_key(name: Column) -> Column:
-    """A file name without its folder, however it is written: percent-encoded or not,
-    with composed or decomposed accents, in any case, with blanks around it."""
-    decoded = F.when(name.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.call_function("try_url_decode", F.regexp_replace(name, r"\+", "%2B")), name)).otherwise(name)
-    last = F.lower(F.regexp_replace(decoded, r"^.*[/\\]", ""))
-    last = F.trim(F.regexp_replace(last, r"[\s ​﻿]+", " "))
+    A trace id counts however it is written: upper or lower case, with or without dashes,
+    braces, blanks, ``urn:uuid:`` or ``trace:`` before it. A file name counts without its
+    folder, percent-encoded or not, with composed or decomposed accents, in any case, with
+    blanks around it. Each step is a projection of its own, so that no pattern runs twice.
+    """
+    bare = F.regexp_replace(F.lower(trace), r"^[\s{(\"'\u200b\ufeff\u00a0]*(?:urn:|uuid:|trace:|trace[_-]?id[:=]|id:)*|[\s{}()\"'\u200b\ufeff\u00a0\-]", "")
+    encoded = F.col(name).contains("%") & F.col(name).rlike("%[0-9A-Fa-f]{2}")
+    decoded = F.when(encoded, F.coalesce(F.call_function("try_url_decode", F.regexp_replace(name, r"\+", "%2B")), F.col(name))).otherwise(F.col(name))
+    step = df.withColumns({"__trace": bare, "__file": F.lower(decoded)})
+    last = F.element_at(F.split("__file", r"[/\\]"), -1)
+    step = step.withColumn("__file", F.when(F.col("__file").rlike(r"[/\\]"), last).otherwise(F.col("__file")))
+    step = step.withColumn("__file", F.trim(F.regexp_replace("__file", r"[\s\u00a0\u200b\ufeff]+", " ")))
     letters, bases, marks = _accents()
+    last = F.col("__file")
     plain = F.regexp_replace(F.translate(last, letters, bases), r"\p{M}", "")
     signs = F.regexp_replace(F.translate(last, letters, marks), r"\P{M}", "")
-    key = F.when(last.rlike(r"[^\x00-\x7f]"), F.concat(plain, F.lit("|"), signs)).otherwise(last)
-    return F.when(last != "", key)
-
-
-def message_key(trace: Column, name: Column) -> Column:
-    """One identifier of a message; null if the trace or the file is missing."""
-    return F.concat(trace_key(trace), F.lit("/"), file_key(name))
+    step = step.withColumn("__file", F.when(F.octet_length("__file") > F.length("__file"), F.concat(plain, F.lit("|"), signs)).otherwise(last))
+    key = F.when((F.col("__trace") != "") & (F.col("__file") != ""), F.concat("__trace", F.lit("/"), "__file"))
+    return step.withColumn(out, key).drop("__trace", "__file")
 
 
 def one_copy(df: DataFrame, key: str, received: str, row_id: str) -> DataFrame:

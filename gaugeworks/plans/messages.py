@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.redelivery import MessageStore, message_key
+from gaugeworks.operators.redelivery import MessageStore, with_message_key
 from gaugeworks.runtime import fresh_path, table
 
 
@@ -16,7 +16,7 @@ def stored_messages(spark: SparkSession, base: str) -> tuple[MessageStore, DataF
     history, the second those after it (and rows without a number) as incoming.
     """
     rows = table(spark, base, "sorter_rows")
-    keyed = rows.withColumn("message", message_key(F.col("trace_id"), F.col("filename")))
+    keyed = with_message_key(rows, "trace_id", "filename", "message")
     store = MessageStore(spark, fresh_path(spark, "messages"), "message", "received_at", "row_id")
     low, high = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
     cut = None if low is None else (low + high) // 2

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.plans import messages, nested, timestamps
+from gaugeworks.plans import drifting, messages, nested, timestamps, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": units.p1_found,
         "p3_found": timestamps.p3_found,
+        "p5_found": drifting.p5_found,
+        "p5_table": drifting.p5_table,
+        "p5_change_counts": drifting.p5_change_counts,
         "p6_found": nested.p6_found,
         "p6_nodes": nested.p6_nodes,
         "p6_evidence_of_failures": nested.p6_evidence_of_failures,

@@ -12,9 +12,12 @@ SITES_LIMIT = 100_000
 
 
 def _site_columns(spark: SparkSession, base: str) -> DataFrame:
-    sites = table(spark, base, "sites").select("site_id", "tz_name", "locale")
-    bounded_rows(sites.select("site_id"), SITES_LIMIT, "sites")
-    return F.broadcast(sites.dropDuplicates(["site_id"]))
+    """Zone and locale of each site; of a repeated site the first by name."""
+    rows = bounded_rows(table(spark, base, "sites").select("site_id", "tz_name", "locale"), SITES_LIMIT, "sites")
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: (str(r.tz_name), str(r.locale))):
+        first.setdefault(r.site_id, (r.site_id, r.tz_name, r.locale))
+    return F.broadcast(spark.createDataFrame(list(first.values()), "site_id int, tz_name string, locale string"))
 
 
 def instants(spark: SparkSession, base: str) -> DataFrame:
