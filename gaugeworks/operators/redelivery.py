@@ -18,7 +18,7 @@ import json
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A store has at most so many partitions; their names are held by the driver.
@@ -37,28 +37,41 @@ def _accents() -> tuple[str, str, str]:
     return "".join(letters), "".join(bases), "".join(marks)
 
 
+def _bare_trace(trace: Column) -> Column:
+    return F.substring_index(F.translate(F.lower(trace), "-{}()\"' \t\r\n\u00a0\u200b\ufeff", ""), ":", -1)
+
+
+def _bare_file(name: Column) -> Column:
+    encoded = F.when(name.contains("%"), F.coalesce(F.call_function("try_url_decode", F.replace(name, F.lit("+"), F.lit("%2B"))), name)).otherwise(name)
+    last = F.substring_index(F.substring_index(encoded, "/", -1), "\\", -1)
+    return F.lower(F.trim(last, F.lit(" \t\r\n\u00a0\u200b\ufeff")))
+
+
 def with_message_key(df: DataFrame, trace: str, name: str, out: str) -> DataFrame:
-    """``df`` with one identifier of each message; null if the trace or the file is missing.
+    """The messages of ``df``, with one identifier of each.
 
     A trace id counts however it is written: upper or lower case, with or without dashes,
     braces, blanks, ``urn:uuid:`` or ``trace:`` before it. A file name counts without its
     folder, percent-encoded or not, with composed or decomposed accents, in any case, with
-    blanks around it. Each step is a projection of its own, so that no pattern runs twice.
+    blanks around it. Rows that lack either are no messages and are left out.
+
+    The key comes out of a generator, so that a filter on it isn't pushed below and each
+    row's key is made once; names in ASCII, nearly all, need no pattern.
     """
-    bare = F.regexp_replace(F.lower(trace), r"^[\s{(\"'\u200b\ufeff\u00a0]*(?:urn:|uuid:|trace:|trace[_-]?id[:=]|id:)*|[\s{}()\"'\u200b\ufeff\u00a0\-]", "")
-    encoded = F.col(name).contains("%") & F.col(name).rlike("%[0-9A-Fa-f]{2}")
-    decoded = F.when(encoded, F.coalesce(F.call_function("try_url_decode", F.regexp_replace(name, r"\+", "%2B")), F.col(name))).otherwise(F.col(name))
-    step = df.withColumns({"__trace": bare, "__file": F.lower(decoded)})
-    last = F.element_at(F.split("__file", r"[/\\]"), -1)
-    step = step.withColumn("__file", F.when(F.col("__file").rlike(r"[/\\]"), last).otherwise(F.col("__file")))
-    step = step.withColumn("__file", F.trim(F.regexp_replace("__file", r"[\s\u00a0\u200b\ufeff]+", " ")))
+    step = df.where(F.col(trace).isNotNull() & F.col(name).isNotNull())
+    step = step.withColumns({"__trace": _bare_trace(F.col(trace)), "__file": _bare_file(F.col(name))})
     letters, bases, marks = _accents()
     last = F.col("__file")
     plain = F.regexp_replace(F.translate(last, letters, bases), r"\p{M}", "")
     signs = F.regexp_replace(F.translate(last, letters, marks), r"\P{M}", "")
-    step = step.withColumn("__file", F.when(F.octet_length("__file") > F.length("__file"), F.concat(plain, F.lit("|"), signs)).otherwise(last))
-    key = F.when((F.col("__trace") != "") & (F.col("__file") != ""), F.concat("__trace", F.lit("/"), "__file"))
-    return step.withColumn(out, key).drop("__trace", "__file")
+    file = F.when(F.octet_length(last) > F.length(last), F.concat(plain, F.lit("|"), signs)).otherwise(last)
+    key = F.when((F.col("__trace") != "") & (last != ""), F.array(F.concat("__trace", F.lit("/"), file)))
+    return step.select(*df.columns, F.explode(key).alias(out))
+
+
+def is_message(trace: Column, name: Column) -> Column:
+    """Whether a row has both identifiers."""
+    return F.coalesce((_bare_trace(trace) != "") & (_bare_file(name) != ""), F.lit(False))
 
 
 def one_copy(df: DataFrame, key: str, received: str, row_id: str) -> DataFrame:
@@ -71,8 +84,8 @@ def one_copy(df: DataFrame, key: str, received: str, row_id: str) -> DataFrame:
 class MessageStore:
     """One copy of each message below ``path``, a folder that all executors share.
 
-    Columns of a batch that begin with ``__`` belong to the store. Rows without a key
-    are no messages and aren't stored. An empty batch changes nothing.
+    Columns of a batch that begin with ``__`` belong to the store. Every row of a batch must
+    have a key, as :func:`with_message_key` leaves it. An empty batch changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, received: str, row_id: str):
@@ -126,7 +139,7 @@ class MessageStore:
     def merge(self, batch: DataFrame) -> set[str]:
         """Merge a batch; returns the partitions that were written anew."""
         month = F.coalesce(F.date_format(self.received, "yyyy-MM"), F.lit("none"))
-        keyed = batch.where(F.col(self.key).isNotNull()).withColumns({"__hash": F.xxhash64(self.key), "__part": month})
+        keyed = batch.withColumns({"__hash": F.xxhash64(self.key), "__part": month})
         version, folders = self.manifest()
         rows, touched = keyed, set()
         if folders:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.redelivery import MessageStore, with_message_key
+from gaugeworks.operators.redelivery import MessageStore, is_message, with_message_key
 from gaugeworks.runtime import fresh_path, table
 
 
@@ -35,7 +35,7 @@ def p7_kept(spark: SparkSession, base: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """The rows that aren't kept, although they are messages."""
-    store, keyed = stored_messages(spark, base)
-    messages = keyed.where(F.col("message").isNotNull()).select("row_id")
+    store, _ = stored_messages(spark, base)
+    messages = table(spark, base, "sorter_rows").where(is_message(F.col("trace_id"), F.col("filename"))).select("row_id")
     kept = store.read()
     return messages if kept is None else messages.join(kept.select("row_id"), "row_id", "left_anti")
