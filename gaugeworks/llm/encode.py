@@ -11,6 +11,7 @@ once per worker, and their ids are concatenated.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,14 +32,6 @@ MEMO, MEMO_BYTES = 300_000, 64
 OUT_BYTES = 4_000_000
 
 
-def load_ranks(spark: SparkSession, path: str):
-    """The rank file as a broadcast; its size is checked."""
-    data = Path(path).read_bytes()
-    if len(data) > RANKS_LIMIT:
-        raise ValueError(f"{path} is too large for a vocabulary")
-    return spark.sparkContext.broadcast(data)
-
-
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
@@ -102,15 +95,23 @@ class Encoder:
         return out
 
 
-_LOADED: dict[int, Encoder] = {}
+_LOADED: dict[str, Encoder] = {}
+
+
+def shared_encoder(spark: SparkSession, path: str):
+    """A function that gives the encoder of a rank file, built once per worker. The file is
+    broadcast after a check of its size."""
+    data = Path(path).read_bytes()
+    if len(data) > RANKS_LIMIT:
+        raise ValueError(f"{path} is too large for a vocabulary")
+    key, shared = hashlib.sha1(data).hexdigest(), spark.sparkContext.broadcast(data)
 
+    def load() -> Encoder:
+        if key not in _LOADED:
+            _LOADED[key] = Encoder(shared.value)
+        return _LOADED[key]
 
-def encoder(ranks) -> Encoder:
-    """The encoder of a broadcast, built once per worker."""
-    key = ranks.id if hasattr(ranks, "id") else id(ranks)
-    if key not in _LOADED:
-        _LOADED[key] = Encoder(ranks.value)
-    return _LOADED[key]
+    return load
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -133,11 +134,11 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) ->
     Null, and empty text, give an empty list. Blank and very long texts are encoded whole;
     the strings of special tokens are ordinary text. Repeated rows are encoded again.
     """
-    ranks = load_ranks(df.sparkSession, tokenizer)
+    load = shared_encoder(df.sparkSession, tokenizer)
     source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = load()
         for batch in batches:
             for start, stop, data, offsets in _pieces(batch.column(1)):
                 found = enc.encode_many(data, offsets)
@@ -152,11 +153,11 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) ->
 
 def count_tokens(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(row_id, n_tokens) of each row, counted as by :func:`encode`."""
-    ranks = load_ranks(df.sparkSession, tokenizer)
+    load = shared_encoder(df.sparkSession, tokenizer)
     source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = load()
         for batch in batches:
             n = [len(x) for _, _, data, offsets in _pieces(batch.column(1)) for x in enc.encode_many(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["rec", "n_tokens"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.canonical import map_values
 from gaugeworks.llm.encode import count_tokens, encode
 from gaugeworks.llm.pack import pack
+from gaugeworks.llm.pii import find_spans, redact
 from gaugeworks.llm.topn import top_n
 from gaugeworks.runtime import table
 
@@ -54,6 +55,15 @@ def p9_use(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return find_spans(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with typed placeholders for personal data."""
+    return redact(table(spark, base, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -62,6 +72,8 @@ def queries() -> dict:
         "p8_ids": p8_ids,
         "p9_packed": p9_packed,
         "p9_use": p9_use,
+        "p10_found": p10_found,
+        "p10_redacted": p10_redacted,
     }
 
 
