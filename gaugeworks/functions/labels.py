@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import folded, stripped
+from gaugeworks.functions.text import folded, let, stripped
 from gaugeworks.taxonomy import (
     CONSIDERATION_ALIASES,
     CONSIDERATIONS,
@@ -34,27 +34,28 @@ def normalize_label(value: Column, valid: dict[str, str] | None = None) -> Colum
     """A class from a model's answer: the doc_type of a JSON object, an exact class, the
     first class whose pattern occurs, else the text without quotes and marks; null is ''."""
     valid = valid or class_patterns()
-    text = F.lower(stripped(F.coalesce(value, F.lit(""))))
-    told = F.when(text.startswith("{") & text.endswith("}"), F.get_json_object(text, "$.doc_type"))
-    text = F.coalesce(F.when(told != "", told), text)
-    out = F.when(text.isin(list(valid)), text)
-    for name, pattern in valid.items():
-        out = out.when(text.rlike(pattern), F.lit(name))
-    return out.otherwise(F.regexp_replace(text, r'^["`*_ ]+|["`*_ ]+$', ""))
+
+    def told(text: Column) -> Column:
+        inner = F.when(text.startswith("{") & text.endswith("}"), F.get_json_object(text, "$.doc_type"))
+        return F.coalesce(F.nullif(inner, F.lit("")), text)
+
+    def classed(text: Column) -> Column:
+        out = F.when(text.isin(list(valid)), text)
+        for name, pattern in valid.items():
+            out = out.when(text.rlike(pattern), F.lit(name))
+        return out.otherwise(F.regexp_replace(text, r'^["`*_ ]+|["`*_ ]+$', ""))
+
+    return let(F.lower(stripped(F.coalesce(value, F.lit("")))), lambda t: let(told(t), classed))
 
 
 def normalize_subtype(value: Column) -> Column:
     """A family from free text: its key, an alias, or a label that begins alike in eight
     letters; null, blank and all else is ``other``."""
     key = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9]", "")
-    plain = [k for k in SUBTYPE_LABELS if k == _squeezed(k)]
-    out = F.when(key == "", F.lit(UNKNOWN)).when(key.isin(plain), key)
-    for alias, family in SUBTYPE_ALIASES.items():
-        if alias == _squeezed(alias):
-            out = out.when(key == alias, F.lit(family))
-    for family, label in SUBTYPE_LABELS.items():
-        out = out.when(key.startswith(_squeezed(label)[:8]), F.lit(family))
-    return out.otherwise(F.lit(UNKNOWN))
+    exact = {k: k for k in SUBTYPE_LABELS if k == _squeezed(k)} | {a: f for a, f in SUBTYPE_ALIASES.items() if a == _squeezed(a)}
+    heads = {_squeezed(label)[:8]: family for family, label in reversed(SUBTYPE_LABELS.items())}
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return let(key, lambda k: F.coalesce(F.try_element_at(table(exact), k), F.try_element_at(table(heads), F.substring(k, 1, 8)), F.lit(UNKNOWN)))
 
 
 def normalize_subclass(value: Column, allowed: list[str] | None = None) -> Column:
@@ -71,10 +72,9 @@ def normalize_subclass(value: Column, allowed: list[str] | None = None) -> Colum
 
 
 def normalize_consideration(value: Column) -> Column:
-    text = folded(F.coalesce(value, F.lit("")))
     aliases = F.create_map(*[F.lit(x) for kv in CONSIDERATION_ALIASES.items() for x in kv])
-    key = F.regexp_replace(text, " ", "_")
-    return F.coalesce(F.try_element_at(aliases, text), F.when(key.isin(CONSIDERATIONS), key), F.lit(UNKNOWN))
+    named = lambda t: F.when(F.regexp_replace(t, " ", "_").isin(CONSIDERATIONS), F.regexp_replace(t, " ", "_"))
+    return let(folded(F.coalesce(value, F.lit(""))), lambda t: F.coalesce(F.try_element_at(aliases, t), named(t), F.lit(UNKNOWN)))
 
 
 def normalize_yes_no(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import SPACE, folded, stripped
+from gaugeworks.functions.text import SPACE, folded, let, stripped
 from gaugeworks.taxonomy import DAYS_PER, MONTHS, NUMBER_WORDS
 
 _NAME = r"([A-Za-z]{3,9})\.?"
@@ -16,12 +16,11 @@ def _part(text: Column, pattern: str, group: int) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    """1 to 12 from an English month name or its first letters."""
+    """1 to 12 from an English month name or its first three letters or more."""
+    short = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m[:3], k)])
+    whole = F.array(*map(F.lit, MONTHS))
     low = F.lower(name)
-    out = F.lit(None).cast("int")
-    for k, month in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when((F.length(low) >= 3) & (F.lit(month).startswith(low) | (low == "sept") & F.lit(month == "september")), k).otherwise(out)
-    return out
+    return let(F.try_element_at(short, F.substring(low, 1, 3)), lambda k: F.when(F.element_at(whole, k).startswith(low) | (low == "sept"), k))
 
 
 def parse_date(text: Column) -> Column:
@@ -36,6 +35,10 @@ def parse_date(text: Column) -> Column:
     s = F.regexp_replace(s, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
     s = F.regexp_replace(s, r"(?i)\b(\d{1,2})[a-z]*(?:\s+[a-z]+)*\s+day\s+of\b", "$1 day of")
     s = F.trim(F.regexp_replace(s, r"[(\[{,]+$", ""))
+    return let(s, _date_of)
+
+
+def _date_of(s: Column) -> Column:
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?)?$"
     compact = r"^(\d{4})(\d{2})(\d{2})$"
     numeric = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
@@ -66,12 +69,18 @@ def parse_date(text: Column) -> Column:
 def parse_money(text: Column) -> Column:
     """An amount as a double: signs of currency and thousands gone, one of M, K, B at the end
     multiplies, then one name of a currency is dropped."""
-    s = F.regexp_replace(F.upper(stripped(text)), "[,$€£]", "")
-    last = F.substring(s, -1, 1)
-    factor = F.when(last == "M", 1e6).when(last == "K", 1e3).when(last == "B", 1e9).otherwise(1.0)
-    s = F.when(factor > 1, F.rtrim(s.substr(F.lit(1), F.length(s) - 1))).otherwise(s)
-    s = F.trim(F.regexp_replace(s, " (?:USD|DOLLARS|EUROS)$", ""))
-    return F.when(s.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?$"), s.try_cast("double") * factor)
+
+    def shortened(s: Column) -> Column:
+        cut = F.when(F.substring(s, -1, 1).isin("M", "K", "B"), F.rtrim(s.substr(F.lit(1), F.length(s) - 1))).otherwise(s)
+        return F.trim(F.regexp_replace(cut, " (?:USD|DOLLARS|EUROS)$", ""))
+
+    def amount(s: Column) -> Column:
+        last = F.substring(s, -1, 1)
+        factor = F.when(last == "M", 1e6).when(last == "K", 1e3).when(last == "B", 1e9).otherwise(1.0)
+        number = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?$"
+        return let(shortened(s), lambda x: F.when(x.rlike(number), x.try_cast("double") * factor))
+
+    return let(F.regexp_replace(F.upper(stripped(text)), "[,$€£]", ""), amount)
 
 
 DURATION = r"(?i)(\d+|[a-z][a-z-]*)\s*(?:\(\s*(\d+)\s*\))?\s*(years?|months?|weeks?|days?)"
@@ -79,56 +88,58 @@ DURATION = r"(?i)(\d+|[a-z][a-z-]*)\s*(?:\(\s*(\d+)\s*\))?\s*(years?|months?|wee
 
 def parse_duration(text: Column) -> Column:
     """Days of the last amount of time a text names; ``annual`` is a year."""
-    s = F.lower(F.regexp_replace(text, "[,.]", " "))
-    last = lambda g: F.try_element_at(F.regexp_extract_all(s, F.lit(DURATION), F.lit(g)), F.lit(-1))
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     days = F.create_map(*[F.lit(x) for kv in DAYS_PER.items() for x in kv])
-    number = F.when(last(2) != "", last(2).try_cast("int")).when(last(1).rlike("^[0-9]+$"), last(1).try_cast("int")).otherwise(F.try_element_at(words, last(1)))
-    return F.when(s.rlike(r"\ban[n]?ual"), 365).otherwise(number * F.try_element_at(days, F.regexp_replace(last(3), "s$", "")))
+
+    def length(s: Column) -> Column:
+        last = lambda g: F.try_element_at(F.regexp_extract_all(s, F.lit(DURATION), F.lit(g)), F.lit(-1))
+        unit = F.try_element_at(days, F.regexp_replace(last(3), "s$", ""))
+        named = let(last(1), lambda w: F.when(w.rlike("^[0-9]+$"), w.try_cast("int")).otherwise(F.try_element_at(words, w)))
+        number = let(last(2), lambda d: F.when(d != "", d.try_cast("int")).otherwise(named))
+        return F.when(s.rlike(r"\ban[n]?ual"), 365).otherwise(number * unit)
+
+    return let(F.lower(F.regexp_replace(text, "[,.]", " ")), length)
 
 
 def no_real_date(text: Column) -> Column:
     """A blank template or a mere label where a date is expected."""
     low = F.lower(text)
-    named = F.lit(False)
-    for month in MONTHS:
-        named = named | low.contains(month)
+    named = low.rlike("|".join(MONTHS))
     return text.contains("_") | low.contains("blank") | (~named & ~low.rlike(r"\b(19|20)\d{2}\b"))
 
 
 def date_phrase_within(container: Column, target: Column) -> Column:
     """The date phrase of ``target`` stands in ``container``, as it is or in another writing."""
-    nc, nt = folded(container), folded(target)
-    named = F.lit(False)
-    for month in MONTHS:
-        named = named | nt.contains(f" {month}")
-    explicit = named | nt.rlike(r"\b\d{4}-\d{1,2}\b")
-    date = parse_date(target)
-    month = F.lower(F.date_format(date, "MMMM"))
-    day, year = F.dayofmonth(date).cast("string"), F.date_format(date, "yyyy")
-    forms = [F.date_format(date, "yyyy MM dd"), F.concat_ws(" ", month, day, year), F.concat_ws(" ", day, month, year)]
-    other = F.lit(False)
-    for form in forms:
-        other = other | (date.isNotNull() & nc.contains(form))
-    literal = nc.contains(nt) & ((F.size(F.split(nt, " ")) >= 3) | explicit)
-    return F.coalesce((nc != "") & (nt != "") & (literal | other), F.lit(False))
+
+    def within(nc: Column, nt: Column, date: Column) -> Column:
+        explicit = nt.rlike(" (?:" + "|".join(MONTHS) + ")") | nt.rlike(r"\b\d{4}-\d{1,2}\b")
+        month, day, year = F.lower(F.date_format(date, "MMMM")), F.dayofmonth(date).cast("string"), F.date_format(date, "yyyy")
+        forms = F.array(F.date_format(date, "yyyy MM dd"), F.concat_ws(" ", month, day, year), F.concat_ws(" ", day, month, year))
+        other = date.isNotNull() & F.exists(forms, lambda f: nc.contains(f))
+        literal = nc.contains(nt) & ((F.size(F.split(nt, " ")) >= 3) | explicit)
+        return F.coalesce((nc != "") & (nt != "") & (literal | other), F.lit(False))
+
+    return let(folded(container), lambda nc: let(folded(target), lambda nt: let(parse_date(target), lambda d: within(nc, nt, d))))
 
 
 def date_score(pred: Column, exp: Column) -> Column:
     """Score of two dates given as text; null where the fallback on similarity is due."""
     p, e = F.coalesce(pred, F.lit("")), F.coalesce(exp, F.lit(""))
-    dp, de = parse_date(p), parse_date(e)
-    same_year, same_month = F.year(dp) == F.year(de), F.month(dp) == F.month(de)
-    both = dp.isNotNull() & de.isNotNull()
-    return (
-        F.when(de.isNull() & no_real_date(e), F.when(stripped(p) == "", 1.0).otherwise(0.0))
-        .when(date_phrase_within(p, e) | date_phrase_within(e, p), 1.0)
-        .when(both & (dp == de), 1.0)
-        .when(both & same_year & same_month, 0.67)
-        .when(both & (F.abs(F.datediff(dp, de)) <= 45), 0.67)
-        .when(both & (same_year | same_month), 0.33)
-        .when(both, 0.0)
-    )
+
+    def scored(dp: Column, de: Column) -> Column:
+        same_year, same_month = F.year(dp) == F.year(de), F.month(dp) == F.month(de)
+        both = dp.isNotNull() & de.isNotNull()
+        return (
+            F.when(de.isNull() & no_real_date(e), F.when(stripped(p) == "", 1.0).otherwise(0.0))
+            .when(date_phrase_within(p, e) | date_phrase_within(e, p), 1.0)
+            .when(both & (dp == de), 1.0)
+            .when(both & same_year & same_month, 0.67)
+            .when(both & (F.abs(F.datediff(dp, de)) <= 45), 0.67)
+            .when(both & (same_year | same_month), 0.33)
+            .when(both, 0.0)
+        )
+
+    return let(parse_date(p), lambda dp: let(parse_date(e), lambda de: scored(dp, de)))
 
 
 #: Spans of a document that may be dates.
@@ -146,5 +157,5 @@ def date_grounded(date: Column, doc: Column) -> Column:
 
 def prose_date(text: Column) -> Column:
     """A date as ``April 3, 2004``; other texts as they are."""
-    date = parse_date(text)
-    return F.when(date.isNull(), text).otherwise(F.concat(F.date_format(date, "MMMM"), F.lit(" "), F.dayofmonth(date).cast("string"), F.lit(", "), F.date_format(date, "yyyy")))
+    prose = lambda d: F.concat(F.date_format(d, "MMMM"), F.lit(" "), F.dayofmonth(d).cast("string"), F.lit(", "), F.date_format(d, "yyyy"))
+    return let(parse_date(text), lambda d: F.coalesce(prose(d), text))

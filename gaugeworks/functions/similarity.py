@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.taxonomy import CORPORATE_SUFFIXES, ROLE_WORDS
 
@@ -170,25 +171,27 @@ def list_score(kind: str, pred: list[str], exp: list[str], partial: bool, match:
     return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if matched else 0.0, "matched": matched, "n_predicted": n_p, "n_expected": n_e}
 
 
-LIST_SCORE = "precision double, recall double, f1 double, matched int, n_predicted int, n_expected int"
+LIST_SCORE = T.StructType(
+    [T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")] + [T.StructField(n, T.IntegerType()) for n in ("matched", "n_predicted", "n_expected")]
+)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def name_score_udf(pred: pa.Array, exp: pa.Array) -> pa.Array:
     return pa.array([name_score(p, e) for p, e in zip(pred.to_pylist(), exp.to_pylist(), strict=True)], pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def seq_ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else seq_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def token_set_ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def jaro_winkler_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 

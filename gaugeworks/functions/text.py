@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gaugeworks.taxonomy import CORPORATE_SUFFIXES, NO_RELATED, ROLE_WORDS, STOPWORDS
 
 PUNCTUATION = r"""[,.;:'"()\[\]{}!?@#$%^&*+=|\\/<>~`_\-]"""
-SPACE = r"[\s\x0B\x1c-\x1f\u0085   -     　]"
+SPACE = r"[\s\x0B\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _words(text: Column) -> Column:

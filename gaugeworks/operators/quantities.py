@@ -117,7 +117,7 @@ NO_TERM = r"\b(?:notice|cure|remedy|remedied|payment|payable|pays?|paid|invoices
 
 def _fold(text: str) -> str:
     text = unicodedata.normalize("NFKC", text)
-    text = re.sub(r"[​-‍﻿]", "", text).replace("’", "'").replace("⁄", "/")
+    text = re.sub(r"[\u200b-\u200d\ufeff]", "", text).replace("’", "'").replace("⁄", "/")
     return re.sub(r"\s+", " ", text.replace("–", "-").replace("—", "-").replace("−", "-")).strip()
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.plans import drifting, messages, nested, timestamps, units
+from gaugeworks.plans import drifting, messages, nested, reference, timestamps, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return reference.QUERIES | {
         "p1_found": units.p1_found,
         "p3_found": timestamps.p3_found,
         "p5_found": drifting.p5_found,
@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
