@@ -84,7 +84,7 @@ def spans_in(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]
                     raw[k].append((int(start + t), int(start + e), KINDS[(column[t] - 1) // 2]))
     out = []
     for text, found in zip(texts, raw, strict=True):
-        exact = [(*at, kind) for b, e, kind in _settle(found) if (at := snap(text, b, e, kind))]
+        exact = [(*at, kind) for b, e, kind in _settle(found) for at in snap(text, b, e, kind)]
         out.append(_settle(exact))
     return out
 

@@ -43,7 +43,7 @@ _ID_CUE = re.compile(
     r"(?:SSN|social security|soc\. ?sec|taxpayer|tax id|tax identifier|Steuer|DNI|NIE|NIF|passport|driving licen[cs]e|driver'?s licen[cs]e|DL ?#?|national insurance|NI no|national identity|identity card|personal|insurance number|Ausweis|Reisepass|passeport|pasaporte|\bID\b)[^\n]{0,24}$",
     re.I,
 )
-_NOT_ID = re.compile(r"(?:invoice|ref\.?|sku|isbn|order|docket|checksum|ticket|account|shares|numbered|file|version|build|run|page|plot)[^\n]{0,12}$", re.I)
+_NOT_ID = re.compile(r"(?:invoice|ref|sku|isbn|isbn-like|order|docket|checksum|ticket|account|version|build|run|page|plot)(?:\s*(?:no|nr|number|id))?[.:#]*\s*$", re.I)
 
 _STREET = r"(?:Street|St\.|Avenue|Ave\.?|Road|Rd\.?|Blvd\.?|Boulevard|Lane|Ln\.?|Mews|Close|Drive|Dr\.|Court|Ct\.|Way|Terrace|Place|Pl\.|Square|Row|Walk|Quay|Wharf|Hill|Crescent)"
 _W = r"[A-ZÀ-Þ][\w'’]*"
@@ -148,40 +148,48 @@ _TRIM_L = re.compile(rf"^(?:{TITLES}\s+|[\s,;:.(\[{{\"'<|/-]+)+")
 _TRIM_R = re.compile(r"(?:['’]s|[\s,;:)\]}\"'>|/-]+)+$")
 #: How far a form may reach beyond the span that was found.
 REACH = 48
+_NW = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_INITIALS = r"(?:[^\W\d_]\.\s?){1,2}"
+#: One person's name: surname first, with initials, or two words; then single words.
+NAME = re.compile(
+    rf"{_NW},\s{_NW}(?:\s[A-Z]\.(?!\w))?|{_NW}\s{_INITIALS}\s?(?:{PARTICLE}\s)?{_NW}|{_INITIALS}\s?(?:{PARTICLE}\s)?{_NW}|{_NW}\s(?:{PARTICLE}\s)?{_NW}|{_NW}", re.I
+)
 _FORMS = {"email": EMAIL, "phone": PHONE, "address": ADDRESS}
 
 
-def snap(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The exact span of a found one: the form of its kind that it overlaps most; for
-    names the words without title, possessive and punctuation. None if it has no form."""
+def snap(text: str, begin: int, end: int, kind: str) -> list[tuple[int, int]]:
+    """The exact spans of a found one, none if it has no form: for names the single names
+    without title, possessive and punctuation, else the form that it overlaps most."""
+    if kind == "name":
+        return _names(text, begin, end)
     low, high = max(0, begin - REACH), min(len(text), end + REACH * (2 if kind == "address" else 1))
-    if kind in _FORMS or kind == "id_number":
-        best, most = None, 0
-        for m in _FORMS.get(kind, ID).finditer(text, low, high):
-            common = min(m.end(), end) - max(m.start(), begin)
-            if common > most:
-                best, most = (m.start(), m.end()), common
-        if best is None or 2 * most < min(end - begin, best[1] - best[0]):
-            return None
-        if kind == "phone" and re.match(r"/\d", text[best[1] : best[1] + 2]):
-            return None
-        if kind in ("phone", "id_number") and _NOT_ID.search(text[max(0, best[0] - 14) : best[0]]):
-            return None
-        return best
+    best, most = None, 0
+    for m in _FORMS.get(kind, ID).finditer(text, low, high):
+        common = min(m.end(), end) - max(m.start(), begin)
+        if common > most:
+            best, most = (m.start(), m.end()), common
+    if best is None or 2 * most < min(end - begin, best[1] - best[0]):
+        return []
+    if kind == "phone" and re.match(r"/\d", text[best[1] : best[1] + 2]):
+        return []
+    if kind in ("phone", "id_number") and _NOT_ID.search(text[max(0, best[0] - 20) : best[0]]):
+        return []
+    return [best]
+
+
+def _names(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     while begin > 0 and text[begin - 1].isalpha() and text[begin].isalpha():
         begin -= 1
     while end < len(text) and text[end].isalpha() and text[end - 1].isalpha():
         end += 1
-    piece = text[begin:end]
-    if m := _TRIM_L.match(piece):
+    if m := _TRIM_L.match(text[begin:end]):
         begin += m.end()
     if m := _TRIM_R.search(text[begin:end]):
         end = begin + m.start()
     piece = text[begin:end]
-    if sum(c.isalpha() for c in piece) < 3 or any(c.isdigit() or c == "@" for c in piece) or "\n" in piece.strip() and len(piece.split("\n")) > 2:
-        return None
-    if COMPANY.match(text[end : end + 14]) or len(piece) > 60:
-        return None
-    if re.match(r"\.? ?[A-Z]\.$", text[end : end + 3]):
-        return None
-    return begin, end
+    if sum(c.isalpha() for c in piece) < 3 or any(c.isdigit() or c == "@" for c in piece) or COMPANY.match(text[end : end + 14]):
+        return []
+    out = [(begin + m.start(), begin + m.end()) for m in NAME.finditer(piece)]
+    # a word that is left over behind a whole name belongs to the next sentence
+    whole = [s for s in out if re.search(r"[\s,]", text[s[0] : s[1]])]
+    return [s for s in (whole or out[:1]) if s[1] - s[0] <= 60]
