@@ -52,10 +52,10 @@ EPOCH = r"^(\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})(?:\.(\d{1,12}))?$"
 
 
 def _zones(df: DataFrame) -> DataFrame:
-    """(zone_key, zone_name, zone_minutes): IANA names and abbreviations, about 600 rows."""
+    """(__zone_key, __zone_name, __zone_minutes): IANA names and abbreviations, about 600 rows."""
     rows = [(z.lower(), z, None) for z in available_timezones() if "/" in z and not z.startswith("posix/")]
     rows += [(a.lower(), "UTC", m) for a, m in ABBREVIATIONS.items()]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "zone_key string, zone_name string, zone_minutes int"))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "__zone_key string, __zone_name string, __zone_minutes int"))
 
 
 def with_utc_millis(df: DataFrame, value: str, zone: str, locale: str, out: str = "utc_ms") -> DataFrame:
@@ -88,13 +88,13 @@ def with_utc_millis(df: DataFrame, value: str, zone: str, locale: str, out: str
             "__hour": part(4).try_cast("int"),
             "__half": F.lower(part(8)),
             "__offset": F.when(part(9) != "", F.when(part(9) == "+", 1).otherwise(-1) * (part(10).try_cast("int") * 60 + F.coalesce(part(11).try_cast("int"), F.lit(0)))),
-            "zone_key": F.when(stated & (part(9) != ""), F.lit("utc")).otherwise(named),
+            "__zone_key": F.when(stated & (part(9) != ""), F.lit("utc")).otherwise(named),
         }
     )
     months = F.create_map(*[F.lit(x) for m, names in MONTHS.items() for n in names for x in (n, m)])
     month, half, hour = F.col("__month"), F.col("__half"), F.col("__hour")
     head = F.substring(month, 1, F.when(month.startswith("jui"), 4).otherwise(3))
-    step = step.join(_zones(df), "zone_key", "left").withColumns(
+    step = step.join(_zones(df), "__zone_key", "left").withColumns(
         {
             "__month": F.when(month.rlike(r"^\d"), month.try_cast("int")).otherwise(F.try_element_at(months, head)),
             "__hour": F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)),
@@ -104,9 +104,9 @@ def with_utc_millis(df: DataFrame, value: str, zone: str, locale: str, out: str
         }
     )
     instant = F.try_make_timestamp(
-        part(1).try_cast("int"), F.col("__month"), F.col("__day"), F.col("__hour"), part(5).try_cast("int"), F.col("__second"), F.col("zone_name")
+        part(1).try_cast("int"), F.col("__month"), F.col("__day"), F.col("__hour"), part(5).try_cast("int"), F.col("__second"), F.col("__zone_name")
     )
-    shift = F.coalesce("__offset", "zone_minutes", F.lit(0)).cast("bigint") * 60000
+    shift = F.coalesce("__offset", "__zone_minutes", F.lit(0)).cast("bigint") * 60000
     whole, after = part(2).try_cast("bigint"), F.substring(F.rpad(part(3), 3, "0"), 1, 3).try_cast("bigint")
     length = F.length(part(2))
     epoch = (

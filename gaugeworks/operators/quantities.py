@@ -411,8 +411,10 @@ def with_days(df: DataFrame, kind: str, value: str, site: str, sites: dict, hour
 
     ``kind`` names the column with length, term or date. ``sites`` (id -> locale, unit of bare
     numbers, scale of bare dates) and ``hours`` are small and fixed; the caller checks
-    their size. Null, blank and senseless values and unknown sites give null.
+    their size. Null, blank and senseless values and
+    unknown sites give null; columns of these two names are replaced.
     """
+    df = df.drop("days", "last_day")
     shared = df.sparkSession.sparkContext.broadcast((sites, hours))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "days bigint", "last_day bigint"])
     columns = df.columns

@@ -58,6 +58,7 @@ def with_message_key(df: DataFrame, trace: str, name: str, out: str) -> DataFram
     The key comes out of a generator, so that a filter on it isn't pushed below and each
     row's key is made once; names in ASCII, nearly all, need no pattern.
     """
+    df = df.drop(out)
     step = df.where(F.col(trace).isNotNull() & F.col(name).isNotNull())
     step = step.withColumns({"__trace": _bare_trace(F.col(trace)), "__file": _bare_file(F.col(name))})
     letters, bases, marks = _accents()
