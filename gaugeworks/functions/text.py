@@ -100,7 +100,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, cut to [0, 1]; null where either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), size)))
+    return let(F.try_divide(dot(a, b), size), lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))))
 
 
 def rescued(score: Column, similarity: Column, below: float) -> Column:

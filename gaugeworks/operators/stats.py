@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> Column:
     """struct<lo, hi, half> of a proportion, cut to [0, 1]; null below one observation."""
-    p, n = p.cast("double"), n.cast("double")
+    p, n = p.cast("double"), F.when(n >= 1, n.cast("double"))
     z2 = z * z
-    denominator = 1 + z2 / n
-    centre = (p + z2 / (2 * n)) / denominator
-    margin = z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n + z2 / (4 * n * n))) / denominator
+    over = lambda a, b: F.try_divide(F.lit(a) if isinstance(a, float) else a, b)
+    denominator = 1 + over(z2, n)
+    centre = (p + over(z2, 2 * n)) / denominator
+    margin = z * F.sqrt(F.greatest(F.lit(0.0), over(p * (1 - p), n) + over(z2, 4 * n * n))) / denominator
     lo, hi = F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
-    return F.when((n >= 1) & p.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), ((hi - lo) / 2).alias("half")))
+    return F.when(n.isNotNull() & p.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), ((hi - lo) / 2).alias("half")))
 
 
 def _bounds(n_boot: int, alpha: float) -> tuple[int, int]:
@@ -72,13 +73,13 @@ def bootstrap(df: DataFrame, by: str, value: str, n_boot: int = 2000, alpha: flo
         v, c = pdf["__v"].to_numpy(), pdf["__n"].to_numpy()
         n = int(c.sum())
         if n < 2:
-            return pd.DataFrame({by: [], "n": [], "mean": [], "lo": [], "hi": [], "half": []})
+            return pd.DataFrame({by: [key[0]], "n": [0], "mean": [0.0], "lo": [0.0], "hi": [0.0], "half": [0.0]})
         rng = np.random.default_rng(seed)
         means = np.sort(np.concatenate([rng.multinomial(n, c / n, size=100) @ v / n for _ in range(-(-n_boot // 100))])[:n_boot])
         lo, hi = means[at[0]], means[at[1]]
         return pd.DataFrame({by: [key[0]], "n": [n], "mean": [float(v @ c / n)], "lo": [lo], "hi": [hi], "half": [(hi - lo) / 2]})
 
-    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, n bigint, mean double, lo double, hi double, half double")
+    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, n bigint, mean double, lo double, hi double, half double").where("n >= 2")
 
 
 def bootstrap_difference(df: DataFrame, side: str, a: str, b: str, by: str, value: str, n_boot: int = 2000, seed: int = 42, digits: int = 6) -> DataFrame:
@@ -99,12 +100,12 @@ def bootstrap_difference(df: DataFrame, side: str, a: str, b: str, by: str, valu
             v, c = part["__v"].to_numpy(), part["__n"].to_numpy()
             n = int(c.sum())
             if n < 2:
-                return pd.DataFrame({by: [], "delta": [], "ci_lo": [], "ci_hi": [], "significant": []})
+                return pd.DataFrame({by: [key[0]], "delta": [None], "ci_lo": [0.0], "ci_hi": [0.0], "significant": [False]})
             means[s], mean[s] = np.concatenate([rng.multinomial(n, c / n, size=100) @ v / n for _ in range(-(-n_boot // 100))])[:n_boot], float(v @ c / n)
         diffs = np.sort(means[b] - means[a])
         lo, hi = diffs[at[0]], diffs[at[1]]
         return pd.DataFrame({by: [key[0]], "delta": [mean[b] - mean[a]], "ci_lo": [lo], "ci_hi": [hi], "significant": [bool(lo > 0 or hi < 0)]})
 
-    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, delta double, ci_lo double, ci_hi double, significant boolean")
+    return counts.groupBy(by).applyInPandas(run, f"`{by}` {kind}, delta double, ci_lo double, ci_hi double, significant boolean").where("delta is not null")
 
 
