@@ -46,29 +46,29 @@ def content_tokens(words: Column) -> Column:
 def token_f1(pred: Column, exp: Column) -> Column:
     """F1 of two arrays of words as multisets; both empty 1, one empty 0."""
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(exp), F.lit(0), lambda acc, w: acc + F.least(count(exp, w), count(pred, w)))
-    p, r = common / F.size(pred), common / F.size(exp)
-    return (
-        F.when(F.size(exp) == 0, F.when(F.size(pred) == 0, 1.0).otherwise(0.0))
-        .when(F.size(pred) == 0, 0.0)
-        .when(common == 0, 0.0)
-        .otherwise(2 * p * r / (p + r))
-    )
+
+    def of(p: Column, e: Column) -> Column:
+        common = F.aggregate(F.array_distinct(e), F.lit(0), lambda acc, w: acc + F.least(count(e, w), count(p, w)))
+        return let(common, lambda c: F.when((F.size(e) == 0) | (F.size(p) == 0), (F.size(e) == F.size(p)).cast("double")).otherwise(2 * c / (F.size(p) + F.size(e))))
+
+    return let(pred, lambda p: let(exp, lambda e: of(p, e)))
 
 
 def containment(pred: Column, exp: Column) -> Column:
     """Share of the expected words that the prediction holds (both as sets)."""
-    return (
-        F.when(F.size(exp) == 0, F.when(F.size(pred) == 0, 1.0).otherwise(0.0))
-        .when(F.size(pred) == 0, 0.0)
-        .otherwise(F.size(F.array_intersect(exp, pred)) / F.size(exp))
-    )
+
+    def of(p: Column, e: Column) -> Column:
+        none = (F.size(e) == 0) | (F.size(p) == 0)
+        return F.when(none, (F.size(e) == F.size(p)).cast("double")).otherwise(F.size(F.array_intersect(e, p)) / F.size(e))
+
+    return let(pred, lambda p: let(exp, lambda e: of(p, e)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Word-set Jaccard as used for clauses: ``.,;:`` gone, ``/`` a space, split at single spaces."""
     words = lambda t: F.split(F.regexp_replace(F.lower(F.regexp_replace(t, "[.,;:]", "")), "/", " "), " ")
-    return F.size(F.array_intersect(words(a), words(b))) / F.size(F.array_union(words(a), words(b)))
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return let(words(a), lambda x: let(words(b), lambda y: share(x, y)))
 
 
 def bare(text: Column) -> Column:
@@ -92,8 +92,7 @@ def folded(text: Column) -> Column:
 
 def is_role(text: Column) -> Column:
     """One to three words, all of them roles."""
-    words = tokens(text)
-    return F.size(words).between(1, 3) & F.forall(words, lambda w: w.isin(ROLE_WORDS))
+    return let(tokens(text), lambda ws: F.size(ws).between(1, 3) & F.forall(ws, lambda w: w.isin(ROLE_WORDS)))
 
 
 def cosine(a: Column, b: Column) -> Column:

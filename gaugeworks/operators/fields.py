@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.parse import date_grounded, date_score, no_real_date, parse_date, parse_money, prose_date
 from gaugeworks.functions.similarity import list_score_udf, name_score_udf
-from gaugeworks.functions.text import content_tokens, containment, normalized, stripped, token_f1, tokens
+from gaugeworks.functions.text import containment, content_tokens, let, normalized, stripped, token_f1, tokens
 from gaugeworks.settings import Settings
 from gaugeworks.taxonomy import ID_HINTS, MONEY_HINTS
 
@@ -44,10 +44,12 @@ def sure_name_score(pred: Column, exp: Column) -> Column:
 
     Words of either side within the other's score 1 (the similarity has its maximum then).
     """
-    p, e = normalized(pred), normalized(exp)
-    wp, we = tokens(p), tokens(e)
-    within = (F.size(F.array_except(we, wp)) == 0) | (F.size(F.array_except(wp, we)) == 0)
-    return F.when((p == "") | (e == ""), (p == e).cast("double")).when(within, 1.0)
+
+    def words(p: Column, e: Column, wp: Column, we: Column) -> Column:
+        within = (F.size(F.array_except(we, wp)) == 0) | (F.size(F.array_except(wp, we)) == 0)
+        return F.when((p == "") | (e == ""), (p == e).cast("double")).when(within, 1.0)
+
+    return let(normalized(pred), lambda p: let(normalized(exp), lambda e: let(tokens(p), lambda wp: let(tokens(e), lambda we: words(p, e, wp, we)))))
 
 
 def native_score(kind: Column, pred: Column, exp: Column) -> Column:
@@ -123,14 +125,18 @@ def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Sett
 
 def grounded(words: Column, doc_words: Column, coverage: float) -> Column:
     """At least ``coverage`` of an item's content words stand in the document."""
-    share = F.size(F.array_intersect(words, doc_words)) / F.size(words)
-    return (F.size(words) > 0) & (F.size(doc_words) > 0) & F.coalesce(share >= coverage, F.lit(False))
+
+    def of(w: Column, d: Column) -> Column:
+        share = F.size(F.array_intersect(w, d)) / F.size(w)
+        return F.when((F.size(w) > 0) & (F.size(d) > 0), share >= coverage).otherwise(False)
+
+    return let(words, lambda w: let(doc_words, lambda d: of(w, d)))
 
 
 def verify_items(items: Column, doc_words: Column, coverage: float = 0.7) -> Column:
     """A flag for each item: its content stands in the document. ``doc_words`` are the content
     words of the text, made once per document."""
-    return F.transform(items, lambda i: grounded(content_tokens(tokens(i)), doc_words, coverage))
+    return let(doc_words, lambda d: F.transform(items, lambda i: grounded(content_tokens(tokens(i)), d, coverage)))
 
 
 def audit_scalars(df: DataFrame, kind: str, pred: str, exp: str, doc: str, settings: Settings = Settings()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import labels, parse, text
 from gaugeworks.functions.similarity import jaro_winkler_udf, seq_ratio_udf, token_set_ratio_udf
 from gaugeworks.operators import catalog, classify, clauses, cost, diagnostics, failures, fields, runs, scorecard, stats
-from gaugeworks.runtime import table
+from gaugeworks.runtime import spread, table
 from gaugeworks.taxonomy import CORPORATE_SUFFIXES, EQUIVALENT, NUMBER_WORDS, STOPWORDS, SUBTYPE_LABELS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +255,7 @@ def _(spark, base):
       FROM (SELECT row_id, {q_words('predicted')} p, {q_words('expected')} e FROM {_FIELDS}))""",
 )
 def _(spark, base):
-    return table(spark, base, _FIELDS).select("row_id", F.round(fields.free_text_score(F.col("predicted"), F.col("expected")), 9).alias("f1"))
+    return spread(table(spark, base, _FIELDS).select("row_id", "predicted", "expected"), "row_id").select("row_id", F.round(fields.free_text_score(F.col("predicted"), F.col("expected")), 9).alias("f1"))
 
 
 @query(
@@ -350,7 +350,7 @@ def _(spark, base):
     day = F.col("o_orderdate")
     forms = [F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "d MMMM yyyy"), F.date_format(day, "M/d/yyyy"), F.concat(F.date_format(day, "d"), F.lit("th day of "), F.date_format(day, "MMMM, yyyy"))]
     pick = F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, base, "orders").select("o_orderkey", parse.parse_date(pick).alias("day"))
+    return spread(table(spark, base, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", parse.parse_date(pick).alias("day"))
 
 
 @query(
@@ -362,7 +362,7 @@ def _(spark, base):
 def _(spark, base):
     e = F.to_date("o_orderdate")
     p = F.date_add(e, (F.col("o_orderkey") % 7 * 20).cast("int"))
-    return table(spark, base, "orders").select("o_orderkey", parse.date_score(F.date_format(p, "yyyy-MM-dd"), F.date_format(e, "MMMM d, yyyy")).alias("score"))
+    return spread(table(spark, base, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", parse.date_score(F.date_format(p, "yyyy-MM-dd"), F.date_format(e, "MMMM d, yyyy")).alias("score"))
 
 
 # -- fields ------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def _typed(spark: SparkSession, base: str) -> DataFrame:
 
 @query("field_scores")
 def _(spark, base):
-    return fields.score_scalars(_typed(spark, base).where("field <> 'parties'")).select("row_id", "field", "score")
+    return fields.score_scalars(spread(_typed(spark, base).where("field <> 'parties'"), "row_id")).select("row_id", "field", "score")
 
 
 @query("field_types_by_name", f"""SELECT DISTINCT field, CASE WHEN contains(lower(field), 'date') THEN 'date' WHEN regexp_matches(lower(field), 'value|amount|fee|compensation|price|cost|salary|consideration|total') THEN 'money'
@@ -416,7 +416,7 @@ def _(spark, base):
 
 def _with_text(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").where("text is not null").select("filename", "text")
-    return _typed(spark, base).join(docs, "filename")
+    return spread(_typed(spark, base), "row_id").join(docs, "filename")
 
 
 @query("scalar_audit")

@@ -58,6 +58,19 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over enough partitions to keep all cores at work on costly rows.
+
+    A scan that already has two partitions a core stays as it is. Fewer mean a small input
+    (or few row groups), which is hashed by ``key``: the same rows land in the same
+    place if a task is run again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(3 * cores, key)
+
+
 def local_session(cpus: int = 8, app: str = "gaugeworks") -> SparkSession:
     """A session for tests and benchmarks on this machine."""
     return (
