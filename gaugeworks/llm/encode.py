@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.runtime import spread
+
 #: Where the vocabulary lies; a parameter of every function that needs it.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of the vocabulary.
@@ -135,7 +137,7 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) ->
     the strings of special tokens are ordinary text. Repeated rows are encoded again.
     """
     load = shared_encoder(df.sparkSession, tokenizer)
-    source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
+    source = spread(df.select(F.col(row_id).alias("rec"), F.col(text).alias("text")), "rec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load()
@@ -154,7 +156,7 @@ def encode(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) ->
 def count_tokens(df: DataFrame, row_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(row_id, n_tokens) of each row, counted as by :func:`encode`."""
     load = shared_encoder(df.sparkSession, tokenizer)
-    source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
+    source = spread(df.select(F.col(row_id).alias("rec"), F.col(text).alias("text")), "rec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.pii_rules import KINDS, snap
 from gaugeworks.llm.tagger import Tagger, symbols
+from gaugeworks.runtime import spread
 
 #: The tagger's weights, trained by train_pii; a parameter of every function here.
 WEIGHTS = str(Path(__file__).with_name("pii_tagger.npz"))
@@ -131,10 +132,11 @@ def find_spans(df: DataFrame, row_id: str, text: str, weights: str = WEIGHTS) ->
     """(row_id, begin_at, end_at, kind) of the personal data in ``text``, in code points.
 
     Null, empty and blank texts have none; very long texts are worked through window by
-    window. Repeated rows come out again. Rows are tagged where they lie, without a shuffle.
+    window. Repeated rows come out again. Rows are tagged where they lie, unless
+    there are fewer partitions than cores.
     """
     load = _shared(df, weights)
-    source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
+    source = spread(df.select(F.col(row_id).alias("rec"), F.col(text).alias("text")), "rec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = load()
@@ -163,7 +165,7 @@ def find_spans(df: DataFrame, row_id: str, text: str, weights: str = WEIGHTS) ->
 def redact(df: DataFrame, row_id: str, text: str, weights: str = WEIGHTS) -> DataFrame:
     """(row_id, text) with typed placeholders; null stays null, empty stays empty."""
     load = _shared(df, weights)
-    source = df.select(F.col(row_id).alias("rec"), F.col(text).alias("text"))
+    source = spread(df.select(F.col(row_id).alias("rec"), F.col(text).alias("text")), "rec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = load()
