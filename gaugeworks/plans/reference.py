@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import labels, parse, text
 from gaugeworks.functions.similarity import jaro_winkler_udf, seq_ratio_udf, token_set_ratio_udf
-from gaugeworks.operators import catalog, classify, clauses, cost, diagnostics, failures, fields, runs, scorecard, stats
+from gaugeworks.operators import catalog, classify, clauses, cost, diagnostics, export, failures, fields, runs, scorecard, stats
 from gaugeworks.runtime import spread, table
 from gaugeworks.taxonomy import CORPORATE_SUFFIXES, EQUIVALENT, NUMBER_WORDS, STOPWORDS, SUBTYPE_LABELS
 
@@ -785,3 +785,33 @@ def _(spark, base):
     rows = table(spark, base, "sorter_rows").groupBy("session").agg(F.avg(F.col("subtype_ok").cast("double")).alias("s"), F.avg("confidence").alias("e"))
     return rows.select("session", F.round(fields.chained_composite(F.col("s"), F.col("e")), 9).alias("composite"))
 
+
+
+@query("export_sorter")
+def _(spark, base):
+    return export.export_frame(table(spark, base, "experiment_log"), "raw", export.sorter_columns(), ["rec_id"])
+
+
+@query("export_extraction")
+def _(spark, base):
+    return export.export_frame(table(spark, base, "experiment_log"), "raw", export.extraction_columns(), ["rec_id"])
+
+
+@query(
+    "export_sorter_core",
+    """SELECT rec_id, json_extract_string(raw, '$.experiment_name') "Experiment Name", TRY_CAST(json_extract_string(raw, '$.n_rows') AS BIGINT) "SAMPLE (n)",
+      TRY_CAST(json_extract_string(raw, '$.scores.sorter.subtype_accuracy') AS DOUBLE) "Subtype Accuracy" FROM experiment_log WHERE json_valid(raw)""",
+)
+def _(spark, base):
+    wanted = [c for c in export.sorter_columns() if c[0] in ("Experiment Name", "SAMPLE (n)", "Subtype Accuracy")]
+    return export.export_frame(table(spark, base, "experiment_log"), "raw", wanted, ["rec_id"])
+
+
+@query("chart_metric_ci")
+def _(spark, base):
+    return runs.chart_frames(_runs(spark, base), _M, "subtype_ci_lo", "subtype_ci_hi", "result_id")["metric_ci"].drop("run_date")
+
+
+@query("chart_cost", f"SELECT experiment_name, cost_estimated_usd, {_M} FROM {_RUNS} WHERE {_OK} AND cost_estimated_usd > 0")
+def _(spark, base):
+    return runs.chart_frames(_runs(spark, base), _M, "subtype_ci_lo", "subtype_ci_hi", "result_id")["cost"]

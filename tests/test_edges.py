@@ -115,3 +115,15 @@ def test_bounds(spark):
     with pytest.raises(ValueError):
         bounded_rows(spark.range(11), 10, "rows")
     assert materialised(spark.range(3), "x").count() == 3
+
+
+def test_export_columns(spark):
+    from gaugeworks.operators import export
+
+    sorter, extraction = export.sorter_columns({"q/a": "Q A"}), export.extraction_columns()
+    assert len(sorter) == len({h for h, _ in sorter}) == 114 and len(extraction) == len({h for h, _ in extraction}) == 141
+    record = {"timestamp": "2025-01-05T10:00:00Z", "model": "q/a", "prompt_versions": {"sorter": "sorter_v7"}, "n_rows": 5, "n_ok": 4, "tokens": {"total_tokens": 9}, "scores": {"sorter": {"per_subtype": {"license": {"accuracy": 0.5}}}, "hallucination_rate": {"parties": 0.5, "term_length": 0.1}}}
+    df = spark.createDataFrame([(json.dumps(record),), ("{broken",), (None,)], "raw string")
+    row = export.export_frame(df, "raw", sorter).collect()
+    assert len(row) == 1 and row[0]["MODEL"] == "Q A" and row[0]["Prompt Version"] == "v7" and row[0]["Rows Failed"] == 1 and row[0]["Accuracy: license"] == 0.5 and row[0]["Total Tokens"] == 9
+    assert export.export_frame(df, "raw", extraction).first()["Hallucination Rate (avg)"] == pytest.approx(0.3)
