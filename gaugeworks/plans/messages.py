@@ -39,3 +39,15 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     messages = table(spark, base, "sorter_rows").where(is_message(F.col("trace_id"), F.col("filename"))).select("row_id")
     kept = store.read()
     return messages if kept is None else messages.join(kept.select("row_id"), "row_id", "left_anti")
+
+
+P7_SQL = r"""
+    SELECT row_id FROM (
+      SELECT row_id, row_number() OVER (PARTITION BY t, f ORDER BY received_at NULLS LAST, row_id) AS place FROM (
+        SELECT row_id, received_at,
+          regexp_replace(regexp_replace(lower(trim(trace_id)), '^(?:urn:uuid:|trace:)', ''), '[{}\-]', '', 'g') AS t,
+          lower(nfc_normalize(trim(regexp_extract(CASE WHEN contains(filename, '%') THEN url_decode(filename) ELSE filename END, '[^/\\]*$')))) AS f
+        FROM sorter_rows WHERE trace_id IS NOT NULL AND filename IS NOT NULL)
+      WHERE t <> '' AND f <> '')
+    WHERE place > 1
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference.SQL)
+    return reference.SQL | {"p7_found": messages.P7_SQL}

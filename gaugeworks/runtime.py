@@ -5,10 +5,27 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per context, so that they can
+    import it wherever the driver was started. The driver serves the archive itself."""
+    context = spark.sparkContext
+    if getattr(context, "_gaugeworks_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="gaugeworks-code-")) / "gaugeworks.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    context._gaugeworks_shipped = True
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One of the tables below ``base``."""
     return spark.read.parquet(f"{base}/{name}.parquet")
