@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.runtime import bounded_rows
+
 METRIC_SCHEMA = "name string, tier int, aggregation string, agents array<string>, units string, description string"
 
 
@@ -58,7 +60,9 @@ def invalid_bundle_metrics(table: DataFrame, metrics: DataFrame) -> DataFrame:
 def dashboard(table: DataFrame, metrics: DataFrame, bundle: str, agent: str | None = None, max_tier: int = 1) -> DataFrame:
     """The metrics of a bundle up to a tier, in the bundle's order."""
     names = bundle_metrics(table, bundle, agent)
-    return names.join(F.broadcast(metrics.where(F.col("tier") <= max_tier).select(F.col("name").alias("metric"), "tier").limit(100_000)), "metric").orderBy("pos")
+    bounded_rows(metrics, 100_000, "metrics")
+    known = metrics.where(F.col("tier") <= max_tier).select(F.col("name").alias("metric"), "tier")
+    return names.join(F.broadcast(known), "metric").orderBy("pos")
 
 
 def resolve_bundle(profile: dict, doc_type: str | None, doc_bundles: dict[str, str], task_bundles: dict[str, str], fallback: bool = False) -> str:

@@ -127,3 +127,15 @@ def test_export_columns(spark):
     row = export.export_frame(df, "raw", sorter).collect()
     assert len(row) == 1 and row[0]["MODEL"] == "Q A" and row[0]["Prompt Version"] == "v7" and row[0]["Rows Failed"] == 1 and row[0]["Accuracy: license"] == 0.5 and row[0]["Total Tokens"] == 9
     assert export.export_frame(df, "raw", extraction).first()["Hallucination Rate (avg)"] == pytest.approx(0.3)
+
+
+def test_config(tmp_path, monkeypatch):
+    from gaugeworks.sources.config import TraceConfig, load_profiles
+
+    path = tmp_path / "env"
+    path.write_text("# keys\nexport TRACES_URL='http://x'\nTRACES_PUBLIC_KEY=a\nTRACES_SECRET_KEY=b\n\n")
+    monkeypatch.setenv("TRACES_PUBLIC_KEY", "shell")
+    assert TraceConfig.load(str(path)).options() == {"url": "http://x", "public_key": "shell", "secret_key": "b"}
+    assert TraceConfig.load(str(tmp_path / "none")) is None
+    (tmp_path / "p.yaml").write_text("profiles:\n  sorter:\n    doc_bundle: contracts\n")
+    assert load_profiles({"sorter": {"tasks": ["t"]}}, str(tmp_path / "p.yaml"))["sorter"] == {"tasks": ["t"], "doc_bundle": "contracts"}
