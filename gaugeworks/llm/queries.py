@@ -10,7 +10,7 @@ from gaugeworks.llm.encode import count_tokens, encode
 from gaugeworks.llm.pack import pack
 from gaugeworks.llm.pii import find_spans, redact
 from gaugeworks.llm.topn import top_n
-from gaugeworks.runtime import table
+from gaugeworks.runtime import bounded_rows, table
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -47,10 +47,11 @@ def p9_use(spark: SparkSession, base: str) -> DataFrame:
     """How full the containers of each budget are."""
     bins = p9_packed(spark, base).where("container is not null").groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("used"))
     caps = table(spark, base, "pack_budgets")
+    bounded_rows(caps, 1000, "budgets")
     return (
         bins.groupBy("budget_id")
         .agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
-        .join(F.broadcast(caps.select("budget_id", "capacity_tokens").limit(1000)), "budget_id")
+        .join(F.broadcast(caps.select("budget_id", "capacity_tokens")), "budget_id")
         .withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
     )
 
