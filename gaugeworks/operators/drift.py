@@ -26,7 +26,7 @@ from gaugeworks.operators.nesting import whole_object
 from gaugeworks.operators.ordering import with_previous
 from gaugeworks.runtime import bounded_rows
 
-#: Keys below which changes don't count.
+#: Keys below which changes don't count; the table has them all the same.
 SKIP = ("timestamp", "scores", "parameters", "calls")
 #: Shares of a pair's score that come from its parents and from its children, the
 #: least score of a renaming, and that of one into or out of an object that comes or goes.
@@ -64,7 +64,7 @@ def type_of(value: object) -> str:
 
 def sketch(value: object) -> str:
     """The look of a value: a text with digits folded, the magnitude of a number."""
-    if isinstance(value, dict):
+    if value is None or isinstance(value, dict):
         return ""
     if isinstance(value, list):
         return sketch(value[0]) if value else ""
@@ -72,7 +72,10 @@ def sketch(value: object) -> str:
         if re.fullmatch(r"[0-9a-f]{6,}", value):
             return "hex"
         return re.sub(r"\d+", "9", value)[:24]
-    number = abs(float(value))
+    try:
+        number = abs(float(value))
+    except OverflowError:
+        number = math.inf
     return f"#{int(math.log10(number)) if number > 0 and math.isfinite(number) else 0}"
 
 
@@ -306,7 +309,9 @@ def meanings(schemas: DataFrame, report: DataFrame) -> dict[str, tuple[str, str]
     for path, kind, n in rows:
         seen[top(path)][(path, kind)] = n
     best = {t: max(c.items(), key=lambda x: (x[1], x[0]))[0] for t, c in seen.items()}
-    return {path: best[top(path)] for path, _, _ in rows}
+    # what is an object in most files still needs a column for the lists and texts of the others
+    both = {t for t, c in seen.items() if best[t][1] == "object" and any(kind != "object" for _, kind in c)}
+    return {path: (best[t][0], "object|text") if (t := top(path)) in both else best[t] for path, _, _ in rows}
 
 
 _PLAIN_NUMBER = re.compile(r"[^0-9.eE+\-]")
@@ -330,10 +335,24 @@ def cast_value(value: object, kind: str) -> object:
     return value if isinstance(value, str) else json.dumps(value)
 
 
-def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[str, str]], skip: tuple[str, ...] = SKIP) -> DataFrame:
+def _column_names(paths: list[str], taken: list[str]) -> dict[str, str]:
+    """A column name per path: ``__`` for dots, with a number where it is taken in any case."""
+    used = {k.lower() for k in taken}
+    out: dict[str, str] = {}
+    for p in paths:
+        name, k = p.replace(".", "__"), 2
+        while name.lower() in used:
+            name, k = f"{p.replace('.', '__')}_{k}", k + 1
+        used.add(name.lower())
+        out[p] = name
+    return out
+
+
+def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[str, str]], skip: tuple[str, ...] = ()) -> DataFrame:
     """One table of all records: ``keys`` and a column per canonical path, cast and united.
 
-    Column names are canonical paths with ``__`` for dots. Where several paths of one record
+    Column names are canonical paths with ``__`` for dots. Only keys in ``skip`` are left
+    out, by default none. Where several paths of one record
     mean the same, the canonical one goes first. Broken lines give no row. Objects given as
     text are opened.
     """
@@ -341,7 +360,8 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
     kinds = {p: t for p, t in meaning.values()}
     ignored = frozenset(skip)
     source = df.select(*keys, F.col(raw).alias("__raw"))
-    columns = [f"`{n.replace('.', '__')}` {'double' if kinds[n] == 'number' else 'string'}" for n in names]
+    named = _column_names(names, keys)
+    columns = [f"`{named[n].replace('`', '``')}` {'double' if kinds[n] == 'number' else 'string'}" for n in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *columns])
 
     def leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -373,6 +393,6 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
             rows = pa.array(at, pa.int32())
             arrays = [batch.column(k).take(rows) for k in range(len(keys))]
             arrays += [pa.array(out[n], pa.float64() if kinds[n] == "number" else pa.string()) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, *(n.replace(".", "__") for n in names)])
+            yield pa.RecordBatch.from_arrays(arrays, [*keys, *named.values()])
 
     return source.mapInArrow(run, schema)

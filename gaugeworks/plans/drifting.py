@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.drift import file_schemas, meanings, schema_changes, united
+from gaugeworks.operators.drift import SKIP, file_schemas, meanings, schema_changes, united
 from gaugeworks.runtime import materialised, table
 
 
-def _schemas(spark: SparkSession, base: str) -> DataFrame:
+def _schemas(spark: SparkSession, base: str, skip: tuple[str, ...] = SKIP) -> DataFrame:
     log = table(spark, base, "experiment_log")
-    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw"), "schemas")
+    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", skip), "schemas")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -19,9 +19,12 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, base: str) -> DataFrame:
-    """All records in one layout."""
-    schemas = _schemas(spark, base)
-    meaning = meanings(schemas, schema_changes(schemas))
+    """All records in one layout, with every field.
+
+    Renamings are those of the report. Below the keys that it leaves out, fields go by
+    their own path: there keys such as subtypes are data, and would be taken for renamed.
+    """
+    meaning = meanings(_schemas(spark, base, skip=()), schema_changes(_schemas(spark, base)))
     return united(table(spark, base, "experiment_log"), ["rec_id", "file_id", "stream_id"], "raw", meaning)
 
 

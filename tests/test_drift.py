@@ -66,3 +66,28 @@ def test_previous_in_blocks(spark):
     df = spark.createDataFrame([(1, s) for s in (1, 2, 5, 9, 20)] + [(2, 3), (None, 1)], "p int, s int")
     got = {(r.p, r.s): r.prev_seq for r in with_previous(df, "p", "s", width=4).collect()}
     assert got == {(1, 1): None, (1, 2): 1, (1, 5): 2, (1, 9): 5, (1, 20): 9, (2, 3): None}
+
+
+def test_table_has_every_field(spark):
+    first = {"timestamp": "2026-01-02", "scores": {"acc": 0.5, "per": {"x": 1}}, "parameters": {"stop": [None, "END"]}, "tokens": {"calls": [{"id": 1}]}}
+    second = {"timestamp": 1770000000, "scores": {"acc": 0.25, "per": [{"y": 2}, {"z": 3}], "Acc": 7}, "usage": {"calls": []}, "rec_id": 5}
+    df = log(spark, [(1, 1, 1, 10, json.dumps(first)), (2, 1, 2, 11, json.dumps(first)), (3, 1, 3, 12, json.dumps(second))])
+    schemas = file_schemas(df, "stream", "seq", "file", "raw", skip=())
+    report = schema_changes(file_schemas(df, "stream", "seq", "file", "raw"))
+    assert ("renamed", "tokens", "usage") in {tuple(r)[1:] for r in report.collect()}
+    table = {r.rec_id: r.asDict() for r in united(df, ["rec_id"], "raw", meanings(schemas, report)).collect()}
+    assert [(table[i]["timestamp"], table[i]["scores__acc_2"]) for i in (1, 3)] == [("2026-01-02", 0.5), ("1770000000", 0.25)]
+    assert (table[1]["scores__per__x"], json.loads(table[3]["scores__per"])) == (1, [{"y": 2}, {"z": 3}])
+    assert json.loads(table[1]["parameters__stop"]) == [None, "END"]
+    assert json.loads(table[1]["tokens__calls"]) == {"id": 1} and table[3]["tokens__calls"] == "[]"
+    assert 7 in table[3].values() and 5 in table[3].values()
+
+
+def test_table_query_keeps_skipped_fields(spark, tmp_path):
+    from gaugeworks.plans.drifting import p5_table
+
+    raw = json.dumps({"timestamp": "t", "scores": {"a": 1}, "parameters": {"b": 2}, "calls": 3})
+    rows = spark.createDataFrame([(1, 1, 1, 10, raw)], "rec_id int, stream_id int, file_seq int, file_id int, raw string")
+    rows.write.parquet(str(tmp_path / "experiment_log.parquet"))
+    got = p5_table(spark, str(tmp_path)).first().asDict()
+    assert {k: got[k] for k in ("timestamp", "scores__a", "parameters__b", "calls")} == {"timestamp": "t", "scores__a": 1, "parameters__b": 2, "calls": 3}
