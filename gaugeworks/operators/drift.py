@@ -90,8 +90,15 @@ def paths_of(record: dict, skip: frozenset[str], prefix: str = "") -> Iterator[t
             yield from paths_of(value, skip, f"{path}.")
 
 
-def _alike(a: frozenset[str], b: frozenset[str]) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _alike(a: list[frozenset[str]], b: list[frozenset[str]]) -> np.ndarray:
+    """Shared words of all words, for all pairs."""
+    at = {w: k for k, w in enumerate(sorted(frozenset().union(*a, *b)))}
+    x, y = np.zeros((len(a), len(at))), np.zeros((len(b), len(at)))
+    for has, sets in ((x, a), (y, b)):
+        for i, words in enumerate(sets):
+            has[i, [at[w] for w in words]] = 1
+    both = x @ y.T
+    return np.divide(both, x.sum(1)[:, None] + y.sum(1)[None, :] - both, out=np.zeros(both.shape), where=both > 0)
 
 
 def _value_alike(a: str, b: str) -> float:
@@ -103,6 +110,12 @@ def _value_alike(a: str, b: str) -> float:
     return 0.8 if head[0] and head[0] == head[1] else 0.5 if "#" in a + b else 0.2
 
 
+def _values_alike(a: list[str], b: list[str]) -> np.ndarray:
+    """Scores of all pairs of sketches; each distinct pair is scored once."""
+    (x, of_x), (y, of_y) = (np.unique(np.array(s, dtype=object), return_inverse=True) for s in (a, b))
+    return np.array([[_value_alike(p, q) for q in y] for p in x])[of_x][:, of_y]
+
+
 class Graph:
     """The schema graph of one file."""
 
@@ -118,36 +131,38 @@ class Graph:
             inherited = frozenset().union(*above)
             self.own.append(last - inherited or last)
             self.all.append(last | inherited)
-        self.children = np.zeros((len(self.paths), len(self.paths)))
-        for i, p in enumerate(self.parent[1:], 1):
-            self.children[p, i] = 1
+        # nodes in order of their parents, the parents, where each one's children begin, and how many it has
+        self.below = np.argsort(self.parent[1:], kind="stable") + 1
+        self.inner, self.first, self.fanout = np.unique(self.parent[self.below], return_index=True, return_counts=True)
 
 
 def flood(a: Graph, b: Graph, rounds: int = 40, still: float = 1e-4) -> np.ndarray:
     """Scores of all pairs of nodes after propagation."""
     n, m = len(a.paths), len(b.paths)
-    start = np.zeros((n, m))
-    for i in range(1, n):
-        for j in range(1, m):
-            if (a.types[i] == "object") != (b.types[j] == "object"):
-                continue
-            if a.paths[i] == b.paths[j]:
-                start[i, j] = 1.0
-                continue
-            name, path = _alike(a.own[i], b.own[j]), _alike(a.all[i], b.all[j])
-            name = max(name, 0.9 * path if path >= 0.6 else 0.0)
-            start[i, j] = name if a.types[i] == "object" else 0.75 * name + 0.25 * _value_alike(a.sketches[i], b.sketches[j])
+    same_kind = (np.array(a.types) == "object")[:, None] == (np.array(b.types) == "object")[None, :]
+    name, path = _alike(a.own, b.own), _alike(a.all, b.all)
+    name = np.maximum(name, np.where(path >= 0.6, 0.9 * path, 0.0))
+    is_object = (np.array(a.types) == "object")[:, None]
+    start = np.where(same_kind, np.where(is_object, name, 0.75 * name + 0.25 * _values_alike(a.sketches, b.sketches)), 0.0)
+    at_b = {p: j for j, p in enumerate(b.paths)}
+    for i, p in enumerate(a.paths):
+        if (j := at_b.get(p)) is not None and same_kind[i, j]:
+            start[i, j] = 1.0
+    start[0, :], start[:, 0] = 0, 0
     start[0, 0] = 1.0
-    inner = (a.children.sum(1)[:, None] > 0) & (b.children.sum(1)[None, :] > 0)
-    below = np.where(inner, FROM_CHILDREN, 0.0)
-    size = np.maximum(1, a.children.sum(1)[:, None] + b.children.sum(1)[None, :])
+    inner = np.ix_(a.inner, b.inner)
+    below = np.zeros((n, m))
+    below[inner] = FROM_CHILDREN
+    size = a.fanout[:, None] + b.fanout[None, :]
     score = start
     for _ in range(rounds):
         above = score[a.parent][:, b.parent]
-        best_of_b = np.where(b.children[None, :, :] > 0, score[:, None, :], 0).max(2) if m < 400 else score
-        best_of_a = np.where(a.children[:, :, None] > 0, score[None, :, :], 0).max(1) if n < 400 else score
-        under = (a.children @ best_of_b + best_of_a @ b.children.T) / size
-        after = (1 - FROM_PARENT - below) * start + FROM_PARENT * above + below * under
+        after = (1 - FROM_PARENT - below) * start + FROM_PARENT * above
+        # of each node the best score with a child of each parent, summed over the children
+        best_of_b = np.maximum.reduceat(score[:, b.below], b.first, axis=1)
+        best_of_a = np.maximum.reduceat(score[a.below], a.first, axis=0)
+        under = np.add.reduceat(best_of_b[a.below], a.first, axis=0) + np.add.reduceat(best_of_a[:, b.below], b.first, axis=1)
+        after[inner] += FROM_CHILDREN * (under / size)
         after[0, :], after[:, 0] = 0, 0
         after[0, 0] = 1
         moved, score = np.abs(after - score).max(), after

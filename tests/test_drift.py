@@ -91,3 +91,11 @@ def test_table_query_keeps_skipped_fields(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "experiment_log.parquet"))
     got = p5_table(spark, str(tmp_path)).first().asDict()
     assert {k: got[k] for k in ("timestamp", "scores__a", "parameters__b", "calls")} == {"timestamp": "t", "scores__a": 1, "parameters__b": 2, "calls": 3}
+
+
+def test_renaming_found_at_any_number_of_paths():
+    """An object with an unlike name whose children match, in files with few and with 400+ paths."""
+    inside = {"prompt": 1, "completion": 2, "latency": 3, "currency": "x"}
+    for more in (0, 500):
+        rest = {f"k{chr(97 + i % 26)}{chr(97 + i // 26)}": {"w": i} for i in range(more)}
+        assert changes(schema({"head": 1, "alpha": inside, **rest}), schema({"head": 1, "omega": inside, **rest})) == [("renamed", "alpha", "omega")]
