@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ CATALOG_LIMIT = 100_000
 THRESHOLD, AHEAD = 0.62, 0.02
 #: Values and folded values that a worker remembers.
 MEMO = 400_000
-#: Entries that are compared by edit distance, best by shared letter pairs.
-NEAREST = 8
+#: Words of values whose similarities to all words of the entries a worker remembers, in bytes.
+WORDS_MEMO = 50_000_000
+#: For rounding, by how much a bound must be below what would count.
+SLACK = 1e-9
 
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKES = str.maketrans(
@@ -102,8 +105,13 @@ def fold(value: str) -> list[str]:
     return [w if w.isalpha() else w.translate(DIGITS) for w in words]
 
 
-def _pairs(text: str) -> set[str]:
-    return {text[i : i + 2] for i in range(len(text) - 1)}
+def _letters(text: str) -> np.ndarray:
+    """How often each of 0-9 and a-z occurs, at most 255 times."""
+    found = np.bincount(np.frombuffer(text.encode("ascii", "replace"), np.uint8), minlength=123)[:123]
+    return np.minimum(np.concatenate([found[48:58], found[97:123]]), 255).astype(np.uint8)
+
+
+TAILS = ("agreement", "agmt", "contract", "deed", "s")
 
 
 class Entry:
@@ -114,7 +122,7 @@ class Entry:
         self.joined = "".join(words)
         self.patterns = [Pattern(w) for w in words]
         self.whole = Pattern(self.joined)
-        self.tailed = [Pattern(self.joined + t) for t in ("agreement", "agmt", "contract", "deed", "s")]
+        self.tailed = [Pattern(self.joined + t) for t in TAILS]
         self.weight = sum(map(len, words))
 
     def similarity(self, words: list[str], joined: str) -> float:
@@ -172,10 +180,51 @@ class Catalog:
             if len(keys) == 1 and name:
                 self.automaton.add_word(f" {name} ", (len(name), next(iter(keys))))
         self.automaton.make_automaton()
-        self.index: dict[str, list[int]] = {}
-        for i, e in enumerate(self.entries):
-            for p in _pairs(e.joined):
-                self.index.setdefault(p, []).append(i)
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """Arrays over all entries for :meth:`bounds`."""
+        words = {w: k for k, w in enumerate(sorted({w for e in self.entries for w in e.words}))}
+        self.vocabulary = [Pattern(w) for w in words]
+        self.word_at = np.array([words[w] for e in self.entries for w in e.words], np.int64)
+        self.word_size = np.array([len(w) for e in self.entries for w in e.words], np.float64)
+        self.word_first = np.cumsum([0, *(len(e.words) for e in self.entries)])[:-1]
+        self.weight = np.array([e.weight for e in self.entries], np.float64)
+        self.whole = [np.array([_letters(e.joined + t) for e in self.entries], np.uint8).reshape(-1, 36) for t in ("", *TAILS)]
+        self._near: dict[str, np.ndarray] = {}
+
+    def _word(self, word: str) -> np.ndarray:
+        """Similarity of a word to each word of the entries, as in :meth:`Entry.similarity`."""
+        found = self._near.get(word)
+        if found is None:
+            found = np.array([0.97 if len(word) >= 4 and p.word.startswith(word) else p.similarity(word) for p in self.vocabulary], np.float64)
+            if len(self._near) * found.nbytes >= WORDS_MEMO:
+                self._near.clear()
+            self._near[word] = found
+        return found
+
+    def bounds(self, words: list[str], joined: str) -> np.ndarray:
+        """No less than the similarity of each entry: shared letters for the whole (no edit
+        distance is below the letters that differ), the token set as it is."""
+        size, letters = len(joined), _letters(joined)
+        most = np.zeros(len(self.entries))
+        for tail, counts in zip(("", *TAILS), self.whole, strict=True):
+            longer = self.weight + len(tail)
+            # letters beyond 255 of a kind aren't counted, so they may all be shared
+            shared = np.minimum(counts, letters).sum(1) if size < 256 else np.minimum(longer, size)
+            found = np.where(longer < 256, shared, np.minimum(longer, size)) / np.maximum(longer, size)
+            most = np.maximum(most, np.where(size > self.weight, found, 0) if tail else found)
+        if size >= 5:
+            begins = np.fromiter((e.joined.startswith(joined) for e in self.entries), bool, len(self.entries))
+            most[begins] = np.maximum(most[begins], 0.9)
+        near, of = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))
+        for w in words:
+            s = self._word(w)
+            better = s > near
+            near[better], of[better] = s[better], len(w)
+        got = np.add.reduceat(near[self.word_at] * self.word_size, self.word_first)
+        rest = np.maximum(0, size - np.add.reduceat(of[self.word_at], self.word_first))
+        return np.maximum(most, got / (self.weight + 0.5 * rest))
 
     def plain(self, word: str) -> bool:
         """Whether a word is a plain word, or nearer to one than to any telling word."""
@@ -214,16 +263,19 @@ class Catalog:
         joined = "".join(words)
         if joined in self.short:
             return self.short[joined]
-        shared: Counter[int] = Counter()
-        for p in _pairs(joined):
-            shared.update(self.index.get(p, ()))
-        if not shared:
+        if not self.entries:
             return UNMATCHED
-        ranked = sorted(shared, key=lambda i: (-2 * shared[i] / (len(joined) + self.entries[i].weight), i))[:NEAREST]
-        score: dict[str, float] = {}
-        for i in ranked:
+        bounds = self.bounds(words, joined)
+        best, score = 0.0, {}
+        # nothing below the best, or the threshold, by more than the lead can change the outcome
+        for i in np.argsort(-bounds, kind="stable"):
+            if bounds[i] < max(best, self.threshold) - self.ahead - SLACK:
+                break
             e = self.entries[i]
             score[e.key] = max(score.get(e.key, 0), e.similarity(words, joined))
+            best = max(best, score[e.key])
+        if not score:
+            return UNMATCHED
         order = sorted(score.items(), key=lambda x: -x[1])
         if order[0][1] < self.threshold or len(order) > 1 and order[0][1] - order[1][1] < self.ahead:
             return UNMATCHED

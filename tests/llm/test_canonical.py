@@ -57,3 +57,37 @@ def test_frame(spark):
     assert got == [(1, "field", "license"), (3, "value", "unmatched"), (3, "value", "unmatched")]
     assert map_values(df, "row_id", ["field"], catalog.limit(0)).where("subtype_key <> 'unmatched'").count() == 0
     assert map_values(df.limit(0), "row_id", ["field"], catalog).count() == 0
+
+
+def by_all(catalog, words):
+    """The nearest entry by the similarity to every one."""
+    joined, score = "".join(words), {}
+    if joined in catalog.short:
+        return catalog.short[joined]
+    for e in catalog.entries:
+        score[e.key] = max(score.get(e.key, 0), e.similarity(words, joined))
+    order = sorted(score.items(), key=lambda x: -x[1])
+    return "unmatched" if not order or order[0][1] < catalog.threshold or len(order) > 1 and order[0][1] - order[1][1] < catalog.ahead else order[0][0]
+
+
+def test_nearest_looks_at_every_entry():
+    # eight forms of one key share more letter pairs with the value than the entry it leads
+    crowd = ("crowd", "warrantkk", [f"warrant{c}{c}" for c in "bcdfghj"])
+    own = Catalog([crowd, ("meant", "warranty for services rendered overseas by contractors", None)])
+    assert own.nearest(["warranty"]) == by_all(own, ["warranty"]) == "meant"
+    assert Catalog([("meant", "abcdef", None)]).nearest(["acbdxf"]) == "meant"  # no letter pair in common
+    tie = Catalog([("one", "warrantyb", [f"warranty{c}" for c in "cdfghjkl"]), ("two", "warrantyz", None)])
+    assert tie.nearest(["warrantyq"]) == "unmatched"
+
+
+def test_nearest_against_brute_force():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 7)))
+    for _ in range(40):
+        own = Catalog([(f"k{i} {word()}", " ".join(word() for _ in range(rng.randint(1, 3))), [word() + word()]) for i in range(30)])
+        for _ in range(15):
+            words = [word() for _ in range(rng.randint(1, 3))]
+            joined = "".join(words)
+            assert all(b >= e.similarity(words, joined) - 1e-9 for b, e in zip(own.bounds(words, joined), own.entries, strict=True))
+            assert own.nearest(words) == by_all(own, words)
+    assert own.nearest(["a" * 700]) == by_all(own, ["a" * 700])
