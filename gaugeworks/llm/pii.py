@@ -2,8 +2,9 @@
 
 Texts are cut into overlapping windows; windows of like length are tagged together. A
 span counts from the window in whose core it begins, where the tagger saw text on
-both sides; spans of neighbouring windows that overlap are settled over the whole
-text: the longer one stays. An exact check follows: each span is snapped to the form
+both sides, and from either window if it touches the edge between their cores; spans of
+neighbouring windows that overlap are settled over the whole text: of those that have a
+form, the longer one stays. An exact check follows: each span is snapped to the form
 of its kind, or dropped if it has none.
 """
 
@@ -78,14 +79,15 @@ def spans_in(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]
             k, start, low, high, piece = group[c]
             column = tags[:, c]
             for t in np.flatnonzero(begins[:, c]):
-                if low <= start + t < high:
-                    e = t + 1
-                    while e < len(piece) and column[e] == column[t] + 1:
-                        e += 1
+                e = t + 1
+                while e < len(piece) and column[e] == column[t] + 1:
+                    e += 1
+                if low <= start + t <= high or start + t < low <= start + e:
                     raw[k].append((int(start + t), int(start + e), KINDS[(column[t] - 1) // 2]))
     out = []
     for text, found in zip(texts, raw, strict=True):
-        exact = [(*at, kind) for b, e, kind in _settle(found) for at in snap(text, b, e, kind)]
+        formed = {s: at for s in found if (at := snap(text, *s))}
+        exact = [(*at, s[2]) for s in _settle(list(formed)) for at in formed[s]]
         out.append(_settle(exact))
     return out
 

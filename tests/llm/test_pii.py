@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from gaugeworks.llm.pii import WEIGHTS, find_spans, redact, redacted, spans_in
-from gaugeworks.llm.pii_rules import NameForms, snap, weak_labels
+from gaugeworks.llm.pii_rules import KINDS, NameForms, snap, weak_labels
 from gaugeworks.llm.tagger import Tagger
 
 TAGGER = Tagger.load(WEIGHTS)
@@ -66,3 +66,19 @@ def test_frame(spark):
     out = {r.doc_id: r.text for r in redact(df, "doc_id", "text").collect()}
     assert out[2] is None and out[3] == "" and "[ADDRESS]" in out[1]
     assert find_spans(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_span_at_a_core_edge_stays():
+    """The left window begins a name behind the cut at 320, the right one before it."""
+    text = "z " * 159 + "Mr Lumika Grisley said " + "z " * 180
+
+    class Split:
+        def decode(self, x):
+            tags, name = np.zeros(x.shape, np.int8), 2 * KINDS.index("name") + 1
+            for c in range(x.shape[1]):
+                left = (x[:, c] > 0).sum() == 416
+                begin, end = (321, 335) if left else (318 - 288, 335 - 288)
+                tags[begin, c], tags[begin + 1 : end, c] = name, name + 1
+            return tags
+
+    assert [(text[b:e], k) for b, e, k in spans_in([text], Split())[0]] == [("Lumika Grisley", "name")]
