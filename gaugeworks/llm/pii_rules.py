@@ -146,6 +146,8 @@ def weak_labels(text: str, forms: NameForms) -> list[tuple[int, int, str]]:
 
 _TRIM_L = re.compile(rf"^(?:{TITLES}\s+|[\s,;:.(\[{{\"'<|/-]+)+")
 _TRIM_R = re.compile(r"(?:['’]s|[\s,;:)\]}\"'>|/-]+)+$")
+_TITLED = re.compile(rf"(?<!\w){TITLES}\s+$")
+_FILLER = re.compile(r"([^\W\d_])\1{3}", re.I)
 #: How far a form may reach beyond the span that was found.
 REACH = 48
 _NW = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
@@ -187,9 +189,14 @@ def _names(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     if m := _TRIM_R.search(text[begin:end]):
         end = begin + m.start()
     piece = text[begin:end]
-    if sum(c.isalpha() for c in piece) < 3 or any(c.isdigit() or c == "@" for c in piece) or COMPANY.match(text[end : end + 14]):
+    letters = lambda x: sum(c.isalpha() for c in x)
+    # two letters are a name behind a title only
+    least = 2 if _TITLED.search(text[max(0, begin - 16) : begin]) else 3
+    if letters(piece) < least or any(c.isdigit() or c == "@" for c in piece) or COMPANY.match(text[end : end + 14]):
         return []
     out = [(begin + m.start(), begin + m.end()) for m in NAME.finditer(piece)]
     # a word that is left over behind a whole name belongs to the next sentence
     whole = [s for s in out if re.search(r"[\s,]", text[s[0] : s[1]])]
-    return [s for s in (whole or out[:1]) if s[1] - s[0] <= 60]
+    kept = whole or [s for s in out if letters(text[s[0] : s[1]]) >= (least if s[0] == begin else 3)]
+    # what is long is a name unless it is filler of one letter
+    return [s for s in kept if s[1] - s[0] <= 60 or not _FILLER.search(text, *s)]

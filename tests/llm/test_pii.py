@@ -82,3 +82,13 @@ def test_span_at_a_core_edge_stays():
             return tags
 
     assert [(text[b:e], k) for b, e, k in spans_in([text], Split())[0]] == [("Lumika Grisley", "name")]
+
+
+def test_short_long_and_several_single_names():
+    names = lambda text, span: [text[b:e] for b, e in snap(text, text.index(span), text.index(span) + len(span), "name")]
+    assert names("seen by Dr. Ng today", "Ng") == names("seen by Dr. Ng today", "Dr. Ng") == ["Ng"]
+    assert names("item Ng today", "Ng") == names("the form. Ng today", "Ng") == []
+    long = "Wolfeschlegelsteinhausenbergerdorff " + "Ruthmont-Varnovitz-Grisley-Oskelle"
+    assert len(long) > 60 and names(f"by {long} here", long) == [long]
+    assert names("by Grisley/Varnley; Oskelle here", "Grisley/Varnley; Oskelle") == ["Grisley", "Varnley", "Oskelle"]
+    assert names("by Grisley/B here", "Grisley/B") == ["Grisley"]
