@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.parse import date_grounded, date_score, no_real_date, parse_date, parse_money, prose_date
 from gaugeworks.functions.similarity import list_score_udf, name_score_udf
 from gaugeworks.functions.text import containment, content_tokens, let, normalized, stripped, token_f1, tokens
+from gaugeworks.operators.classify import ratio
 from gaugeworks.settings import Settings
 from gaugeworks.taxonomy import ID_HINTS, MONEY_HINTS
 
@@ -162,13 +163,15 @@ def audit_items(items: DataFrame, doc_words: str, has_match: str, settings: Sett
     return items.withColumn("in_doc", in_doc).withColumn("true_item", F.col("in_doc") | F.col(has_match))
 
 
-def audit_totals(items: DataFrame, by: list[str], has_match: str = "hit_gt") -> DataFrame:
-    """Counts and rates of audited items per group."""
-    n = F.count("*")
+def audit_totals(items: DataFrame, by: list[str], has_match: str = "hit_gt", item: str = "item") -> DataFrame:
+    """Counts and rates of audited items per group; a null item stands for none, and a group
+    without items has counts and rates of 0."""
+    items = items.withColumns({c: F.col(item).isNotNull() & F.col(c) for c in (has_match, "in_doc", "true_item")})
+    n = F.count(item)
     true_ = F.count_if("true_item")
     return items.groupBy(*by).agg(
         n.alias("n_predicted"), F.count_if(has_match).alias("matched_gt"), F.count_if("in_doc").alias("verified_in_doc"),
-        true_.alias("true_items"), (n - true_).alias("hallucinated"), (true_ / n).alias("verified_precision"), ((n - true_) / n).alias("hallucination_rate"),
+        true_.alias("true_items"), (n - true_).alias("hallucinated"), ratio(true_, n).alias("verified_precision"), ratio(n - true_, n).alias("hallucination_rate"),
     )
 
 

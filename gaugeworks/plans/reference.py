@@ -414,14 +414,15 @@ def _(spark, base):
     return fields.score_documents(rows, ["extraction_id"])
 
 
-def _with_text(spark: SparkSession, base: str) -> DataFrame:
+def _with_text(spark: SparkSession, base: str, how: str = "inner") -> DataFrame:
+    """Fields with the text of their document; in a left join, '' where there is none."""
     docs = table(spark, base, "documents").where("text is not null").select("filename", "text")
-    return spread(_typed(spark, base), "row_id").join(docs, "filename")
+    return spread(_typed(spark, base), "row_id").join(docs, "filename", how).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query("scalar_audit")
 def _(spark, base):
-    rows = _with_text(spark, base).where("field <> 'parties'").select("row_id", F.coalesce("field_type", F.lit("name")).alias("kind"), "predicted", "expected", "text")
+    rows = _with_text(spark, base, "left").where("field <> 'parties'").select("row_id", F.coalesce("field_type", F.lit("name")).alias("kind"), "predicted", "expected", "text")
     return fields.audit_scalars(rows, "kind", "predicted", "expected", "text").select("row_id", "matched_gt", "verified_in_doc", "hallucinated")
 
 
@@ -438,8 +439,8 @@ def _(spark, base):
 
 @query("list_audit")
 def _(spark, base):
-    rows = _with_text(spark, base).where("field = 'parties'").select("row_id", text.content_tokens(text.tokens(F.col("text"))).alias("words"), _items("expected").alias("e"), F.explode(_items("predicted")).alias("item"))
-    one = fields.score_lists(rows.withColumn("p", F.array("item")), "p", "e", F.lit(False)).withColumn("hit_gt", F.col("list_score.matched") > 0)
+    rows = _with_text(spark, base, "left").where("field = 'parties'").select("row_id", text.content_tokens(text.tokens(F.col("text"))).alias("words"), _items("expected").alias("e"), F.explode_outer(_items("predicted")).alias("item"))
+    one = fields.score_lists(rows.withColumn("p", F.array_compact(F.array("item"))), "p", "e", F.lit(False)).withColumn("hit_gt", F.col("list_score.matched") > 0)
     return fields.audit_totals(fields.audit_items(one, "words", "hit_gt"), ["row_id"])
 
 

@@ -283,3 +283,16 @@ def test_settings(tmp_path):
     path = tmp_path / "s.yaml"
     path.write_text("match: 0.5\nband: [0.4, 0.9]\nunknown_key: 1\n")
     assert Settings.load(str(path)).match == 0.5 and Settings.load(str(path)).band == (0.4, 0.9) and Settings().with_(match=0.1).match == 0.1
+
+
+def test_audits_keep_rows_without_items_or_text(spark, tmp_path):
+    from gaugeworks.plans.reference import QUERIES
+
+    docs = [("a.txt", "signed by Acme Corporation and Zeta Works"), ("b.txt", None)]
+    spark.createDataFrame(docs, "filename string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    given = [(1, "a.txt", "parties", "Acme Corporation; Nobody Known", "Acme Corporation"), (2, "a.txt", "parties", None, "x"), (3, "a.txt", "parties", " ", None), (4, "b.txt", "parties", "Acme Corporation", "Other"), (5, "c.txt", "parties", "Zeta Works", "Zeta Works")]
+    given += [(6, "c.txt", "governing_law", "Ohio", "Texas"), (7, "b.txt", "effective_date", "2006-04-01", "2006-04-01"), (8, "c.txt", "effective_date", "2006-04-01", "2009-09-09")]
+    spark.createDataFrame(given, "row_id int, filename string, field string, predicted string, expected string").write.parquet(str(tmp_path / "extraction_fields.parquet"))
+    got = {r.row_id: tuple(r)[1:] for r in QUERIES["list_audit"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1, 1, 1, 1, 0.5, 0.5), 2: (0, 0, 0, 0, 0, 0, 0), 3: (0, 0, 0, 0, 0, 0, 0), 4: (1, 0, 0, 0, 1, 0, 1), 5: (1, 1, 0, 1, 0, 1, 0)}
+    assert {r.row_id: tuple(r)[1:] for r in QUERIES["scalar_audit"](spark, str(tmp_path)).collect()} == {6: (0, 0, 1), 7: (1, 0, 0), 8: (0, 0, 1)}
