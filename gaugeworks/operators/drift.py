@@ -234,14 +234,16 @@ def _above(path: str) -> Iterator[str]:
         yield path
 
 
-def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip: tuple[str, ...] = SKIP) -> DataFrame:
+def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip: tuple[str, ...] = SKIP, ordered: bool = True) -> DataFrame:
     """(stream, seq, file, schema): the paths of each file with type and sketch.
 
     Paths are gathered per Arrow batch first, so a file sends a row per path and task, not
     per record. A path of several types has them joined by ``|``.
+    Files without stream, seq or file are left out if ``ordered``.
     """
     source = df.select(F.col(stream).alias("stream"), F.col(seq).alias("seq"), F.col(file).alias("file"), F.col(raw).alias("raw"))
-    source = source.where("stream is not null and seq is not null and file is not null")
+    if ordered:
+        source = source.where("stream is not null and seq is not null and file is not null")
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     ignored = frozenset(skip)
 
@@ -341,7 +343,12 @@ def cast_value(value: object, kind: str) -> object:
         return None
     if kind == "number":
         if isinstance(value, (int, float)):
-            return float(value)
+            try:
+                return float(value)
+            except OverflowError:
+                return None
+        if not isinstance(value, str) or value[:1] in ("[", "{"):
+            return None
         text = str(value).replace(",", "")
         try:
             return float(_PLAIN_NUMBER.sub("", text) if not re.search(r"_v\d+$", text) else text.rpartition("_v")[2])
@@ -369,15 +376,17 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
     Column names are canonical paths with ``__`` for dots. Only keys in ``skip`` are left
     out, by default none. Where several paths of one record
     mean the same, the canonical one goes first. Broken lines give no row. Objects given as
-    text are opened.
+    text are opened. What has no place in a column is in ``rest``, a JSON list of [path,
+    value]: values that can't be cast, second values of one meaning, empty objects, and
+    paths that ``meaning`` doesn't have. It is null where nothing is left.
     """
     names = sorted({p for p, t in meaning.values() if t != "object"})
     kinds = {p: t for p, t in meaning.values()}
     ignored = frozenset(skip)
     source = df.select(*keys, F.col(raw).alias("__raw"))
-    named = _column_names(names, keys)
+    named = _column_names(names, [*keys, "rest"])
     columns = [f"`{named[n].replace('`', '``')}` {'double' if kinds[n] == 'number' else 'string'}" for n in names]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *columns])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *columns, "rest string"])
 
     def leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
         for key, value in record.items():
@@ -386,28 +395,37 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
             path = f"{prefix}{key}"
             if isinstance(value, str) and value[:1] == "{" and (inner := whole_object(value)) is not None:
                 value = inner
-            if isinstance(value, dict):
+            if isinstance(value, dict) and value:
                 yield from leaves(value, f"{path}.")
             else:
                 yield path, value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], {n: [] for n in names}
+            at, out, left = [], {n: [] for n in names}, []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 if (record := whole_object(text)) is None:
                     continue
                 at.append(i)
                 row: dict[str, object] = {}
+                origin: dict[str, tuple[str, object]] = {}
+                rest: list[tuple[str, object]] = []
                 for path, value in leaves(record):
                     canonical, kind = meaning.get(path, (path, ""))
-                    if canonical in out and (path == canonical or canonical not in row):
-                        row[canonical] = cast_value(value, kind)
+                    cast = cast_value(value, kind) if canonical in out and value != {} else None
+                    if cast is None or canonical in row and path != canonical:
+                        rest.append((path, value))
+                        continue
+                    if canonical in row:
+                        rest.append(origin[canonical])
+                    row[canonical], origin[canonical] = cast, (path, value)
+                left.append(json.dumps(rest) if rest else None)
                 for n in names:
                     out[n].append(row.get(n))
             rows = pa.array(at, pa.int32())
             arrays = [batch.column(k).take(rows) for k in range(len(keys))]
             arrays += [pa.array(out[n], pa.float64() if kinds[n] == "number" else pa.string()) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, *named.values()])
+            arrays.append(pa.array(left, pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, [*keys, *named.values(), "rest"])
 
     return source.mapInArrow(run, schema)

@@ -9,9 +9,9 @@ from gaugeworks.operators.drift import SKIP, file_schemas, meanings, schema_chan
 from gaugeworks.runtime import materialised, table
 
 
-def _schemas(spark: SparkSession, base: str, skip: tuple[str, ...] = SKIP) -> DataFrame:
+def _schemas(spark: SparkSession, base: str, skip: tuple[str, ...] = SKIP, ordered: bool = True) -> DataFrame:
     log = table(spark, base, "experiment_log")
-    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", skip), "schemas")
+    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", skip, ordered), "schemas")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p5_table(spark: SparkSession, base: str) -> DataFrame:
     Renamings are those of the report. Below the keys that it leaves out, fields go by
     their own path: there keys such as subtypes are data, and would be taken for renamed.
     """
-    meaning = meanings(_schemas(spark, base, skip=()), schema_changes(_schemas(spark, base)))
+    meaning = meanings(_schemas(spark, base, skip=(), ordered=False), schema_changes(_schemas(spark, base)))
     return united(table(spark, base, "experiment_log"), ["rec_id", "file_id", "stream_id"], "raw", meaning)
 
 

@@ -79,7 +79,7 @@ def test_table_has_every_field(spark):
     assert [(table[i]["timestamp"], table[i]["scores__acc_2"]) for i in (1, 3)] == [("2026-01-02", 0.5), ("1770000000", 0.25)]
     assert (table[1]["scores__per__x"], json.loads(table[3]["scores__per"])) == (1, [{"y": 2}, {"z": 3}])
     assert json.loads(table[1]["parameters__stop"]) == [None, "END"]
-    assert json.loads(table[1]["tokens__calls"]) == {"id": 1} and table[3]["tokens__calls"] == "[]"
+    assert json.loads(table[1]["tokens__calls"]) == [{"id": 1}] and table[3]["tokens__calls"] == "[]"
     assert 7 in table[3].values() and 5 in table[3].values()
 
 
@@ -99,3 +99,19 @@ def test_renaming_found_at_any_number_of_paths():
     for more in (0, 500):
         rest = {f"k{chr(97 + i % 26)}{chr(97 + i // 26)}": {"w": i} for i in range(more)}
         assert changes(schema({"head": 1, "alpha": inside, **rest}), schema({"head": 1, "omega": inside, **rest})) == [("renamed", "alpha", "omega")]
+
+
+def test_table_keeps_what_has_no_place(spark, tmp_path):
+    from gaugeworks.plans.drifting import p5_table
+
+    first, second = {"n_rows": 50, "cost": 1}, {"n_docs": 60, "cost": "n/a"}
+    both = {"n_rows": 70, "n_docs": 80, "cost": [1, 2], "empty": {}, "big": 10**400}
+    rows = [(1, 1, 1, 10, first), (2, 1, 2, 11, second), (3, 1, 3, 12, both), (4, None, 1, 13, {"only_here": "x"}), (5, 2, None, 14, {"cost": 3}), (6, 3, 1, 15, {"cost": 4}), (7, 4, 1, 16, {"cost": 5})]
+    df = log(spark, [(*r[:4], json.dumps(r[4])) for r in rows]).toDF("rec_id", "stream_id", "file_seq", "file_id", "raw")
+    df.write.parquet(str(tmp_path / "experiment_log.parquet"))
+    got = {r.rec_id: r.asDict() for r in p5_table(spark, str(tmp_path)).collect()}
+    assert got[4]["only_here"] == "x" and got[1]["rest"] is None and got[1]["cost"] == 1
+    assert json.loads(got[2]["rest"]) == [["cost", "n/a"]] and got[2]["cost"] is None
+    rest = json.loads(got[3]["rest"])
+    assert ["cost", [1, 2]] in rest and ["empty", {}] in rest and ["big", 10**400] in rest
+    assert {got[3].get("n_rows"), got[3].get("n_docs"), *(v for p, v in rest if p in ("n_rows", "n_docs"))} >= {70, 80}
