@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.redelivery import MessageStore, is_message, with_message_key
+from gaugeworks.operators.redelivery import MessageStore, buckets_for, is_message, with_message_key
 from gaugeworks.runtime import fresh_path, table
 
 
@@ -17,12 +17,13 @@ def stored_messages(spark: SparkSession, base: str) -> tuple[MessageStore, DataF
     """
     rows = table(spark, base, "sorter_rows")
     keyed = with_message_key(rows, "trace_id", "filename", "message")
-    store = MessageStore(spark, fresh_path(spark, "messages"), "message", "received_at", "row_id")
-    low, high = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
+    low, high, n = rows.agg(F.min("batch_id"), F.max("batch_id"), F.count("*")).first()
+    store = MessageStore(spark, fresh_path(spark, "messages"), "message", "received_at", "row_id", buckets_for(n))
     cut = None if low is None else (low + high) // 2
     if cut is not None:
         store.merge(keyed.where(F.col("batch_id") <= cut))
     store.merge(keyed.where(F.col("batch_id").isNull() | (F.col("batch_id") > cut) if cut is not None else F.lit(True)))
+    store.vacuum()
     return store, keyed
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,11 +34,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+#: Paths in shared folders that this process made, to be deleted at its end.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder of this process
-    is set once; a cluster must name its own.
+    Where the setting is absent, a session on this machine alone (as in tests) gets a
+    temporary folder of this process; on a cluster, whose executors wouldn't see that,
+    it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -43,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     own = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
@@ -50,8 +61,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it lives as long as this process."""
+    if not _MADE:
+        atexit.register(clean_up)
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_up() -> None:
+    """Delete what :func:`fresh_path` gave out; frames that read it are of no use after."""
+    context = SparkContext._active_spark_context
+    while _MADE:
+        path = _MADE.pop()
+        try:
+            if path.startswith("file:") or "://" not in path:
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            elif context is not None:
+                at = context._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            continue
 
 
 def materialised(df: DataFrame, what: str) -> DataFrame:

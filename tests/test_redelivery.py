@@ -83,3 +83,44 @@ def test_keys_survive_any_order(spark, tmp_path):
     for k in range(3):
         s.merge(frame(spark, rows[k::3]))
     assert sorted(r.row_id for r in s.read().collect()) == want
+
+
+def test_a_small_batch_reads_only_its_buckets_and_partitions(spark, tmp_path):
+    s = MessageStore(spark, f"file://{tmp_path}/store", "message", "at", "row_id", buckets=4)
+    s.merge(frame(spark, [(i, HEX, str(i), at(5, 1 + i % 6), str(i)) for i in range(240)]))
+    before = s._state()
+    assert len(before["index"]) == 4 and len(before["parts"]) == 24
+    touched = s.merge(frame(spark, [(900, HEX, "7", at(1, 2), "7")]))
+    after = s._state()
+    assert len(touched) == 1 and next(iter(touched)).startswith("2025-02")
+    bucket = next(iter(touched)).rpartition(".")[2]
+    assert {p for p in after["parts"] if after["parts"][p] != before["parts"].get(p)} == touched
+    assert {b for b in after["index"] if after["index"][b] != before["index"][b]} == {bucket}
+    # the look-up opens the index of one bucket, the merge one partition
+    assert all(f"index/__dir={bucket}/" in f for f in s.index({int(bucket)}, before).inputFiles())
+    assert all(f"rows/__dir={next(iter(touched))}/" in f for f in s._rows(before, touched).inputFiles())
+    assert sorted(r.row_id for r in s.read().collect()) == sorted({*range(240), 900} - {7})
+    # the index names the partition of every message, once
+    want = sorted((r["__hash"], r["__part"]) for r in s._rows(after).collect())
+    assert sorted(tuple(r) for r in s.index().collect()) == want and len(want) == 240
+
+
+def test_vacuum_keeps_what_the_newest_version_needs(spark, tmp_path):
+    s = MessageStore(spark, f"file://{tmp_path}/store", "message", "at", "row_id", buckets=2)
+    for k in range(3):
+        s.merge(frame(spark, [(10 * k + i, HEX, str(i), at(9 - k, 1), str(i)) for i in range(6)]))
+    assert s.vacuum() > 0 and s.vacuum() == 0
+    assert sorted(r.row_id for r in s.read().collect()) == [20 + i for i in range(6)]
+    assert s.manifest()[0] == 3 and sorted(s._versions()) == [3]
+    assert MessageStore(spark, f"file://{tmp_path}/store", "message", "at", "row_id", buckets=9).buckets == 2
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gaugeworks.runtime import shared_dir
+
+    option = lambda: SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=option)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
