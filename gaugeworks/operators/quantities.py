@@ -2,17 +2,19 @@
 
 A small grammar reads numbers (digits in either notation, fractions, number words in
 four languages, a figure in brackets after its words) and unit expressions around
-them. Units carry an exponent vector over base dimensions, a scale and an offset; a
-value is converted to the canonical unit of its dimension by (x * scale + offset), in
-exact fractions. Amounts named together add up; amounts in clauses on notice, cure or
-payment don't count. Dates are read by the same scanner or as bare numbers on a scale
-of days, of which a serial day number, Unix seconds and milliseconds are units with
-an offset.
+them: names with powers, joined by products and "per". A unit expression becomes one
+:class:`Unit`, an exponent vector over base dimensions with a scale and an offset, and
+:func:`convert` brings the number to the canonical unit of the dimension that is asked
+for, in exact fractions; an amount of another dimension ("30 days per year") isn't
+one. Amounts named together add up; amounts in clauses on notice, cure or payment
+don't count. Dates are read by the same scanner or as bare numbers on a scale of days,
+of which a serial day number, Unix seconds and milliseconds are units with an offset.
 """
 
 from __future__ import annotations
 
 import datetime
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ MEMO, MEMO_CHARS = 200_000, 400
 #: Base dimensions of the exponent vectors.
 BASES = ("time", "length", "mass", "temperature")
 TIME = (1, 0, 0, 0)
+#: Locales in which the month comes first in all-numeric dates; languages with a decimal comma.
+MONTH_FIRST, COMMA = ("en-US", "en-PH"), ("de", "fr", "es", "it")
 
 
 @dataclass(frozen=True)
@@ -60,6 +64,15 @@ def convert(value: Fraction, source: Unit, target: Unit) -> Fraction:
     return (source.canonical(value) - target.offset) / target.scale
 
 
+#: The canonical unit of time.
+DAY = Unit(TIME, Fraction(1))
+
+
+def time_units(hours: dict[str, int]) -> dict[str, Unit]:
+    """Units of time from their lengths in hours."""
+    return {name: Unit(TIME, Fraction(n, 24)) for name, n in hours.items()}
+
+
 # Scales of dates in days since 1970-01-01: units of time with an offset.
 DATE_SCALES = {
     "serial_1900": Unit(TIME, Fraction(1), Fraction(-25569)),
@@ -116,6 +129,8 @@ NO_TERM = r"\b(?:notice|cure|remedy|remedied|payment|payable|pays?|paid|invoices
 
 
 def _fold(text: str) -> str:
+    if text.isascii():
+        return " ".join(text.split())
     text = unicodedata.normalize("NFKC", text)
     text = re.sub(r"[\u200b-\u200d\ufeff]", "", text).replace("’", "'").replace("⁄", "/")
     return re.sub(r"\s+", " ", text.replace("–", "-").replace("—", "-").replace("−", "-")).strip()
@@ -198,14 +213,84 @@ _HALF = re.compile(r"\b(?P<n>[^\W\d_]+|\d+)\s+and\s+(?:a|one)\s+half\b", re.I)
 _HALF_A = re.compile(r"\bhalf\s*(?:an?\s+|-\s*)(?=[^\W\d_]+)", re.I)
 _DOZEN = re.compile(r"\b(?P<half>half\s+)?(?:an?\s+|(?P<n>one|two|three|\d+)\s+)?dozens?\b", re.I)
 _RECORD = re.compile(r"""^\{\s*"value"\s*:\s*"?(?P<n>[\d.,]+)"?\s*,\s*"unit"\s*:\s*"(?P<u>[^"]+)"\s*\}$|^\{\s*"unit"\s*:\s*"(?P<u2>[^"]+)"\s*,\s*"value"\s*:\s*"?(?P<n2>[\d.,]+)"?\s*\}$""", re.I)
+_DIGIT, _LABELLED = re.compile(r"\d"), re.compile(r"[\]:=]")
 _CLAUSE, _NO_TERM = re.compile(CLAUSE, re.I), re.compile(NO_TERM, re.I)
 
 
+#: What may follow a unit's name in a unit expression.
+_POWER = re.compile(r"\s?(?:(?:\^|\*\*)\s?(?P<n>[+-]?\d{1,2})|(?P<sup>[²³]))")
+_LINK = re.compile(r"\s?(?:(?P<times>[·×*])|(?P<over>/)|\bper\b(?<=per))\s?", re.I)
+_NAME_HERE = re.compile(rf"(?:{_UNIT_RE})(?![^\W_])\.?", re.I)
+_PLAIN_NAME = re.compile(r"[^\W\d_²³]+|°\s?[^\W\d_²³]+|%")
+_QUANTITY = re.compile(rf"\s*(?P<n>[+-]?(?:\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|{_DIGITS}))\s*(?P<unit>\S.*?)?\s*", re.S)
+
+
 def _unit(m: re.Match) -> tuple[str, str]:
-    name = next(k for k in _UNIT if m.group(k))
+    """(unit, language) of a match of one of the patterns above."""
+    name = m.lastgroup
+    if name not in _UNIT:
+        name = next(k for k in _UNIT if m.group(k))
     return tuple(name.split("_"))
 
 
+def _power(text: str, at: int, unit: Unit) -> tuple[Unit, int]:
+    if m := _POWER.match(text, at):
+        return unit ** (int(m["n"]) if m["n"] else "²³".index(m["sup"]) + 2), m.end()
+    return unit, at
+
+
+def unit_expression(text: str, at: int, first: Unit, named) -> tuple[Unit, int]:
+    """The unit of an expression whose first name ends at ``at``, and where it ends: powers,
+    and further names joined by a product or by "per". ``named`` gives (unit, end) of the
+    name at a position, or None. A unit with an offset stands alone."""
+    unit, at = _power(text, at, first)
+    while (link := _LINK.match(text, at)) and (more := named(text, link.end())):
+        other, end = _power(text, more[1], more[0])
+        unit, at = unit * other ** (1 if link["times"] else -1), end
+    return unit, at
+
+
+def parse_unit(text: str, units: dict[str, Unit]) -> Unit | None:
+    """The unit that a whole text such as ``kg*m/s^2`` means; None if it means none."""
+
+    def named(t: str, at: int) -> tuple[Unit, int] | None:
+        m = _PLAIN_NAME.match(t, at)
+        found = m and (units.get(m[0]) or units.get(m[0].lower()))
+        return (found, m.end()) if found else None
+
+    text = text.strip()
+    try:
+        if (first := named(text, 0)) is None:
+            return None
+        unit, end = unit_expression(text, first[1], first[0], named)
+    except ValueError:
+        return None
+    return unit if end == len(text) else None
+
+
+def quantity(text: str | None, units: dict[str, Unit], comma: bool = False) -> tuple[Fraction, tuple[int, ...]] | None:
+    """(canonical value, exponent vector) of a text that is a number and a unit expression of
+    any dimension; None for other texts."""
+    m = _QUANTITY.fullmatch(text) if text else None
+    unit = parse_unit(m["unit"], units) if m and m["unit"] else None
+    if unit is None:
+        return None
+    *whole, last = m["n"].split()
+    n = Fraction(last) if "/" in last and not last.endswith("/0") else number_of_digits(m["n"], comma)
+    return None if n is None else (unit.canonical(n + (int(whole[0]) if whole else 0)), unit.dims)
+
+
+def _time_name(units: dict[str, Unit]):
+    """The ``named`` of :func:`unit_expression` for the names of the units of time."""
+
+    def named(text: str, at: int) -> tuple[Unit, int] | None:
+        m = _NAME_HERE.match(text, at)
+        unit = units.get(_unit(m)[0]) if m else None
+        return (unit, m.end()) if unit else None
+
+    return named
+
+
 def stated_clauses(text: str) -> list[str]:
     """The clauses of a text that may state a term."""
     cuts = [0, *(m.start() for m in _CLAUSE.finditer(text)), len(text)]
@@ -213,31 +298,51 @@ def stated_clauses(text: str) -> list[str]:
     return [p for p in parts if not _NO_TERM.search(p)]
 
 
-def duration(value: str, locale: str | None, bare_unit: str | None, hours: dict[str, int]) -> Fraction | None:
-    """The length of time a text states, in hours; None if it states none.
+def _days(n: Fraction | int, unit: Unit | None) -> Fraction | None:
+    """``n`` of a unit in days; None for no unit and for one that isn't a length of time."""
+    if unit is None or unit.dims != TIME:
+        return None
+    return convert(Fraction(n), unit, DAY)
+
+
+def duration(value: str, locale: str | None, bare_unit: str | None, units: dict[str, Unit], comma_in: tuple[str, ...] = COMMA) -> Fraction | None:
+    """The length of time a text states, in days; None if it states none.
 
-    ``hours`` are the lengths of the units, ``bare_unit`` that of a number without one.
+    ``units`` are the units of time by name, ``bare_unit`` that of a number without one.
     """
     text = _fold(value).strip("~;:.* \"'").strip()
-    comma = (locale or "en")[:2] in ("de", "fr", "es", "it")
-    if m := _ISO.fullmatch(text.replace(" ", "")):
+    comma = (locale or "en")[:2] in comma_in
+    if text[:1] in "Pp" and (m := _ISO.fullmatch(text.replace(" ", ""))):
         names = ("year", "month", "week", "day", "hour")
-        found = [(number_of_digits(g.replace(",", "."), False), u) for g, u in zip(m.groups(), names, strict=True) if g]
-        return sum(n * hours[u] for n, u in found) if found else None
-    if m := _RECORD.fullmatch(text):
+        found = [_days(number_of_digits(g.replace(",", "."), False), units.get(u)) for g, u in zip(m.groups(), names, strict=True) if g]
+        return sum(found) if found and None not in found else None
+    if text[:1] == "{" and (m := _RECORD.fullmatch(text)):
         text, comma = f"{m['n'] or m['n2']} {m['u'] or m['u2']}", False
     if m := _BARE.fullmatch(text):
         n = number_of_digits(m["digits"].lstrip("+"), comma and "," in m["digits"])
-        return n * hours[bare_unit] if n is not None and bare_unit in hours else None
-    total, any_ = Fraction(0), False
+        return None if n is None else _days(n, units.get(bare_unit))
+    named, amounts = _time_name(units), []
     for clause in stated_clauses(text):
         clause = clause.replace("_", " ")
-        clause = _DOZEN.sub(lambda m: str((6 if m["half"] else 12) * (int(m["n"]) if (m["n"] or "").isdigit() else WORDS.get((m["n"] or "one").lower(), (1,))[0])), clause)
-        clause = _HALF.sub(lambda m: f"{m['n'] if m['n'].isdigit() else WORDS.get(m['n'].lower(), (m['n'],))[0]} 1/2", clause)
-        clause = _HALF_A.sub("1/2 ", clause)
+        if "ozen" in clause or "OZEN" in clause:
+            clause = _DOZEN.sub(lambda m: str((6 if m["half"] else 12) * (int(m["n"]) if (m["n"] or "").isdigit() else WORDS.get((m["n"] or "one").lower(), (1,))[0])), clause)
+        if "alf" in clause or "ALF" in clause:
+            clause = _HALF.sub(lambda m: f"{m['n'] if m['n'].isdigit() else WORDS.get(m['n'].lower(), (m['n'],))[0]} 1/2", clause)
+            clause = _HALF_A.sub("1/2 ", clause)
         taken: list[tuple[int, int]] = []
-        for pattern in (_UNIT_FIRST, _AMOUNT):
-            for m in pattern.finditer(clause):
+
+        def add(m: re.Match, n: Fraction | int | None, unit: Unit | None, clause: str = clause, taken: list = taken) -> None:
+            """Counts an amount with the unit expression that begins at its unit's name."""
+            if n is None or unit is None:
+                return
+            unit, end = unit_expression(clause, m.end(), unit, named)
+            taken.append((m.start(), end))
+            if (days := _days(n, unit)) is not None:
+                amounts.append(days)
+
+        digits = _DIGIT.search(clause) is not None
+        for pattern, due in ((_UNIT_FIRST, digits and _LABELLED.search(clause)), (_AMOUNT, digits)):
+            for m in pattern.finditer(clause) if due else ():
                 if any(m.start() < e and m.end() > s for s, e in taken):
                     continue
                 unit, lang = _unit(m)
@@ -248,10 +353,9 @@ def duration(value: str, locale: str | None, bare_unit: str | None, hours: dict[
                     n = Fraction(int(g["num2"]), int(g["den2"])) if int(g["den2"]) else None
                 else:
                     n = number_of_digits(g["digits"], lang != "en")
-                if n is not None and unit in hours:
-                    total, any_ = total + n * hours[unit], True
-                    taken.append((m.start(), m.end()))
-        for m in _SPELT.finditer(clause):
+                add(m, n, units.get(unit))
+        # spelt-out numbers stand before their unit's name; an amount that is the whole clause leaves none
+        for m in _SPELT.finditer(clause) if not taken or taken[0] != (0, len(clause)) else ():
             if any(m.start() < e and m.end() > s for s, e in taken) or len(m.group()) < 2:
                 continue
             before = clause[: m.start()].rstrip(" -").lower()
@@ -268,15 +372,10 @@ def duration(value: str, locale: str | None, bare_unit: str | None, hours: dict[
                     if n is None:
                         break
                     best = n
-                unit, _ = _unit(m)
-                if best is not None and unit in hours:
-                    total, any_ = total + best * hours[unit], True
-                    taken.append((m.start(), m.end()))
+                add(m, best, units.get(_unit(m)[0]))
         if not taken and (m := _ONE_OF.search(clause)):
-            unit = m.lastgroup
-            if unit in hours:
-                total, any_ = total + hours[unit], True
-    return total if any_ else None
+            add(m, 1, units.get(m.lastgroup))
+    return sum(amounts) if amounts else None
 
 
 _M = "|".join(f"(?P<m{k}>{p})" for k, p in MONTH_NAMES.items())
@@ -297,10 +396,18 @@ _EFFECTIVE = re.compile(r"effective|commenc|in force|wirksam|in kraft|effet|vigo
 _EPOCH = datetime.date(1970, 1, 1)
 
 
-def dates_in(text: str, locale: str | None) -> list[tuple[int, int, int]]:
+#: What any full date has: a year of four digits, digits around a separator, or a word before two digits.
+_DATE_HINT = re.compile(r"\d{4}|\d\s?[-/.]\s?\d|[^\W\d_]{3}[\s.,'-]*(?:(?:of|del?)\s+)?'?\d\d(?!\d)", re.I)
+
+
+def dates_in(text: str, locale: str | None, month_first: tuple[str, ...] = MONTH_FIRST) -> list[tuple[int, int, int]]:
     """(start, end, days since 1970-01-01) of the full dates in a folded text."""
     found: list[tuple[int, int, int]] = []
+    if not _DATE_HINT.search(text):
+        return found
     for kind, pattern in _DATES:
+        if found and found[0][0] == 0 and found[0][1] == len(text):
+            return found
         for m in pattern.finditer(text):
             if any(m.start() < e and m.end() > s for s, e, _ in found):
                 continue
@@ -316,7 +423,7 @@ def dates_in(text: str, locale: str | None) -> list[tuple[int, int, int]]:
                     day = datetime.date.fromisocalendar(year, int(g["w"]), int(g["wd"]))
                 elif kind == "num":
                     a, b = int(g["a"]), int(g["b"])
-                    month, dom = (a, b) if locale in ("en-US", "en-PH") else (b, a)
+                    month, dom = (a, b) if locale in month_first else (b, a)
                     day = datetime.date(year, month, dom)
                 elif kind in ("ymd", "compact"):
                     day = datetime.date(year, int(g["mo"]), int(g["d"]))
@@ -329,7 +436,7 @@ def dates_in(text: str, locale: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def single_day(value: str, locale: str | None, scale: str | None) -> int | None:
+def single_day(value: str, locale: str | None, scale: str | None, month_first: tuple[str, ...] = MONTH_FIRST) -> int | None:
     """Days since 1970-01-01 of the one day that a text fixes; None if it fixes none.
 
     A bare number is on ``scale``. Days of signing don't count where another is named.
@@ -344,9 +451,9 @@ def single_day(value: str, locale: str | None, scale: str | None) -> int | None:
                 return None
         if scale not in DATE_SCALES:
             return None
-        days = DATE_SCALES[scale].canonical(n)
+        days = convert(n, DATE_SCALES[scale], DAY)
         return days.numerator // days.denominator
-    found = dates_in(text, locale)
+    found = dates_in(text, locale, month_first)
     days = {d for _, _, d in found}
     if len(days) > 1:
         told: dict[int, list[str]] = {}
@@ -362,15 +469,11 @@ def single_day(value: str, locale: str | None, scale: str | None) -> int | None:
     return next(iter(days)) if len(days) == 1 else None
 
 
-def _rounded(x: Fraction) -> int:
-    return round(x)
-
-
 class Reader:
     """Reads values with the units of their site, and remembers them."""
 
-    def __init__(self, sites: dict[int, tuple[str | None, str | None, str | None]], hours: dict[str, int]):
-        self.sites, self.hours = sites, hours
+    def __init__(self, sites: dict[int, tuple[str | None, str | None, str | None]], hours: dict[str, int], month_first: tuple[str, ...] = MONTH_FIRST, comma: tuple[str, ...] = COMMA):
+        self.sites, self.units, self.month_first, self.comma = sites, time_units(hours), month_first, comma
         self._memo: dict[tuple, tuple[int | None, int | None]] = {}
 
     def read(self, kind: str, value: str | None, site: int | None) -> tuple[int | None, int | None]:
@@ -390,37 +493,51 @@ class Reader:
 
     def _read(self, kind: str, value: str, locale: str | None, unit: str | None, scale: str | None) -> tuple[int | None, int | None]:
         if kind == "date":
-            return single_day(value, locale, scale), None
+            return single_day(value, locale, scale, self.month_first), None
         text = _fold(value)
-        dates = [] if re.fullmatch(r"[~\s]*[\d.,]+[;\s]*", text) else dates_in(text, locale)
+        dates = [] if re.fullmatch(r"[~\s]*[\d.,]+[;\s]*", text) else dates_in(text, locale, self.month_first)
         if dates:
             last = {d for _, _, d in dates}
             rest = text
             for s, e, _ in reversed(dates):
                 rest = rest[:s] + " " + rest[e:]
-            length = duration(rest, locale, None, self.hours)
+            length = duration(rest, locale, None, self.units, self.comma)
             if length is None:
                 return None, dates[-1][2] if kind == "term" and len(last) == 1 else None
-            return _rounded(length / 24), None
-        length = duration(value, locale, unit, self.hours)
-        return (None if length is None else _rounded(length / 24)), None
+            return round(length), None
+        length = duration(value, locale, unit, self.units, self.comma)
+        return (None if length is None else round(length)), None
+
+
+_READERS: dict[str, Reader] = {}
 
 
-def with_days(df: DataFrame, kind: str, value: str, site: str, sites: dict, hours: dict[str, int]) -> DataFrame:
+def _reader(key: str, *settings) -> Reader:
+    """The reader of these settings, one per worker, so that tasks share what it remembers."""
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(*settings)
+    return _READERS[key]
+
+
+def with_days(
+    df: DataFrame, kind: str, value: str, site: str, sites: dict, hours: dict[str, int], month_first: tuple[str, ...] = MONTH_FIRST, comma: tuple[str, ...] = COMMA
+) -> DataFrame:
     """``df`` with ``days`` and ``last_day``, read from ``value`` by a :class:`Reader`.
 
     ``kind`` names the column with length, term or date. ``sites`` (id -> locale, unit of bare
     numbers, scale of bare dates) and ``hours`` are small and fixed; the caller checks
-    their size. Null, blank and senseless values and
+    their size. ``month_first`` are the locales of dates such as 12/31/2024, ``comma`` the
+    languages with a decimal comma. Null, blank and senseless values and
     unknown sites give null; columns of these two names are replaced.
     """
     df = df.drop("days", "last_day")
-    shared = df.sparkSession.sparkContext.broadcast((sites, hours))
+    shared = df.sparkSession.sparkContext.broadcast((sites, hours, month_first, comma))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "days bigint", "last_day bigint"])
-    columns = df.columns
+    columns, of = df.columns, hashlib.sha1(repr((sites, hours, month_first, comma)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*shared.value)
+        reader = _reader(of, *shared.value)
         at = [columns.index(c) for c in (kind, value, site)]
         for batch in batches:
             found = [reader.read(*row) for row in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
@@ -443,7 +560,9 @@ def site_units(sites: DataFrame, units: DataFrame, limit: int = 100_000) -> tupl
 def lengths_from_last_days(df: DataFrame, extraction: str, side: str, is_start: str) -> DataFrame:
     """``days`` of rows with a ``last_day``, counted from the start date on the same side of
     the same extraction. Start rows are those where ``is_start`` holds; of several the one
-    of the smallest row id counts. Only rows with a last day meet the start dates."""
+    of the smallest row id counts. Only rows with a last day meet the start dates.
+
+    ``df`` is read three times; the caller materialises what was dear to make."""
     starts = (
         df.where(F.col(is_start) & F.col("days").isNotNull() & F.col(extraction).isNotNull())
         .groupBy(extraction, side)
@@ -451,3 +570,26 @@ def lengths_from_last_days(df: DataFrame, extraction: str, side: str, is_start:
     )
     open_ = df.where("last_day is not null").join(starts, [extraction, side]).withColumn("days", F.col("last_day") - F.col("__start")).drop("__start")
     return df.where("last_day is null").unionByName(open_)
+
+
+def with_canonical(df: DataFrame, value: str, units: dict[str, Unit], out: str = "quantity", comma: bool = False) -> DataFrame:
+    """``df`` with ``out``, a struct of the canonical value (double) and the exponent vector
+    over :data:`BASES` of the quantity that ``value`` states, of whatever dimension.
+
+    ``units`` are the known units by name; names are tried as written, then in lower case.
+    Null, blank and senseless values and unknown units give null; a column named ``out``
+    is replaced."""
+    df = df.drop(out)
+    shared = df.sparkSession.sparkContext.broadcast((units, comma))
+    columns, at = df.columns, df.columns.index(value)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` struct<value: double, dims: array<int>>"])
+    kind = pa.struct([("value", pa.float64()), ("dims", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, decimal_comma = shared.value
+        for batch in batches:
+            found = [quantity(v, known, decimal_comma) for v in batch.column(at).to_pylist()]
+            rows = [None if q is None else {"value": float(q[0]), "dims": list(q[1])} for q in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*columns, out])
+
+    return df.mapInArrow(run, schema)

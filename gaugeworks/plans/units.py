@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.quantities import lengths_from_last_days, site_units, with_days
-from gaugeworks.runtime import spread, table
+from gaugeworks.runtime import materialised, spread, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     long = fields.select("row_id", "extraction_id", "site_id", kind.alias("kind"), each.alias("v")).select(
         "row_id", "extraction_id", "site_id", "kind", "v.side", "v.value"
     )
-    read = with_days(spread(long.where("value is not null"), "row_id"), "kind", "value", "site_id", sites, hours).drop("value", "site_id")
-    read = read.withColumn("is_date", F.col("kind") == "date")
-    found = lengths_from_last_days(read, "extraction_id", "side", "is_date")
+    read = with_days(spread(long.where("value is not null"), "row_id"), "kind", "value", "site_id", sites, hours)
+    told = read.where("days is not null or last_day is not null").select("row_id", "extraction_id", "side", "days", "last_day", (F.col("kind") == "date").alias("is_date"))
+    found = lengths_from_last_days(materialised(told, "lengths"), "extraction_id", "side", "is_date")
     return found.where("days is not null").select("row_id", "side", "days")

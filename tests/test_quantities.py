@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from gaugeworks.operators.quantities import DATE_SCALES, TIME, Reader, Unit, convert, lengths_from_last_days, number_of_words, with_days
+from gaugeworks.operators.quantities import DATE_SCALES, TIME, Reader, Unit, convert, lengths_from_last_days, number_of_words, quantity, with_canonical, with_days
 
 HOURS = {"hour": 1, "day": 24, "week": 168, "fortnight": 336, "month": 720, "quarter": 2160, "year": 8760, "decade": 87600}
 SITES = {1: ("en-US", "month", "serial_1900"), 2: ("de-DE", "year", "yyyymmdd"), 3: ("en-GB", "day", "unix_second")}
@@ -73,3 +73,36 @@ def test_last_day_counts_from_the_start(spark):
     got = sorted((r.row_id, r.days) for r in found.where("kind <> 'date' and days is not null").collect())
     assert got == [(1, 365), (4, 730)]
     assert with_days(df.limit(0), "kind", "value", "site", SITES, HOURS).count() == 0
+
+
+UNITS = {"m": Unit((0, 1, 0, 0), Fraction(1)), "km": Unit((0, 1, 0, 0), Fraction(1000)), "h": Unit(TIME, Fraction(1, 24)), "s": Unit(TIME, Fraction(1, 86_400)),
+         "kg": Unit((0, 0, 1, 0), Fraction(1)), "°c": Unit((0, 0, 0, 1), Fraction(1), Fraction(27315, 100))}
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "dims"),
+    [("36 km/h", 864_000, (-1, 1, 0, 0)), ("3 km per h", 72_000, (-1, 1, 0, 0)), ("5 kg*m²", 5, (0, 2, 1, 0)), ("20 °C", Fraction(29315, 100), (0, 0, 0, 1)), ("1 1/2 km", 1500, (0, 1, 0, 0)), ("2 m^-1", 2, (0, -1, 0, 0))],
+)
+def test_unit_expressions(text, value, dims):
+    assert quantity(text, UNITS) == (value, dims)
+
+
+def test_senseless_quantities(spark):
+    for text in (None, "", "  ", "7", "x", "2 furlong", "3 °C/s", "3 km/", "9" * 50_000 + " q", "1/0 km"):
+        assert quantity(text, UNITS) is None
+    df = spark.createDataFrame([(1, "36 km/h", "a"), (2, None, "b"), (2, "x", "b")], "id int, v string, quantity string")
+    rows = with_canonical(df, "v", UNITS).collect()
+    assert rows[0].quantity.value == 864_000 and list(rows[0].quantity.dims) == [-1, 1, 0, 0] and rows[1].quantity is None and rows[2].quantity is None
+    assert with_canonical(df.limit(0), "v", UNITS).count() == 0
+
+
+def test_an_amount_of_another_dimension_is_no_length():
+    read = Reader(SITES, HOURS).read
+    assert read("length", "30 days per year", 1) == (None, None)
+    assert read("length", "2 years, 30 days per year", 1) == (730, None)
+    assert read("length", "12 months/renewable", 1) == (360, None)
+
+
+def test_month_first_and_comma_are_parameters():
+    assert Reader({1: ("xx-AA", None, None)}, HOURS, month_first=("xx-AA",)).read("date", "3/2/2011", 1)[0] == day(2011, 3, 2)
+    assert Reader({1: ("xx-AA", "year", None)}, HOURS, comma=("xx",)).read("length", "0,5", 1)[0] == 182
