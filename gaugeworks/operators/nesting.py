@@ -1,19 +1,22 @@
 """Deeply nested records as flat node tables linked by interval containment.
 
 A depth-first walk numbers every node of a record on entry (``pre``) and on exit
-(``post``). Node A contains node B exactly if A.pre < B.pre and B.post < A.post, so the
-rows of one node table find their parent in another without stored paths. The walk
-is per record, batches of Arrow rows at a time; nothing is shuffled.
-
-Nodes are objects that are elements of a list, or entries of an object at a map key
-such as ``per_subtype``. Two things need knowledge of other records: an object where
-the field otherwise holds a list of objects counts as its only element. The keys that
-hold lists of objects are gathered in a first pass over all records.
+(``post``): the record itself, every object, every list and every plain value in a list.
+Node A contains node B exactly if A.pre < B.pre and B.post < A.post, so the rows of one
+node table find their parent in another without stored paths, and a record can be
+rebuilt from its rows (:func:`rebuilt`). The walk is per record and keeps a stack of
+its own, so depth is bounded by the JSON parser only; nothing is shuffled.
+
+An *entry* is an object that is an element of a list, or an entry of an object at one of
+the map keys that the caller names. Two things need knowledge of other records: an
+object where the field otherwise holds a list of objects counts as its only element. The
+keys that hold lists of objects are gathered in a first pass over all records.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +53,10 @@ def as_list(value: object) -> list | None:
     return None
 
 
+#: At a quote: a key and the beginning of a list, or of JSON text of one, in which an object may follow.
+_LIST_KEY = re.compile(r'"(?=((?:[^"\\]|\\.)*+)"\s*+:\s*+(?:"\s*\[|\[(?:[\s,\[\]\d.eE+\-a-z]|"(?:[^"\\]|\\.)*+")*+\{))')
+
+
 def list_keys(record: dict) -> set[str]:
     """Keys under which ``record`` holds a list with an object in it."""
     found: set[str] = set()
@@ -65,120 +72,211 @@ def list_keys(record: dict) -> set[str]:
     return found
 
 
-class Walk:
-    """Nodes of one record in order of entry."""
+#: Kinds of nodes. An ``entry`` and an ``only`` element are objects, ``list_text`` is a list given as JSON text.
+RECORD, OBJECT, MAP, ENTRY, ONLY, LIST, LIST_TEXT, VALUE = "record", "object", "map", "entry", "only", "list", "list_text", "value"
+ENTRIES, LISTS = (ENTRY, ONLY), (LIST, LIST_TEXT)
+#: Characters of paths after which rows are handed on.
+FLUSH = 32_000_000
 
-    def __init__(self, keys: set[str], map_keys: set[str]):
-        self.keys, self.map_keys = keys, map_keys
-        self.clock = 0
-        self.nodes: list[list] = []  # path, pre, post, table, scalars
 
-    def record(self, value: dict) -> list[list]:
-        self._fields(value, "", "")
-        return self.nodes
+class Node:
+    """One node: where it stands, its interval and its plain fields."""
 
-    def _node(self, value: dict, path: str, table: str) -> None:
-        self.clock += 1
-        row = [path, self.clock, 0, table, {k: x for k, x in value.items() if not isinstance(x, (dict, list))}]
-        self.nodes.append(row)
-        self._fields(value, path, table)
-        self.clock += 1
-        row[2] = self.clock
+    __slots__ = ("path", "table", "kind", "key", "pos", "pre", "post", "fields", "entry", "up")
 
-    def _fields(self, value: dict, path: str, table: str) -> None:
-        for key, x in value.items():
-            at, of = (f"{path}.{key}", f"{table}.{key}") if path else (key, key)
-            if isinstance(x, dict):
-                if key in self.map_keys:
-                    for k, entry in x.items():
-                        if isinstance(entry, dict):
-                            self._node(entry, f"{at}[{k}]", of)
-                elif key in self.keys:
-                    self._node(x, f"{at}[0]", of)
-                else:
-                    self._fields(x, at, of)
-            elif (items := as_list(x)) is not None:
-                self._items(items, at, of)
-
-    def _items(self, items: list, at: str, of: str) -> None:
-        for i, x in enumerate(items):
+    def __init__(self, path: str, table: str, kind: str, key: str | None, pos: int | None, pre: int):
+        self.path, self.table, self.kind, self.key, self.pos, self.pre, self.post = path, table, kind, key, pos, pre, 0
+        self.fields: dict[str, object] = {}
+
+
+def walk(record: dict, keys: set[str], map_keys: set[str], values: bool = True) -> list[Node]:
+    """The nodes of one record in order of entry, numbered depth first without recursion;
+    plain values in lists have their numbers even where they aren't asked for."""
+    clock, root = 1, Node("", "", RECORD, None, None, 1)
+    found, stack = [root], [(root, iter(record.items()))]
+    while stack:
+        node, children = stack[-1]
+        listed = node.kind in LISTS
+        for key, x in children:
+            if node.kind == MAP or listed:
+                at, of = f"{node.path}[{key}]", node.table
+            else:
+                at, of = (f"{node.path}.{key}", f"{node.table}.{key}") if node.path else (key, key)
+            inside: object = x
             if isinstance(x, dict):
-                self._node(x, f"{at}[{i}]", of)
+                kind = ENTRY if node.kind == MAP or listed else MAP if key in map_keys else ONLY if key in keys else OBJECT
+                at = f"{at}[0]" if kind == ONLY else at
             elif isinstance(x, list):
-                self._items(x, f"{at}[{i}]", of)
+                kind = LIST
+            elif not listed and (inside := as_list(x)) is not None:
+                kind = LIST_TEXT
+            elif listed:
+                kind = VALUE
+            else:
+                node.fields[key] = x
+                continue
+            clock += 1
+            if kind == VALUE and not values:
+                clock += 1
+                continue
+            child = Node(at, of, kind, None if listed else key, key if listed else None, clock)
+            found.append(child)
+            if kind == VALUE:
+                child.fields["value"] = x
+                clock += 1
+                child.post = clock
+                continue
+            stack.append((child, iter(enumerate(inside) if kind in LISTS else inside.items())))
+            break
+        else:
+            clock += 1
+            node.post = clock
+            stack.pop()
+    return found
 
 
-def link(nodes: list[list]) -> list[str]:
-    """The path of the smallest interval around each node ('' for none). Nodes come in
-    order of ``pre``; open intervals form a stack."""
-    parents, stack = [], []
-    for path, pre, post, *_ in nodes:
-        while stack and stack[-1][1] < pre:
+def link(nodes_: list[Node]) -> None:
+    """Sets ``up`` (pre of the smallest interval around a node, 0 for none) and ``entry`` (path
+    of the nearest entry around it, '' for none). Nodes come in order of ``pre``; the
+    intervals that are open form a stack."""
+    stack: list[Node] = []
+    entries: list[Node] = []
+    for node in nodes_:
+        while stack and stack[-1].post < node.pre:
             stack.pop()
-        parents.append(stack[-1][0] if stack and stack[-1][1] > post else "")
-        stack.append((path, post))
-    return parents
+        while entries and entries[-1].post < node.pre:
+            entries.pop()
+        node.up = stack[-1].pre if stack else 0
+        node.entry = entries[-1].path if entries else ""
+        stack.append(node)
+        if node.kind in ENTRIES:
+            entries.append(node)
 
 
-NODE_SCHEMA = "node string, parent string, node_table string, pre bigint, post bigint, fields map<string,string>"
+def _text(value: object) -> str | None:
+    return None if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-def nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = ("per_subtype",), fields: bool = True) -> DataFrame:
-    """One row per node: ``row_id``, node, parent, node_table, pre, post and, if asked for,
-    its scalar fields as text.
+def _typed(value: object) -> dict[str, str | None]:
+    kind = "null" if value is None else "text" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "number"
+    return {"value": _text(value), "type": kind}
 
-    node is the path, ``[i]`` after the key of a list, ``[key]`` after a map key; null
-    elements hold their position. node_table names the table a node belongs to (its path
-    without positions). Lines that aren't whole JSON objects, null and blank lines have
-    no nodes; a repeated line has its nodes under its own id.
-    """
-    source = df.select(F.col(row_id).alias("rec"), F.col(raw).alias("raw"))
+
+def _untyped(value: str | None, kind: str) -> object:
+    return value if kind in ("text", "null") else json.loads(value)
+
+
+def rebuilt(rows: list) -> dict:
+    """The record of its rows from :func:`all_nodes`: of each node the containing one is the
+    smallest interval around it. Lists given as JSON text come back as lists."""
+    made, stack = {}, []
+    for row in sorted(rows, key=lambda r: r["pre"]):
+        own = {k: _untyped(v["value"], v["type"]) for k, v in row["fields"].items()}
+        value = [] if row["kind"] in LISTS else own["value"] if row["kind"] == VALUE else own
+        while stack and stack[-1][1] < row["pre"]:
+            stack.pop()
+        if not stack:
+            made = value
+        elif isinstance(stack[-1][0], list):
+            stack[-1][0].append(value)
+        else:
+            stack[-1][0][row["key"]] = value
+        stack.append((value, row["post"]))
+    return made
+
+
+def gathered_list_keys(df: DataFrame, raw: str) -> set[str]:
+    """Keys that hold a list of objects in some record; their number is checked.
+
+    Only lines in whose text a key not yet known may hold one are parsed: in a task, few."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[str] = set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if (record := whole_object(text)) is not None:
+                if text and not found.issuperset(_LIST_KEY.findall(text)) and (record := whole_object(text)) is not None:
                     found |= list_keys(record)
         yield pa.RecordBatch.from_pydict({"key": pa.array(sorted(found), pa.string())})
 
-    seen = source.select("raw").mapInArrow(gather, "key string").distinct()
-    keys = {r[0] for r in bounded_rows(seen, LIST_KEYS_LIMIT, "keys that hold lists of objects")}
-    maps = set(map_keys)
-    id_type = source.schema["rec"].dataType.simpleString()
-    schema = f"rec {id_type}, {NODE_SCHEMA if fields else NODE_SCHEMA.rpartition(', fields')[0]}"
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = df.select(raw).mapInArrow(gather, "key string").distinct()
+    return {r[0] for r in bounded_rows(seen, LIST_KEYS_LIMIT, "keys that hold lists of objects")}
+
+
+_COLUMNS = {
+    "node": ("string", pa.string(), lambda n: n.path),
+    "parent": ("string", pa.string(), lambda n: n.entry),
+    "node_table": ("string", pa.string(), lambda n: n.table),
+    "kind": ("string", pa.string(), lambda n: n.kind),
+    "key": ("string", pa.string(), lambda n: n.key),
+    "pos": ("int", pa.int32(), lambda n: n.pos),
+    "up": ("bigint", pa.int64(), lambda n: n.up),
+    "pre": ("bigint", pa.int64(), lambda n: n.pre),
+    "post": ("bigint", pa.int64(), lambda n: n.post),
+    "texts": ("map<string,string>", pa.map_(pa.string(), pa.string()), lambda n: [(k, _text(v)) for k, v in n.fields.items()]),
+    "typed": (
+        "map<string,struct<value:string,type:string>>",
+        pa.map_(pa.string(), pa.struct([("value", pa.string()), ("type", pa.string())])),
+        lambda n: [(k, _typed(v)) for k, v in n.fields.items()],
+    ),
+}
+
+
+def _walked(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...], columns: list[str], entries_only: bool) -> DataFrame:
+    keys, maps = gathered_list_keys(df, raw), set(map_keys)
+    source = df.select(F.col(row_id).alias("__rec"), F.col(raw).alias("__raw"))
+    names = ["fields" if c in ("texts", "typed") else c for c in columns]
+    schema = ", ".join([f"__rec {source.schema['__rec'].dataType.simpleString()}", *(f"{n} {_COLUMNS[c][0]}" for n, c in zip(names, columns, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makers = [_COLUMNS[c] for c in columns]
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("at", "node", "parent", "node_table", "pre", "post", "fields")}
+            at, out, size = [], [[] for _ in makers], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                arrays = [pa.array(values, kind) for values, (_, kind, _) in zip(out, makers, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *arrays], ["__rec", *names])
+
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if (record := whole_object(text)) is None:
                     continue
-                found = Walk(keys, maps).record(record)
-                out["parent"] += link(found)
-                for path, pre, post, table, scalars in found:
-                    out["at"].append(i)
-                    out["node"].append(path)
-                    out["pre"].append(pre)
-                    out["post"].append(post)
-                    out["node_table"].append(table)
-                    if fields:
-                        out["fields"].append([(k, None if v is None else v if isinstance(v, str) else json.dumps(v)) for k, v in scalars.items()])
-            arrays = [
-                batch.column(0).take(pa.array(out["at"], pa.int32())),
-                pa.array(out["node"], pa.string()),
-                pa.array(out["parent"], pa.string()),
-                pa.array(out["node_table"], pa.string()),
-                pa.array(out["pre"], pa.int64()),
-                pa.array(out["post"], pa.int64()),
-            ]
-            names = ["rec", "node", "parent", "node_table", "pre", "post"]
-            if fields:
-                arrays.append(pa.array(out["fields"], pa.map_(pa.string(), pa.string())))
-                names.append("fields")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return source.mapInArrow(walk, schema).withColumnRenamed("rec", row_id)
+                found = walk(record, keys, maps, not entries_only)
+                found = [n for n in found if n.kind in ENTRIES] if entries_only else found
+                link(found)
+                for node in found:
+                    at.append(i)
+                    size += len(node.path)
+                    for values, (_, _, get) in zip(out, makers, strict=True):
+                        values.append(get(node))
+                    if size > FLUSH:
+                        yield made()
+                        at, out, size = [], [[] for _ in makers], 0
+            yield made()
+
+    return source.mapInArrow(run, schema).withColumnRenamed("__rec", row_id)
+
+
+def nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = (), fields: bool = True) -> DataFrame:
+    """One row per entry: ``row_id``, node, parent, node_table, pre, post and, if asked for,
+    its plain fields as text.
+
+    node is the path, ``[i]`` after the key of a list, ``[key]`` after a key of ``map_keys``;
+    null elements hold their position. parent is the nearest entry around it, '' for the
+    record. node_table names the table a node belongs to (its path without positions).
+    Lines that aren't whole JSON objects, null and blank lines have no nodes; a repeated
+    line has its nodes under its own id. Other columns are left out.
+    """
+    return _walked(df, row_id, raw, map_keys, ["node", "parent", "node_table", "pre", "post", *(["texts"] if fields else [])], True)
+
+
+def all_nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per node of whatever kind, nothing left out: ``row_id``, node, parent (nearest
+    entry), node_table, kind, key (in its object) or pos (in its list), up (pre of the
+    node it stands in, 0 for the record), pre, post, fields (plain values with their type).
+
+    Rows are as for :func:`nodes`; a record without anything in it has its own row. Where a
+    key occurs twice in an object, the last one counts, as for any JSON parser.
+    """
+    return _walked(df, row_id, raw, map_keys, ["node", "parent", "node_table", "kind", "key", "pos", "up", "pre", "post", "typed"], False)
 
 
 def node_table(all_nodes: DataFrame, name: str) -> DataFrame:

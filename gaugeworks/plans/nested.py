@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.operators.nesting import contained, node_table, nodes
+from gaugeworks.operators.nesting import all_nodes, contained, node_table, nodes
 from gaugeworks.runtime import table
 
 
+#: Objects at these keys are maps: each of their entries is an object of one kind.
+MAP_KEYS = ("per_subtype",)
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return nodes(table(spark, base, "experiment_log"), "rec_id", "raw", fields=False).select("rec_id", "node", "parent")
+    return nodes(table(spark, base, "experiment_log"), "rec_id", "raw", MAP_KEYS, fields=False).select("rec_id", "node", "parent")
 
 
 def p6_nodes(spark: SparkSession, base: str) -> DataFrame:
-    """All node tables in one frame, with their scalar fields."""
-    return nodes(table(spark, base, "experiment_log"), "rec_id", "raw")
+    """All node tables in one frame: records, objects, lists and values, with their plain fields."""
+    return all_nodes(table(spark, base, "experiment_log"), "rec_id", "raw", MAP_KEYS)
 
 
 def p6_evidence_of_failures(spark: SparkSession, base: str) -> DataFrame:
     """Evidence rows with the failure they stand in, joined by intervals."""
-    all_nodes = nodes(table(spark, base, "experiment_log"), "rec_id", "raw")
+    entries = nodes(table(spark, base, "experiment_log"), "rec_id", "raw", MAP_KEYS)
     failures = "scores.sorter.failure_insights.failures"
-    return contained(node_table(all_nodes, f"{failures}.evidence"), node_table(all_nodes, failures), "rec_id")
+    return contained(node_table(entries, f"{failures}.evidence"), node_table(entries, failures), "rec_id")
