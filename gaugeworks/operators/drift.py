@@ -11,11 +11,15 @@ follow groups of paths that mean the same, to which records are cast and united.
 
 from __future__ import annotations
 
+import bisect
+import functools
+import heapq
 import json
 import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +38,37 @@ FROM_PARENT, FROM_CHILDREN, RENAMED, ACROSS = 0.15, 0.4, 0.45, 0.75
 #: Distinct paths and renamings that are handled on the driver at most.
 PATHS_LIMIT = 200_000
 
-# Words for the same thing in field names, and words that say nothing.
-SAME_WORDS = [
-    ("prompt", "prompts", "input", "in"), ("completion", "output", "out"), ("rows", "docs", "documents", "records", "row", "doc"),
-    ("sorter", "classifier"), ("tokens", "token", "usage"), ("version", "versions", "vers"), ("cost", "price", "spend"),
-    ("total", "sum", "overall"), ("estimated", "est", "estimate"), ("cached", "cache"), ("sample", "samples"), ("ok", "success"),
-]
-BOTH_WORDS = {"prompts": ("prompt", "version")}
-EMPTY_WORDS = {"usd", "avg", "mean", "n", "num", "stage", "agent", "the", "of", "count", "with"}
-
-_SAME = {w: group[0] for group in SAME_WORDS for w in group}
+#: Characters of a text that its sketch keeps. A schema carries one sketch per path, and
+#: sketches are compared by how they begin.
+SKETCH = 24
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def words_of(key: str) -> frozenset[str]:
-    """What a key says, as a set of words."""
-    found = [_SAME.get(w, w) for x in _WORD.findall(key) for w in BOTH_WORDS.get(x.lower(), (x.lower(),))]
-    told = frozenset(w for w in found if w not in EMPTY_WORDS)
-    return told or frozenset(found)
+@dataclass(frozen=True)
+class Words:
+    """What a caller knows of the words in field names; nothing by default.
+
+    ``same`` are groups of words for one thing, ``both`` words that stand for several, and
+    ``empty`` words that say nothing.
+    """
+
+    same: tuple[tuple[str, ...], ...] = ()
+    both: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    empty: frozenset[str] = frozenset()
+
+    @functools.cached_property
+    def _maps(self) -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+        return {w: group[0] for group in self.same for w in group}, dict(self.both)
+
+    def of(self, key: str) -> frozenset[str]:
+        """What a key says, as a set of words."""
+        same, both = self._maps
+        found = [same.get(w, w) for x in _WORD.findall(key) for w in both.get(x.lower(), (x.lower(),))]
+        told = frozenset(w for w in found if w not in self.empty)
+        return told or frozenset(found)
+
+
+NO_WORDS = Words()
 
 
 def type_of(value: object) -> str:
@@ -63,15 +80,16 @@ def type_of(value: object) -> str:
 
 
 def sketch(value: object) -> str:
-    """The look of a value: a text with digits folded, the magnitude of a number."""
-    if value is None or isinstance(value, dict):
+    """The look of a value: how a text begins, runs of digits as one, or the magnitude of a
+    number; of a list that of its first element."""
+    while isinstance(value, list) and value:
+        value = value[0]
+    if value is None or isinstance(value, (dict, list)):
         return ""
-    if isinstance(value, list):
-        return sketch(value[0]) if value else ""
     if isinstance(value, str):
         if re.fullmatch(r"[0-9a-f]{6,}", value):
             return "hex"
-        return re.sub(r"\d+", "9", value)[:24]
+        return re.sub(r"\d+", "9", value[: 4 * SKETCH])[:SKETCH]
     try:
         number = abs(float(value))
     except OverflowError:
@@ -79,15 +97,21 @@ def sketch(value: object) -> str:
     return f"#{int(math.log10(number)) if number > 0 and math.isfinite(number) else 0}"
 
 
-def paths_of(record: dict, skip: frozenset[str], prefix: str = "") -> Iterator[tuple[str, str, str]]:
-    """(path, type, sketch) of every non-null value that counts."""
-    for key, value in record.items():
-        if value is None or key in skip:
-            continue
-        path = f"{prefix}{key}"
-        yield path, type_of(value), sketch(value)
-        if isinstance(value, dict):
-            yield from paths_of(value, skip, f"{path}.")
+def paths_of(record: dict, skip: frozenset[str]) -> Iterator[tuple[str, str, str]]:
+    """(path, type, sketch) of every non-null value that counts, at any depth."""
+    stack = [("", iter(record.items()))]
+    while stack:
+        prefix, fields = stack[-1]
+        for key, value in fields:
+            if value is None or key in skip:
+                continue
+            path = f"{prefix}{key}"
+            yield path, type_of(value), sketch(value)
+            if isinstance(value, dict):
+                stack.append((f"{path}.", iter(value.items())))
+                break
+        else:
+            stack.pop()
 
 
 def _alike(a: list[frozenset[str]], b: list[frozenset[str]]) -> np.ndarray:
@@ -119,7 +143,7 @@ def _values_alike(a: list[str], b: list[str]) -> np.ndarray:
 class Graph:
     """The schema graph of one file."""
 
-    def __init__(self, schema: tuple[tuple[str, str, str], ...]):
+    def __init__(self, schema: tuple[tuple[str, str, str], ...], words: Words = NO_WORDS):
         self.paths = ["", *(p for p, _, _ in schema)]
         self.types = ["object", *(t for _, t, _ in schema)]
         self.sketches = ["", *(s for _, _, s in schema)]
@@ -127,7 +151,7 @@ class Graph:
         self.parent = np.array([0, *(at.get(p.rpartition(".")[0], 0) for p in self.paths[1:])])
         self.own, self.all = [frozenset()], [frozenset()]
         for p in self.paths[1:]:
-            *above, last = [words_of(k) for k in p.split(".")]
+            *above, last = [words.of(k) for k in p.split(".")]
             inherited = frozenset().union(*above)
             self.own.append(last - inherited or last)
             self.all.append(last | inherited)
@@ -136,8 +160,13 @@ class Graph:
         self.inner, self.first, self.fanout = np.unique(self.parent[self.below], return_index=True, return_counts=True)
 
 
-def flood(a: Graph, b: Graph, rounds: int = 40, still: float = 1e-4) -> np.ndarray:
-    """Scores of all pairs of nodes after propagation."""
+def flood(a: Graph, b: Graph, still: float = 1e-4) -> np.ndarray:
+    """Scores of all pairs of nodes after propagation to convergence.
+
+    Each round moves the scores by at most FROM_PARENT + FROM_CHILDREN = 0.55 of what the
+    one before moved them (a parent's score, maxima and means over children change no more
+    than what they are taken of), so it always ends, within 17 rounds for scores of 0 to 1.
+    """
     n, m = len(a.paths), len(b.paths)
     same_kind = (np.array(a.types) == "object")[:, None] == (np.array(b.types) == "object")[None, :]
     name, path = _alike(a.own, b.own), _alike(a.all, b.all)
@@ -155,7 +184,7 @@ def flood(a: Graph, b: Graph, rounds: int = 40, still: float = 1e-4) -> np.ndarr
     below[inner] = FROM_CHILDREN
     size = a.fanout[:, None] + b.fanout[None, :]
     score = start
-    for _ in range(rounds):
+    while True:
         above = score[a.parent][:, b.parent]
         after = (1 - FROM_PARENT - below) * start + FROM_PARENT * above
         # of each node the best score with a child of each parent, summed over the children
@@ -167,55 +196,71 @@ def flood(a: Graph, b: Graph, rounds: int = 40, still: float = 1e-4) -> np.ndarr
         after[0, 0] = 1
         moved, score = np.abs(after - score).max(), after
         if moved < still:
-            break
-    return score
+            return score
 
 
-def changes(before: tuple[tuple[str, str, str], ...], after: tuple[tuple[str, str, str], ...]) -> list[tuple[str, str, str]]:
+def changes(before: tuple[tuple[str, str, str], ...], after: tuple[tuple[str, str, str], ...], words: Words = NO_WORDS) -> list[tuple[str, str, str]]:
     """(change, path_before, path_after) between two schemas of (path, type, sketch)."""
     old, new = {p: t for p, t, _ in before}, {p: t for p, t, _ in after}
     gone, come = {p for p in old if p not in new}, {p for p in new if p not in old}
     out = [("retyped", p, p) for p in old if p in new and old[p] != new[p]]
     if not gone or not come:
         return sorted(out + _rest(gone, come, old, new))
-    a, b = Graph(before), Graph(after)
+    a, b = Graph(before, words), Graph(after, words)
     score = flood(a, b)
     at_a, at_b = {p: i for i, p in enumerate(a.paths)}, {p: i for i, p in enumerate(b.paths)}
     up = lambda p: p.rpartition(".")[0]
     left_a, left_b = set(gone), set(come)
+    below: dict[str, list[str]] = defaultdict(list)  # paths that go, by every object above them
+    for p in gone:
+        for q in _above(p):
+            below[q].append(p)
     renamed: dict[str, str] = {}
-
-    def candidates(xs: set[str], ys: set[str]) -> list[tuple[float, str, str]]:
-        found = []
-        for x in xs:
-            for y in ys:
-                s = float(score[at_a[x], at_b[y]])
-                if (old[x] == "object") != (new[y] == "object") or s < RENAMED:
-                    continue
-                home = renamed.get(up(x), up(x)) == up(y)
-                crosses = not home and (up(x) in gone or up(y) in come)
-                if not crosses or s >= ACROSS:
-                    found.append((s + 0.2 * home, x, y))
-        return sorted(found, key=lambda c: (-c[0], c[1], c[2]))
+    silent: set[str] = set()  # renamed along with an object above
+
+    def candidates(xs: list[str], ys: list[str]) -> list[tuple[float, str, str]]:
+        """(-score, x, y) of the pairs that may be renamings as things stand."""
+        if not xs or not ys:
+            return []
+        scores, found = score[np.ix_([at_a[x] for x in xs], [at_b[y] for y in ys])], []
+        for i, j in zip(*np.nonzero(scores >= RENAMED), strict=True):
+            x, y, s = xs[i], ys[j], float(scores[i, j])
+            home = renamed.get(up(x), up(x)) == up(y)
+            crosses = not home and (up(x) in gone or up(y) in come)
+            if not crosses or s >= ACROSS:
+                found.append((-(s + 0.2 * home), x, y))
+        return found
 
     def settle(x: str, y: str) -> None:
         """x became y: what lies below both went along."""
         renamed[x] = y
         left_a.discard(x)
         left_b.discard(y)
-        for p in [p for p in left_a if p.startswith(f"{x}.")]:
+        for p in below[x]:
             q = y + p[len(x) :]
-            if q in left_b:
+            if renamed.get(p) == q:
+                silent.add(p)
+            elif p in left_a and q in left_b:
                 left_a.discard(p)
                 left_b.discard(q)
                 if old[p] != new[q]:
                     out.append(("retyped", q, q))
 
     for objects in (True, False):
-        while pairs := candidates({p for p in left_a if (old[p] == "object") == objects}, {p for p in left_b if (new[p] == "object") == objects}):
-            _, x, y = pairs[0]
-            out.append(("renamed", x, y))
+        xs, ys = ([p for p in left if (types[p] == "object") == objects] for left, types in ((left_a, old), (left_b, new)))
+        heap = candidates(xs, ys)
+        heapq.heapify(heap)
+        best = {(x, y): s for s, x, y in heap}
+        while heap:
+            s, x, y = heapq.heappop(heap)
+            if x not in left_a or y not in left_b or best[x, y] != s:
+                continue
             settle(x, y)
+            if objects:  # pairs of its children are at home now
+                for again in candidates([p for p in below[x] if p in left_a and up(p) == x and old[p] == "object"], [q for q in ys if q in left_b]):
+                    best[again[1:]] = again[0]
+                    heapq.heappush(heap, again)
+    out += [("renamed", x, y) for x, y in renamed.items() if x not in silent]
     return sorted(out + _rest(left_a, left_b, old, new))
 
 
@@ -269,9 +314,9 @@ def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip
     return per_path.groupBy("stream", "seq", "file").agg(F.array_sort(F.collect_list(F.struct("path", "type", "look"))).alias("schema"))
 
 
-def schema_changes(schemas: DataFrame) -> DataFrame:
+def schema_changes(schemas: DataFrame, words: Words = NO_WORDS) -> DataFrame:
     """(file, change, path_before, path_after) of every file against the one before it in
-    its stream; ``schemas`` as from :func:`file_schemas`. First files have no changes, and
+    its stream; ``schemas`` as from :func:`file_schemas`, ``words`` as known. First files have no changes, and
     neither have files without a whole record, which are passed over."""
     kind = schemas.schema["file"].dataType.simpleString()
     order = with_previous(schemas, "stream", "seq")
@@ -287,7 +332,7 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
         for batch in batches:
             at, found = [], []
             for i, (x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for change in changes(*(tuple((e["path"], e["type"], e["look"]) for e in s) for s in (x, y))):
+                for change in changes(*(tuple((e["path"], e["type"], e["look"]) for e in s) for s in (x, y)), words):
                     at.append(i)
                     found.append(change)
             columns = list(zip(*found, strict=True)) if found else [(), (), ()]
@@ -315,13 +360,14 @@ def meanings(schemas: DataFrame, report: DataFrame) -> dict[str, tuple[str, str]
             p = root[p]
         return p
 
+    ordered = sorted({r[0] for r in rows})
+    known = set(ordered)
     for x, y in sorted(tuple(r) for r in pairs):
-        known = {r[0] for r in rows}
-        for p in sorted(known):
-            if p == x or p.startswith(f"{x}."):
-                q = y + p[len(x) :]
-                if q in known:
-                    root[top(p)] = top(q)
+        inside = ordered[bisect.bisect_left(ordered, f"{x}.") : bisect.bisect_left(ordered, f"{x}/")]  # "/" follows "."
+        for p in [x, *inside] if x in known else inside:
+            q = y + p[len(x) :]
+            if q in known:
+                root[top(p)] = top(q)
     seen: dict[str, dict[tuple[str, str], int]] = defaultdict(dict)
     for path, kind, n in rows:
         seen[top(path)][(path, kind)] = n
@@ -331,13 +377,18 @@ def meanings(schemas: DataFrame, report: DataFrame) -> dict[str, tuple[str, str]
     return {path: (best[t][0], "object|text") if (t := top(path)) in both else best[t] for path, _, _ in rows}
 
 
-_PLAIN_NUMBER = re.compile(r"[^0-9.eE+\-]")
+# Writings of a number, with a currency sign or groups of thousands; names that end in a version.
+_NUMBER = re.compile(r"\s*(?P<sign>[+-]?)\s*[$€£¥]?\s*(?P<n>\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)\s*[€£¥]?\s*")
+_VERSIONED = re.compile(r"[^\W\d][\w-]*_v(\d+)")
 
 
 def cast_value(value: object, kind: str) -> object:
-    """A value in the canonical type; a list of one is its element, a text with signs of
-    currency or thousands is its number, and ``name_v12`` is 12 where numbers are meant."""
+    """A value in the canonical type, None if it can't be cast without loss. A list of one is
+    its element, a text that is one number, with a currency sign or thousands or without, is
+    that number, and ``name_v12`` is 12 where numbers are meant."""
     if isinstance(value, list) and kind != "list":
+        if len(value) != 1 and kind == "number":
+            return None
         value = value[0] if len(value) == 1 else json.dumps(value)
     if value is None:
         return None
@@ -347,13 +398,12 @@ def cast_value(value: object, kind: str) -> object:
                 return float(value)
             except OverflowError:
                 return None
-        if not isinstance(value, str) or value[:1] in ("[", "{"):
-            return None
-        text = str(value).replace(",", "")
-        try:
-            return float(_PLAIN_NUMBER.sub("", text) if not re.search(r"_v\d+$", text) else text.rpartition("_v")[2])
-        except ValueError:
+        if not isinstance(value, str):
             return None
+        if m := _NUMBER.fullmatch(value):
+            return float(m["sign"] + m["n"].replace(",", ""))
+        m = _VERSIONED.fullmatch(value)
+        return float(m[1]) if m else None
     return value if isinstance(value, str) else json.dumps(value)
 
 
@@ -388,17 +438,21 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
     columns = [f"`{named[n].replace('`', '``')}` {'double' if kinds[n] == 'number' else 'string'}" for n in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), *columns, "rest string"])
 
-    def leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
-        for key, value in record.items():
-            if value is None or key in ignored:
-                continue
-            path = f"{prefix}{key}"
-            if isinstance(value, str) and value[:1] == "{" and (inner := whole_object(value)) is not None:
-                value = inner
-            if isinstance(value, dict) and value:
-                yield from leaves(value, f"{path}.")
+    def leaves(record: dict) -> Iterator[tuple[str, object]]:
+        stack = [("", iter(record.items()))]
+        while stack:
+            prefix, fields = stack[-1]
+            for key, value in fields:
+                if value is None or key in ignored:
+                    continue
+                if isinstance(value, str) and value[:1] == "{" and (inner := whole_object(value)) is not None:
+                    value = inner
+                if isinstance(value, dict) and value:
+                    stack.append((f"{prefix}{key}.", iter(value.items())))
+                    break
+                yield f"{prefix}{key}", value
             else:
-                yield path, value
+                stack.pop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,3 +483,10 @@ def united(df: DataFrame, keys: list[str], raw: str, meaning: dict[str, tuple[st
             yield pa.RecordBatch.from_arrays(arrays, [*keys, *named.values(), "rest"])
 
     return source.mapInArrow(run, schema)
+
+
+def leftovers(table: DataFrame) -> DataFrame:
+    """(path, n): how many values of each path have no column in a table of :func:`united`,
+    because they couldn't be cast or another value of the same meaning was there."""
+    pairs = table.where("rest is not null").select(F.explode(F.from_json("rest", "array<array<string>>")).alias("e"))
+    return pairs.groupBy(F.col("e")[0].alias("path")).agg(F.count("*").alias("n"))

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.drift import SKIP, file_schemas, meanings, schema_changes, united
+from gaugeworks.operators.drift import SKIP, Words, file_schemas, leftovers, meanings, schema_changes, united
 from gaugeworks.runtime import materialised, table
 
 
+# Words for the same thing in the field names of run logs, and words that say nothing.
+RUN_WORDS = Words(
+    same=(
+        ("prompt", "prompts", "input", "in"), ("completion", "output", "out"), ("rows", "docs", "documents", "records", "row", "doc"),
+        ("sorter", "classifier"), ("tokens", "token", "usage"), ("version", "versions", "vers"), ("cost", "price", "spend"),
+        ("total", "sum", "overall"), ("estimated", "est", "estimate"), ("cached", "cache"), ("sample", "samples"), ("ok", "success"),
+    ),
+    both=(("prompts", ("prompt", "version")),),
+    empty=frozenset({"usd", "avg", "mean", "n", "num", "stage", "agent", "the", "of", "count", "with"}),
+)
+
+
 def _schemas(spark: SparkSession, base: str, skip: tuple[str, ...] = SKIP, ordered: bool = True) -> DataFrame:
     log = table(spark, base, "experiment_log")
     return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", skip, ordered), "schemas")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return schema_changes(_schemas(spark, base)).withColumnRenamed("file", "file_id")
+    return schema_changes(_schemas(spark, base), RUN_WORDS).withColumnRenamed("file", "file_id")
 
 
 def p5_table(spark: SparkSession, base: str) -> DataFrame:
@@ -24,9 +36,14 @@ def p5_table(spark: SparkSession, base: str) -> DataFrame:
     Renamings are those of the report. Below the keys that it leaves out, fields go by
     their own path: there keys such as subtypes are data, and would be taken for renamed.
     """
-    meaning = meanings(_schemas(spark, base, skip=(), ordered=False), schema_changes(_schemas(spark, base)))
+    meaning = meanings(_schemas(spark, base, skip=(), ordered=False), schema_changes(_schemas(spark, base), RUN_WORDS))
     return united(table(spark, base, "experiment_log"), ["rec_id", "file_id", "stream_id"], "raw", meaning)
 
 
 def p5_change_counts(spark: SparkSession, base: str) -> DataFrame:
     return p5_found(spark, base).groupBy("change", "path_before", "path_after").agg(F.count("*").alias("files"))
+
+
+def p5_leftovers(spark: SparkSession, base: str) -> DataFrame:
+    """What found no place in a column of p5_table."""
+    return leftovers(p5_table(spark, base))

@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "p3_found": timestamps.p3_found,
         "p5_found": drifting.p5_found,
         "p5_table": drifting.p5_table,
+        "p5_leftovers": drifting.p5_leftovers,
         "p5_change_counts": drifting.p5_change_counts,
         "p6_found": nested.p6_found,
         "p6_nodes": nested.p6_nodes,

@@ -1,6 +1,7 @@
 import json
 
-from gaugeworks.operators.drift import cast_value, changes, file_schemas, meanings, paths_of, schema_changes, united
+from gaugeworks.operators.drift import cast_value, changes, file_schemas, leftovers, meanings, paths_of, schema_changes, united
+from gaugeworks.plans.drifting import RUN_WORDS
 from gaugeworks.operators.ordering import with_previous
 
 
@@ -15,7 +16,7 @@ BASE = {"task": "x", "n_rows": 50, "prompt_versions": {"sorter": "sorter_v3", "e
 def changed(edit):
     after = json.loads(json.dumps(BASE))
     edit(after)
-    return changes(schema(BASE), schema(after))
+    return changes(schema(BASE), schema(after), RUN_WORDS)
 
 
 def test_kinds_of_change():
@@ -45,7 +46,7 @@ def test_report_and_table(spark):
     rows = [(1, 1, 1, 10, json.dumps(BASE)), (2, 1, 1, 10, json.dumps(BASE)), (3, 1, 3, 11, json.dumps(second)), (4, 1, 3, 11, "{broken"), (5, 2, 1, 12, json.dumps(second)), (6, None, 1, 13, json.dumps(BASE)), (7, 3, 1, 14, None)]
     df = log(spark, rows)
     schemas = file_schemas(df, "stream", "seq", "file", "raw")
-    report = schema_changes(schemas)
+    report = schema_changes(schemas, RUN_WORDS)
     assert [tuple(r) for r in report.collect()] == [(11, "renamed", "n_rows", "n_docs")]
     table = united(df, ["rec_id"], "raw", meanings(schemas, report)).orderBy("rec_id").collect()
     assert [r.rec_id for r in table] == [1, 2, 3, 5, 6]
@@ -60,6 +61,9 @@ def test_cast_values():
     assert cast_value(["sorter_v12"], "number") == 12
     assert cast_value("n/a", "number") is None
     assert cast_value(3, "text") == "3"
+    for value, want in [([1, 2], None), ("3 of 5", None), ("1.5 s", None), ("abc", None), ("v12", None), ("1,25", None), ("1,250", 1250), ("-€ 3", -3), ("1e3", 1000), ("", None), ("[7]", None), ([], None), (True, 1)]:
+        assert cast_value(value, "number") == want, value
+    assert cast_value([1, 2], "text") == "[1, 2]" and cast_value([1, 2], "list") == "[1, 2]"
 
 
 def test_previous_in_blocks(spark):
@@ -73,7 +77,7 @@ def test_table_has_every_field(spark):
     second = {"timestamp": 1770000000, "scores": {"acc": 0.25, "per": [{"y": 2}, {"z": 3}], "Acc": 7}, "usage": {"calls": []}, "rec_id": 5}
     df = log(spark, [(1, 1, 1, 10, json.dumps(first)), (2, 1, 2, 11, json.dumps(first)), (3, 1, 3, 12, json.dumps(second))])
     schemas = file_schemas(df, "stream", "seq", "file", "raw", skip=())
-    report = schema_changes(file_schemas(df, "stream", "seq", "file", "raw"))
+    report = schema_changes(file_schemas(df, "stream", "seq", "file", "raw"), RUN_WORDS)
     assert ("renamed", "tokens", "usage") in {tuple(r)[1:] for r in report.collect()}
     table = {r.rec_id: r.asDict() for r in united(df, ["rec_id"], "raw", meanings(schemas, report)).collect()}
     assert [(table[i]["timestamp"], table[i]["scores__acc_2"]) for i in (1, 3)] == [("2026-01-02", 0.5), ("1770000000", 0.25)]
@@ -115,3 +119,32 @@ def test_table_keeps_what_has_no_place(spark, tmp_path):
     rest = json.loads(got[3]["rest"])
     assert ["cost", [1, 2]] in rest and ["empty", {}] in rest and ["big", 10**400] in rest
     assert {got[3].get("n_rows"), got[3].get("n_docs"), *(v for p, v in rest if p in ("n_rows", "n_docs"))} >= {70, 80}
+
+
+def test_the_probe_of_a_renamed_object_at_any_size():
+    for others in (3, 200, 397, 600):
+        rest = {f"f{i}": i for i in range(others)}
+        before, after = ({key: {"alpha": 1, "beta": "x"}, **rest} for key in ("tokens", "usage_x"))
+        assert changes(schema(before), schema(after)) == [("renamed", "tokens", "usage_x")], others
+
+
+def test_nested_renamings_settle_from_the_outside():
+    before = {"outer": {"call_stats": {"leaf_one": 1, "leaf_two": "x"}, "side": {"w": 2}}, "k": 1}
+    after = {"shell": {"stats": {"leaf_one": 1, "leaf_two": "x"}, "side": {"w": "2"}}, "k": 1}
+    assert changes(schema(before), schema(after)) == [("renamed", "outer", "shell"), ("renamed", "outer.call_stats", "shell.stats"), ("retyped", "shell.side.w", "shell.side.w")]
+
+
+def test_deep_lines_give_rows(spark):
+    deep = '{"o":' * 3000 + "1" + "}" * 3000
+    lists = '{"o":' + "[" * 3000 + "]" * 3000 + "}"
+    df = log(spark, [(1, 1, 1, 10, deep), (2, 1, 2, 11, lists)])
+    assert sorted(r.n for r in file_schemas(df, "stream", "seq", "file", "raw").selectExpr("size(schema) n").collect()) == [1, 3000]
+    got = united(df, ["rec_id"], "raw", {"o": ("o", "list")}).collect()
+    assert [r.rec_id for r in got] == [1, 2] and got[0].rest is not None and len(got[1].o) == 6000
+
+
+def test_leftovers_are_counted(spark):
+    df = log(spark, [(i, 1, 1, 10, json.dumps({"a": v, "b": {}, "c": 1})) for i, v in enumerate([1, "3 of 5", [1, 2], {"x": 1}])])
+    got = {r.path: r.n for r in leftovers(united(df, ["rec_id"], "raw", {"a": ("a", "number"), "c": ("c", "number")})).collect()}
+    assert got == {"a": 2, "b": 4, "a.x": 1}
+    assert leftovers(united(df.limit(0), ["rec_id"], "raw", {"a": ("a", "number")})).count() == 0
