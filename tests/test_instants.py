@@ -35,6 +35,17 @@ CASES = [
     ("2025-01-05 10:00:00", "No/Where", "en-US", None),
     ("2025-01-05 10:00:00", None, None, None),
     ("x" * 100_000, "UTC", "en-US", None),
+    # abbreviations are those of the site; others come from the fixed table
+    ("2025-07-05 20:14:37 PST", "Asia/Manila", "en-PH", ms(2025, 7, 5, 12, 14, 37)),
+    ("2025-07-05 20:14:37 PST", "America/Los_Angeles", "en-US", ms(2025, 7, 6, 4, 14, 37)),
+    ("2025-07-05 20:14:37 IST", "Europe/Dublin", "en-GB", ms(2025, 7, 5, 19, 14, 37)),
+    ("2025-07-05 20:14:37 IST", "Asia/Kolkata", "en-GB", ms(2025, 7, 5, 14, 44, 37)),
+    ("2025-07-05 20:14:37 CST", "Asia/Shanghai", "en-GB", ms(2025, 7, 5, 12, 14, 37)),
+    ("2025-07-05 20:14:37 MESZ", "Europe/Berlin", "de-DE", ms(2025, 7, 5, 18, 14, 37)),
+    ("2025-07-05 20:14:37 EST", None, None, ms(2025, 7, 6, 1, 14, 37)),
+    ("2025-07-05 20:14:37 QQQ", "Europe/Berlin", "de-DE", None),
+    ("-1736037412", "Asia/Tokyo", "en-US", -1736037412000),
+    ("-1736041259.059452", "UTC", "en-US", -1736041259059),
 ]
 
 
