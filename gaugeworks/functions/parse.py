@@ -23,6 +23,19 @@ def month_number(name: Column) -> Column:
     return let(F.try_element_at(short, F.substring(low, 1, 3)), lambda k: F.when(F.element_at(whole, k).startswith(low) | (low == "sept"), k))
 
 
+# Ordinal endings and "day of" phrases inside a date.
+_ORDINAL, _DAY_OF = r"(?i)(\d)(st|nd|rd|th)\b", r"(?i)\b(\d{1,2})[a-z]*(?:\s+[a-z]+)*\s+day\s+of\b"
+# The writings of a date and where year, month and day stand in each; "?" marks a month that may be a day.
+_WRITINGS = [
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?)?$", "$1|$2|$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1|$2|$3"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$", "$3|?$1|$2"),
+    (r"(?is)^.*?\b(\d{1,2})\s+day\s+of\s+([A-Za-z]+)[,\s]*(\d{4}).*$", "$3|$2|$1"),
+    (rf"(?i)^(?:[a-z]+day,? )?{_NAME}[ -](\d{{1,2}}),?[ -](\d{{4}})$", "$3|$1|$2"),
+    (rf"(?i)^(?:[a-z]+day,? )?(\d{{1,2}})[ -](?:of )?{_NAME}[ ,-]+(\d{{4}})$", "$3|$2|$1"),
+]
+
+
 def parse_date(text: Column) -> Column:
     """The date of a text in one of the usual writings, else null.
 
@@ -30,40 +43,32 @@ def parse_date(text: Column) -> Column:
     first, day first, and ``Nth day of Month, Year``; ordinal endings and stray brackets
     at the end are ignored. Two-digit years are 20xx up to 68. A text must state all
     three parts: nothing is filled in from the present day.
+
+    The first writing that matches is taken apart by one replacement.
     """
     s = F.regexp_replace(stripped(text), f"{SPACE}+", " ")
-    s = F.regexp_replace(s, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
-    s = F.regexp_replace(s, r"(?i)\b(\d{1,2})[a-z]*(?:\s+[a-z]+)*\s+day\s+of\b", "$1 day of")
+    s = F.regexp_replace(s, _ORDINAL, "$1")
+    s = F.regexp_replace(s, _DAY_OF, "$1 day of")
     s = F.trim(F.regexp_replace(s, r"[(\[{,]+$", ""))
-    return let(s, _date_of)
-
-
-def _date_of(s: Column) -> Column:
-    iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?)?$"
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-    numeric = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
-    name_first = rf"(?i)^(?:[a-z]+day,? )?{_NAME}[ -](\d{{1,2}}),?[ -](\d{{4}})$"
-    day_first = rf"(?i)^(?:[a-z]+day,? )?(\d{{1,2}})[ -](?:of )?{_NAME}[ ,-]+(\d{{4}})$"
-    day_of = r"(?i)\b(\d{1,2})\s+day\s+of\s+([A-Za-z]+)[,\s]*(\d{4})"
-    of = lambda p, y, m, d, named: F.try_make_timestamp(
-        _part(s, p, y).try_cast("int"),
-        month_number(_part(s, p, m)) if named else _part(s, p, m).try_cast("int"),
-        _part(s, p, d).try_cast("int"),
-        F.lit(0), F.lit(0), F.lit(0),
-    ).cast("date")
-    short = _part(s, numeric, 3).try_cast("int")
-    year = F.when(F.length(_part(s, numeric, 3)) == 4, short).when(short <= 68, short + 2000).otherwise(short + 1900)
-    a, b = _part(s, numeric, 1).try_cast("int"), _part(s, numeric, 2).try_cast("int")
-    month, day = F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
-    numeric_date = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    return (
-        F.when(s.rlike(iso), of(iso, 1, 2, 3, False))
-        .when(s.rlike(compact), of(compact, 1, 2, 3, False))
-        .when(s.rlike(numeric), numeric_date)
-        .when(s.rlike(day_of), of(day_of, 3, 2, 1, True))
-        .when(s.rlike(name_first), of(name_first, 3, 1, 2, True))
-        .when(s.rlike(day_first), of(day_first, 3, 2, 1, True))
-    )
+
+    def parted(s: Column) -> Column:
+        out = None
+        for pattern, order in _WRITINGS:
+            found, to = s.rlike(pattern), F.regexp_replace(s, pattern, order)
+            out = F.when(found, to) if out is None else out.when(found, to)
+        return F.split(out, r"\|")
+
+    return let(let(s, parted), _date_of)
+
+
+def _date_of(part: Column) -> Column:
+    year, month, day = part[0].try_cast("int"), part[1], part[2].try_cast("int")
+    year = F.when(F.length(part[0]) > 2, year).when(year <= 68, year + 2000).otherwise(year + 1900)
+    first = F.ltrim(month, F.lit("?")).try_cast("int")
+    swapped = month.startswith("?") & (first > 12)
+    number = F.when(swapped, day).when(first.isNotNull(), first).otherwise(month_number(month))
+    zero = F.lit(0)
+    return F.try_make_timestamp(year, number, F.when(swapped, first).otherwise(day), zero, zero, zero).cast("date")
 
 
 def parse_money(text: Column) -> Column:
@@ -83,6 +88,7 @@ def parse_money(text: Column) -> Column:
     return let(F.regexp_replace(F.upper(stripped(text)), "[,$€£]", ""), amount)
 
 
+# Fixed value: an amount of time.
 DURATION = r"(?i)(\d+|[a-z][a-z-]*)\s*(?:\(\s*(\d+)\s*\))?\s*(years?|months?|weeks?|days?)"
 
 
@@ -108,41 +114,46 @@ def no_real_date(text: Column) -> Column:
     return text.contains("_") | low.contains("blank") | (~named & ~low.rlike(r"\b(19|20)\d{2}\b"))
 
 
-def date_phrase_within(container: Column, target: Column) -> Column:
-    """The date phrase of ``target`` stands in ``container``, as it is or in another writing."""
+def _phrase_within(nc: Column, nt: Column, date: Column) -> Column:
+    """The same on folded texts; ``date`` is that of the target."""
+    explicit = nt.rlike(" (?:" + "|".join(MONTHS) + ")") | nt.rlike(r"\b\d{4}-\d{1,2}\b")
+    month, day, year = F.lower(F.date_format(date, "MMMM")), F.dayofmonth(date).cast("string"), F.date_format(date, "yyyy")
+    forms = F.array(F.date_format(date, "yyyy MM dd"), F.concat_ws(" ", month, day, year), F.concat_ws(" ", day, month, year))
+    other = date.isNotNull() & F.exists(forms, lambda f: nc.contains(f))
+    literal = nc.contains(nt) & ((F.size(F.split(nt, " ")) >= 3) | explicit)
+    return F.coalesce((nc != "") & (nt != "") & (literal | other), F.lit(False))
 
-    def within(nc: Column, nt: Column, date: Column) -> Column:
-        explicit = nt.rlike(" (?:" + "|".join(MONTHS) + ")") | nt.rlike(r"\b\d{4}-\d{1,2}\b")
-        month, day, year = F.lower(F.date_format(date, "MMMM")), F.dayofmonth(date).cast("string"), F.date_format(date, "yyyy")
-        forms = F.array(F.date_format(date, "yyyy MM dd"), F.concat_ws(" ", month, day, year), F.concat_ws(" ", day, month, year))
-        other = date.isNotNull() & F.exists(forms, lambda f: nc.contains(f))
-        literal = nc.contains(nt) & ((F.size(F.split(nt, " ")) >= 3) | explicit)
-        return F.coalesce((nc != "") & (nt != "") & (literal | other), F.lit(False))
 
-    return let(folded(container), lambda nc: let(folded(target), lambda nt: let(parse_date(target), lambda d: within(nc, nt, d))))
+def date_phrase_within(container: Column, target: Column) -> Column:
+    """The date phrase of ``target`` stands in ``container``, as it is or in another writing."""
+    return let(folded(container), lambda nc: let(folded(target), lambda nt: let(parse_date(target), lambda d: _phrase_within(nc, nt, d))))
 
 
 def date_score(pred: Column, exp: Column) -> Column:
-    """Score of two dates given as text; null where the fallback on similarity is due."""
+    """Score of two dates given as text; null where the fallback on similarity is due.
+
+    Each text is parsed and folded once."""
     p, e = F.coalesce(pred, F.lit("")), F.coalesce(exp, F.lit(""))
+    side = lambda t: F.struct(parse_date(t).alias("date"), folded(t).alias("text"))
 
-    def scored(dp: Column, de: Column) -> Column:
+    def scored(sp: Column, se: Column) -> Column:
+        dp, de, tp, te = sp["date"], se["date"], sp["text"], se["text"]
         same_year, same_month = F.year(dp) == F.year(de), F.month(dp) == F.month(de)
         both = dp.isNotNull() & de.isNotNull()
         return (
             F.when(de.isNull() & no_real_date(e), F.when(stripped(p) == "", 1.0).otherwise(0.0))
-            .when(date_phrase_within(p, e) | date_phrase_within(e, p), 1.0)
             .when(both & (dp == de), 1.0)
+            .when(_phrase_within(tp, te, de) | _phrase_within(te, tp, dp), 1.0)
             .when(both & same_year & same_month, 0.67)
             .when(both & (F.abs(F.datediff(dp, de)) <= 45), 0.67)
             .when(both & (same_year | same_month), 0.33)
             .when(both, 0.0)
         )
 
-    return let(parse_date(p), lambda dp: let(parse_date(e), lambda de: scored(dp, de)))
+    return let(side(p), lambda sp: let(side(e), lambda se: scored(sp, se)))
 
 
-#: Spans of a document that may be dates.
+# The spans of a document that may be dates.
 DATE_SPANS = (
     r"(?i)\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}\b"
     r"|\b\d{1,2}[a-z]*(?:\s+[a-z]+)*\s+day\s+of\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*,?\s*\d{4}\b"

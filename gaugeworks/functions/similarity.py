@@ -178,7 +178,7 @@ LIST_SCORE = T.StructType(
 
 @F.arrow_udf(T.DoubleType())
 def name_score_udf(pred: pa.Array, exp: pa.Array) -> pa.Array:
-    return pa.array([name_score(p, e) for p, e in zip(pred.to_pylist(), exp.to_pylist(), strict=True)], pa.float64())
+    return pa.array([None if p is None and e is None else name_score(p, e) for p, e in zip(pred.to_pylist(), exp.to_pylist(), strict=True)], pa.float64())
 
 
 @F.arrow_udf(T.DoubleType())

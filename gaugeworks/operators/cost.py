@@ -16,7 +16,8 @@ def with_cost(df: DataFrame, prices: DataFrame, model: str = "model", prompt: st
     A model has the price of its exact name, else that of the first known name (by pos) it
     begins with, so dated names roll to their base. Unknown models and rows without tokens
     get null. The price table is small, which is checked; the distinct models meet it, not
-    the rows.
+    the rows. Priced models are broadcast to the rows if they are few, which is checked as
+    well; many are joined by a shuffle.
     """
     bounded_rows(prices, PRICES_LIMIT, "prices")
     models = df.select(F.col(model).alias("__m")).where("__m is not null").distinct()
@@ -25,6 +26,8 @@ def with_cost(df: DataFrame, prices: DataFrame, model: str = "model", prompt: st
     priced = hits.groupBy("__m").agg(best.alias("__p"))
     p, c = F.coalesce(prompt, F.lit(0)), F.coalesce(completion, F.lit(0))
     cost = F.when(p + c > 0, p * F.col("__p.per_m_in") / 1e6 + c * F.col("__p.per_m_out") / 1e6)
+    if len(priced.select("__m").limit(PRICES_LIMIT + 1).collect()) <= PRICES_LIMIT:
+        priced = F.broadcast(priced)
     return df.join(priced, F.col(model) == F.col("__m"), "left").withColumn(out, cost).drop("__m", "__p")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,25 @@ def with_previous(df: DataFrame, part: str, seq: str, out: str = "prev_seq", wid
     ends = pairs.groupBy(part, "__block").agg(F.max(seq).alias("__end"))
     ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(part).orderBy("__block")))
     return near.join(ends, [part, "__block"], "left").select(part, seq, F.coalesce("__near", "__end").alias(out))
+
+
+def with_lag(df: DataFrame, part: str, block: Column, order: list[Column], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the row before in the same ``part``, null for the first.
+
+    ``order`` is the order within a part; ``block`` never falls along it and splits parts with
+    very many rows. Windows run over (part, block), and only the last value of each block
+    goes on to a second window over the blocks of a part. ``value`` has no nulls.
+    """
+    rows = df.withColumn("__block", block)
+    inner = Window.partitionBy(part, "__block").orderBy(*order)
+    near = rows.withColumn(out, F.lag(value).over(inner))
+    # the values of one sort key that sorts as ``order`` does
+    last = F.max_by(value, F.struct(*[_ascending(c) for c in order]))
+    ends = rows.groupBy(part, "__block").agg(last.alias("__end"))
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(part).orderBy("__block"))).where("__end is not null")
+    return near.join(ends, [part, "__block"], "left").withColumn(out, F.coalesce(out, "__end")).drop("__block", "__end")
+
+
+def _ascending(key: Column) -> Column:
+    """A column that sorts nulls last when it is compared as part of a struct."""
+    return F.struct(key.isNull().alias("none"), key.alias("key"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ordering import with_lag
 from gaugeworks.operators.stats import wilson
 
 # Fixed value: the form of a run's name.
@@ -107,14 +108,15 @@ def trend(df: DataFrame, metric: str, lo: str, hi: str, n: str = "sample_n") ->
 
 def regressions(df: DataFrame, metric: str, group: str, date: str, row_id: str, threshold: float = 0.02) -> DataFrame:
     """Runs whose metric fell by ``threshold`` or more against the run before it of their group,
-    by date and id. Rows of the null group are left out.
+    by date (null last) and id. Rows of the null group are left out.
 
-    The window runs per group; a group with a great share of all runs is sorted in one
-    task, spilling to disk, with only the needed columns.
+    The window runs per group and day of ``date``, so a group with a great share of all runs
+    is spread over its days.
     """
     rows = with_metric(df, metric).where(F.col(group).isNotNull())
-    before = F.lag(metric).over(Window.partitionBy(group).orderBy(F.col(date).asc_nulls_last(), row_id))
-    return rows.withColumn("previous", before).withColumn("delta", F.col("previous") - F.col(metric)).where(F.col("delta") >= threshold)
+    when = F.coalesce(F.col(date).cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp"))
+    before = with_lag(rows.withColumn("__when", when), group, F.unix_date(F.to_date("__when")), [F.col("__when"), F.col(row_id)], metric, "previous")
+    return before.drop("__when").withColumn("delta", F.col("previous") - F.col(metric)).where(F.col("delta") >= threshold)
 
 
 def wide_to_long(df: DataFrame, ids: list[str], columns: dict[str, str], key: str, value: str) -> DataFrame:
