@@ -220,6 +220,26 @@ def test_wilson_and_bootstrap(spark):
     assert stats.difference([0.0, 0.1, 0.0], [1.0, 0.9, 1.0], n_boot=200)["significant"]
 
 
+def test_bootstrap_in_chunks(spark, monkeypatch):
+    """Tiny chunks and one chunk agree with draws one by one, whatever the magnitude."""
+    rng = random.Random(9)
+    values = [rng.random() * 1e-9 for _ in range(150)]
+    df = spark.createDataFrame([("s", v) for v in values] + [(None, v) for v in values] + [("few", 1.0)] * 40 + [("few", 0.0)] * 40 + [("nan", float("nan"))], "g string, v double")
+    lo, hi = stats.interval(values, n_boot=2000)
+    near = (hi - lo) * 0.15
+    for chunk in (50_000, 20):
+        monkeypatch.setattr(stats, "CHUNK", chunk)
+        got = {r.g: r for r in stats.bootstrap(df, "g", "v").collect()}
+        assert set(got) == {"s", None, "few"} and got["s"].n == 150
+        assert all(abs(got[g].lo - lo) < near and abs(got[g].hi - hi) < near for g in ("s", None))
+        assert abs(got["few"].half - 0.1095) < 0.012
+    assert stats.bootstrap(df.limit(0), "g", "v").count() == 0
+    two = df.where("g = 's'").selectExpr("g", "v", "'a' side").unionByName(df.where("g = 's'").selectExpr("g", "v * 2 v", "'b' side"))
+    row = stats.bootstrap_difference(two, "side", "a", "b", "g", "v").collect()
+    assert len(row) == 1 and row[0].significant and abs(row[0].delta - sum(values) / 150) < 1e-15
+    assert stats.bootstrap_difference(two.where("side = 'a'"), "side", "a", "b", "g", "v").count() == 0
+
+
 # -- runs ---------------------------------------------------------------------------
 RUNS = [
     (1, "qwen-a_sorter_v13_subtype_x", "m1", "v13", "2026-08-13", 509, 0.90), (2, "qwen-a_sorter_v13_subtype_y", "m1", "v13", "2026-08-14", 509, 0.943),
