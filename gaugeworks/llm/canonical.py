@@ -8,8 +8,10 @@ abbreviated and run-together words still find their entry. Below a threshold, or
 two entries are equally near, a value is unmatched.
 
 Folding: compatibility forms, look-alike letters of other scripts, accents, digits that
-stand for letters, camel case, punctuation, file endings. Words that say nothing of
-the kind of entry (agreement, draft, signed ...) are left out on both sides.
+stand for letters, camel case, punctuation, file endings. Numbers and version marks are
+left out unless the list itself has them ("Phase 2 Study"). What a caller knows of the
+words in the list, such as words that say nothing of the kind of entry, is a parameter
+(:class:`Vocabulary`), empty by default.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ UNMATCHED = "unmatched"
 CATALOG_LIMIT = 100_000
 #: Least similarity of a match, and by how much it must be ahead of other entries.
 THRESHOLD, AHEAD = 0.62, 0.02
+#: Names of up to so many letters, and their least similarity: one letter more or less, not one that differs.
+SHORT, SHORT_THRESHOLD = 4, 0.75
 #: Values and folded values that a worker remembers.
 MEMO = 400_000
 #: Words of values whose similarities to all words of the entries a worker remembers, in bytes.
@@ -45,13 +50,6 @@ LOOK_ALIKES = str.maketrans(
     "aAeEoOpPcCxXyYkKmMtTbBhHiIjJsSdhqwaAbBeEnHiIkKmMvNoOpPtTuYxX",
 )
 DIGITS = str.maketrans("013457", "oleast")
-# Words that say nothing of the kind of entry.
-PLAIN_WORDS = [
-    "agreement", "agreements", "agmt", "agrmt", "agt", "agr", "contract", "contracts", "deed", "form", "of", "the", "and", "for",
-    "amended", "restated", "draft", "master", "exclusive", "executed", "signed", "copy", "final", "w", "with", "exhibits", "to", "a", "in",
-]
-_PLAIN = set(PLAIN_WORDS)
-_LONG_PLAIN = [w for w in PLAIN_WORDS if len(w) >= 4]
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]{2})")
 _ENDING = re.compile(r"\.(?:pdf|docx?|txt|rtf|xlsx?)\b", re.I)
 _OTHER = re.compile(r"[^0-9a-z]+")
@@ -92,17 +90,34 @@ class Pattern:
         return 1 - self.distance(other) / most if most else 1.0
 
 
-_PLAIN_PATTERNS = [Pattern(w) for w in _LONG_PLAIN]
+@dataclass(frozen=True)
+class Vocabulary:
+    """What a caller knows of the names in a list: ``plain`` words say nothing of the kind of
+    entry and are left out on both sides, ``tails`` are endings that values run together with
+    a name."""
 
+    plain: tuple[str, ...] = ()
+    tails: tuple[str, ...] = ()
 
-def fold(value: str) -> list[str]:
-    """The words of a value in one writing, plain words included."""
+
+NO_VOCABULARY = Vocabulary()
+
+
+def fold(value: str, numbers: frozenset[str] = frozenset()) -> list[str]:
+    """The words of a value in one writing, plain words included; of numbers and version marks
+    only those in ``numbers``."""
     text = unicodedata.normalize("NFKC", value).translate(LOOK_ALIKES)
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     text = _CAMEL.sub(" ", _ENDING.sub(" ", text)).lower()
-    words = [w for w in _OTHER.sub(" ", text).split() if not _VERSION.fullmatch(w)]
-    return [w if w.isalpha() else w.translate(DIGITS) for w in words]
+    words = [w for w in _OTHER.sub(" ", text).split() if w in numbers or not _VERSION.fullmatch(w)]
+    return [w if w.isalpha() or w in numbers else w.translate(DIGITS) for w in words]
+
+
+def numbers_of(names: Iterable[str]) -> frozenset[str]:
+    """The numbers and version marks in names."""
+    found = (w for name in names for w in _OTHER.sub(" ", unicodedata.normalize("NFKC", name).lower()).split())
+    return frozenset(w for w in found if _VERSION.fullmatch(w))
 
 
 def _letters(text: str) -> np.ndarray:
@@ -111,23 +126,20 @@ def _letters(text: str) -> np.ndarray:
     return np.minimum(np.concatenate([found[48:58], found[97:123]]), 255).astype(np.uint8)
 
 
-TAILS = ("agreement", "agmt", "contract", "deed", "s")
-
-
 class Entry:
     """One way to write an entry: its telling words and patterns to compare with."""
 
-    def __init__(self, key: str, words: list[str]):
+    def __init__(self, key: str, words: list[str], tails: tuple[str, ...] = ()):
         self.key, self.words = key, words
         self.joined = "".join(words)
         self.patterns = [Pattern(w) for w in words]
         self.whole = Pattern(self.joined)
-        self.tailed = [Pattern(self.joined + t) for t in TAILS]
+        self.tailed = [Pattern(self.joined + t) for t in tails]
         self.weight = sum(map(len, words))
 
     def similarity(self, words: list[str], joined: str) -> float:
         best = 0.9 if len(joined) >= 5 and self.joined.startswith(joined) else self.whole.similarity(joined)
-        if len(joined) > self.weight:
+        if self.tailed and len(joined) > self.weight:
             best = max(best, *(p.similarity(joined) for p in self.tailed))
         # token set: every word of the entry with its nearest word of the value
         got, used = 0.0, 0
@@ -140,40 +152,39 @@ class Entry:
             got += near * p.size
             used += of
         rest = max(0, len(joined) - used)
-        return max(best, got / (self.weight + 0.5 * rest)) if self.weight else 0.0
+        best = max(best, got / (self.weight + 0.5 * rest)) if self.weight else 0.0
+        return best if self.weight > SHORT or best >= SHORT_THRESHOLD else 0.0
 
 
 class Catalog:
     """Canonical entries with everything that is needed to map values to them."""
 
-    def __init__(self, rows: list[tuple[str, str | None, list[str] | None]], threshold: float = THRESHOLD, ahead: float = AHEAD):
+    def __init__(self, rows: list[tuple[str, str | None, list[str] | None]], threshold: float = THRESHOLD, ahead: float = AHEAD, vocabulary: Vocabulary = NO_VOCABULARY):
         import ahocorasick
 
-        self.threshold, self.ahead = threshold, ahead
+        self.threshold, self.ahead, self.tails = threshold, ahead, vocabulary.tails
+        self.plain_words = frozenset(vocabulary.plain)
+        self.plain_patterns = [Pattern(w) for w in vocabulary.plain if len(w) >= 4]
         self.entries: list[Entry] = []
-        self.short: dict[str, str] = {}
         self._memo: dict[tuple[str, ...], str] = {}
         self._values: dict[str, str] = {}
         self._plain: dict[str, bool] = {}
         telling: set[str] = set()
         names: dict[str, set[str]] = {}
-        for key, label, aliases in rows:
-            if key is None:
-                continue
+        named = [(key, [key, label or "", *(a for a in aliases or [] if a)]) for key, label, aliases in rows if key is not None]
+        self.numbers = numbers_of(name for _, all_names in named for name in all_names)
+        for key, all_names in named:
             seen = set()
-            for name in [key, label or "", *(a for a in aliases or [] if a)]:
-                full = fold(name)
-                words = [w for w in full if w not in _PLAIN] or full
+            for name in all_names:
+                full = fold(name, self.numbers)
+                words = [w for w in full if w not in self.plain_words] or full
                 if not words or tuple(words) in seen:
                     continue
                 seen.add(tuple(words))
                 telling.update(w for w in words if len(w) >= 4)
                 names.setdefault(" ".join(full), set()).add(key)
                 names.setdefault(" ".join(words), set()).add(key)
-                if len("".join(words)) <= 4:
-                    self.short["".join(words)] = key
-                else:
-                    self.entries.append(Entry(key, words))
+                self.entries.append(Entry(key, words, self.tails))
         self.telling = [Pattern(w) for w in sorted(telling)]
         self.automaton = ahocorasick.Automaton()
         for name, keys in names.items():
@@ -190,7 +201,7 @@ class Catalog:
         self.word_size = np.array([len(w) for e in self.entries for w in e.words], np.float64)
         self.word_first = np.cumsum([0, *(len(e.words) for e in self.entries)])[:-1]
         self.weight = np.array([e.weight for e in self.entries], np.float64)
-        self.whole = [np.array([_letters(e.joined + t) for e in self.entries], np.uint8).reshape(-1, 36) for t in ("", *TAILS)]
+        self.whole = [np.array([_letters(e.joined + t) for e in self.entries], np.uint8).reshape(-1, 36) for t in ("", *self.tails)]
         self._near: dict[str, np.ndarray] = {}
 
     def _word(self, word: str) -> np.ndarray:
@@ -208,7 +219,7 @@ class Catalog:
         distance is below the letters that differ), the token set as it is."""
         size, letters = len(joined), _letters(joined)
         most = np.zeros(len(self.entries))
-        for tail, counts in zip(("", *TAILS), self.whole, strict=True):
+        for tail, counts in zip(("", *self.tails), self.whole, strict=True):
             longer = self.weight + len(tail)
             # letters beyond 255 of a kind aren't counted, so they may all be shared
             shared = np.minimum(counts, letters).sum(1) if size < 256 else np.minimum(longer, size)
@@ -228,11 +239,11 @@ class Catalog:
 
     def plain(self, word: str) -> bool:
         """Whether a word is a plain word, or nearer to one than to any telling word."""
-        if word in _PLAIN:
+        if word in self.plain_words:
             return True
         found = self._plain.get(word)
         if found is None:
-            near = min((p.distance(word) for p in _PLAIN_PATTERNS if abs(p.size - len(word)) <= 2), default=9) if len(word) >= 4 else 9
+            near = min((p.distance(word) for p in self.plain_patterns if abs(p.size - len(word)) <= 2), default=9) if len(word) >= 4 else 9
             found = near <= (1 if len(word) < 6 else 2) or near == 3 and len(word) >= 9
             found = found and not any(p.distance(word) <= near for p in self.telling if abs(p.size - len(word)) <= near)
             if len(self._plain) >= MEMO:
@@ -261,8 +272,6 @@ class Catalog:
 
     def nearest(self, words: list[str]) -> str:
         joined = "".join(words)
-        if joined in self.short:
-            return self.short[joined]
         if not self.entries:
             return UNMATCHED
         bounds = self.bounds(words, joined)
@@ -285,7 +294,7 @@ class Catalog:
         """The key of the entry that is meant, or ``unmatched``."""
         found = self._values.get(value)
         if found is None:
-            words = tuple(fold(value))
+            words = tuple(fold(value, self.numbers))
             found = self._memo.get(words)
             if found is None:
                 telling = [w for w in words if not self.plain(w)]
@@ -302,7 +311,9 @@ class Catalog:
 _LOADED: dict[str, Catalog] = {}
 
 
-def map_values(df: DataFrame, row_id: str, fields: list[str], catalog: DataFrame, skip: list[str] | None = None) -> DataFrame:
+def map_values(
+    df: DataFrame, row_id: str, fields: list[str], catalog: DataFrame, skip: list[str] | None = None, vocabulary: Vocabulary = NO_VOCABULARY
+) -> DataFrame:
     """(row_id, field, subtype_key) of the free values in ``fields``.
 
     ``catalog`` has subtype_key, label and aliases; its size is checked before it goes to
@@ -314,7 +325,7 @@ def map_values(df: DataFrame, row_id: str, fields: list[str], catalog: DataFrame
     spark = df.sparkSession
     rows = [(r[0], r[1], list(r[2]) if r[2] else None) for r in bounded_rows(catalog.select("subtype_key", "label", "aliases"), CATALOG_LIMIT, "the canonical list")]
     shared = spark.sparkContext.broadcast(rows)
-    key = hashlib.sha1(repr(rows).encode()).hexdigest()
+    key = hashlib.sha1(repr((rows, vocabulary)).encode()).hexdigest()
     exact = [r[0] for r in rows if r[0] is not None] + list(skip or [])
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
     long = df.select(F.col(row_id).alias("rec"), each.alias("v")).select("rec", "v.field", "v.value")
@@ -322,7 +333,7 @@ def map_values(df: DataFrame, row_id: str, fields: list[str], catalog: DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LOADED:
-            _LOADED[key] = Catalog(shared.value)
+            _LOADED[key] = Catalog(shared.value, vocabulary=vocabulary)
         find = _LOADED[key].find
         for batch in batches:
             keys = [find(v) for v in batch.column(2).to_pylist()]

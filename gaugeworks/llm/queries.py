@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.canonical import map_values
+from gaugeworks.llm.canonical import Vocabulary, map_values
 from gaugeworks.llm.encode import count_tokens, encode
 from gaugeworks.llm.pack import pack
 from gaugeworks.llm.pii import find_spans, redact
@@ -13,10 +13,19 @@ from gaugeworks.llm.topn import top_n
 from gaugeworks.runtime import bounded_rows, table
 
 
+# Words in names of contracts that don't tell their kind, and endings run together with names.
+CONTRACT_WORDS = Vocabulary(
+    plain=(
+        "agreement", "agreements", "agmt", "agrmt", "agt", "agr", "contract", "contracts", "deed", "form", "of", "the", "and", "for",
+        "amended", "restated", "draft", "master", "exclusive", "executed", "signed", "copy", "final", "w", "with", "exhibits", "to", "a", "in",
+    ),
+    tails=("agreement", "agmt", "contract", "deed", "s"),
+)
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return map_values(
-        table(spark, base, "sorter_rows"), "row_id", ["expected_subtype", "contract_subtype"], table(spark, base, "subtype_catalog"), ["other"]
-    )
+    fields = ["expected_subtype", "contract_subtype"]
+    return map_values(table(spark, base, "sorter_rows"), "row_id", fields, table(spark, base, "subtype_catalog"), ["other"], CONTRACT_WORDS)
 
 
 def p2_unmatched(spark: SparkSession, base: str) -> DataFrame:

@@ -3,13 +3,14 @@ import random
 import pytest
 
 from gaugeworks.llm.canonical import Catalog, Pattern, map_values
+from gaugeworks.llm.queries import CONTRACT_WORDS
 
 ROWS = [
     ("license", "License Agreement", ["Licence Deed"]), ("distributor", "Distribution Agreement", ["Distributorship"]), ("joint_venture", "Joint Venture Agreement", ["JV"]),
     ("office_lease", "Office Lease Agreement", ["Tenancy of Premises"]), ("equipment_lease", "Equipment Lease Agreement", ["Machinery Rental"]),
     ("non_disclosure", "Non-Disclosure Agreement", ["NDA"]), ("employment", "Employment Agreement", ["Contract of Service for Staff"]), ("supply", "Supply Agreement", None),
 ]
-CATALOG = Catalog(ROWS)
+CATALOG = Catalog(ROWS, vocabulary=CONTRACT_WORDS)
 
 
 @pytest.mark.parametrize(
@@ -62,8 +63,6 @@ def test_frame(spark):
 def by_all(catalog, words):
     """The nearest entry by the similarity to every one."""
     joined, score = "".join(words), {}
-    if joined in catalog.short:
-        return catalog.short[joined]
     for e in catalog.entries:
         score[e.key] = max(score.get(e.key, 0), e.similarity(words, joined))
     order = sorted(score.items(), key=lambda x: -x[1])
@@ -91,3 +90,28 @@ def test_nearest_against_brute_force():
             assert all(b >= e.similarity(words, joined) - 1e-9 for b, e in zip(own.bounds(words, joined), own.entries, strict=True))
             assert own.nearest(words) == by_all(own, words)
     assert own.nearest(["a" * 700]) == by_all(own, ["a" * 700])
+
+
+def test_short_names_are_compared_too():
+    own = Catalog([("nda", "NDA", None), ("saas", "SaaS", None), ("lease", "Lease", ["LSE"])])
+    assert own.find("ndaa") == "nda" and own.find("N D A") == "nda" and own.find("sas") == "saas"
+    assert own.find("n/a") == own.find("nba") == own.find("xyz") == "unmatched"
+
+
+def test_a_name_of_two_entries_means_neither():
+    own = Catalog([("a", "Intellectual Property", ["IP"]), ("b", "Internet Protocol", ["IP"])])
+    assert own.find("IP") == own.find("ip ") == "unmatched"
+    assert own.find("internet protocl") == "b"
+
+
+def test_numbers_of_the_list_count():
+    own = Catalog([("p1", "Phase 1 Study", None), ("p2", "Phase 2 Study", None), ("v", "Form v2", None)])
+    assert own.find("phase 1 study v3") == "p1" and own.find("Phase 2 Studdy (2019)") == "p2" and own.find("phase study") == "unmatched"
+    assert own.find("phase 2 study, copy 1") in ("p2", "unmatched") and own.find("form V2") == "v"
+
+
+def test_vocabulary_is_a_parameter(spark):
+    assert Catalog(ROWS).find("LICENSE AGREEMENT") == "license" and Catalog([("x", "", None)], vocabulary=CONTRACT_WORDS).find("agreement") == "unmatched"
+    df = spark.createDataFrame([(1, "Licnese", "x")], "row_id int, field string, subtype_key string")
+    catalog = spark.createDataFrame(ROWS, "subtype_key string, label string, aliases array<string>")
+    assert [tuple(r) for r in map_values(df, "row_id", ["field"], catalog, None, CONTRACT_WORDS).collect()] == [(1, "field", "license")]
