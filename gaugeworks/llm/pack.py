@@ -5,8 +5,8 @@ any more and room is left, its smallest item is given back and replaced by the t
 unpacked items that fill the widened gap most tightly, if they fill more of it.
 
 Items are spread over shards by a hash of their id; the number of shards follows the
-total size, so that one shard is a task of bounded size whatever the size of the
-table, and at most the last bin of a shard is slack. An item is split only if it
+total size and the number of items, so that one shard is a task of bounded size whatever
+the size of the table and of the items, and at most the last bin of a shard is slack. An item is split only if it
 exceeds the capacity: into full containers and one rest.
 """
 
@@ -23,6 +23,8 @@ from gaugeworks.runtime import materialised
 
 #: Full containers' worth of items in a shard.
 SHARD_BINS = 8_192
+#: Items in a shard.
+SHARD_ITEMS = 500_000
 
 
 class _Sizes:
@@ -93,7 +95,7 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(sizes: DataFrame, row_id: str, size: str, budgets: DataFrame, shard_bins: int = SHARD_BINS) -> DataFrame:
+def pack(sizes: DataFrame, row_id: str, size: str, budgets: DataFrame, shard_bins: int = SHARD_BINS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(budget_id, container, row_id, piece, start_at, n_tokens) of every item and budget.
 
     ``sizes`` has one row per item; ``budgets`` (budget_id, capacity_tokens) is a small
@@ -107,12 +109,13 @@ def pack(sizes: DataFrame, row_id: str, size: str, budgets: DataFrame, shard_bin
     if len(rows) > 1000 or any(r.capacity is None or r.capacity < 1 for r in rows):
         raise ValueError("budgets must be few and their capacities at least 1")
     items = materialised(sizes.select(F.col(row_id).alias("rec"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")), "sizes")
-    total = items.agg(F.sum("size")).first()[0] or 0
+    total, n_items = items.agg(F.sum("size"), F.count_if(F.col("size") > 0)).first()
+    total = total or 0
     spark = sizes.sparkSession
     if not rows:
         return spark.createDataFrame([], f"budget_id int, container bigint, {row_id} {items.schema['rec'].dataType.simpleString()}, piece int, start_at bigint, n_tokens bigint")
     kind = items.schema["rec"].dataType.simpleString()
-    plans = [(r.budget_id, r.capacity, max(1, math.ceil(total / (shard_bins * r.capacity)))) for r in rows]
+    plans = [(r.budget_id, r.capacity, max(1, math.ceil(total / (shard_bins * r.capacity)), math.ceil(n_items / shard_items))) for r in rows]
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(s).alias("shards")) for b, c, s in plans]))
     spread = items.where("size > 0").select("rec", "size", each.alias("b")).select("rec", "size", "b.*")
     spread = spread.withColumn("shard", F.pmod(F.xxhash64("rec"), F.col("shards")))

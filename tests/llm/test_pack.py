@@ -40,3 +40,13 @@ def test_frame(spark):
     assert pack(sizes.limit(0), "doc", "n", budgets).count() == 0
     with pytest.raises(ValueError):
         pack(sizes, "doc", "n", spark.createDataFrame([(1, 0)], "budget_id int, capacity_tokens bigint"))
+
+
+def test_shards_are_bounded_by_items_too(spark):
+    from gaugeworks.llm.pack import pack
+
+    items = spark.range(900).selectExpr("id", "1 size")
+    budgets = spark.createDataFrame([(1, 1_000_000)], "budget_id int, capacity_tokens bigint")
+    got = pack(items, "id", "size", budgets, shard_items=100)
+    assert got.count() == 900 and got.select("container").distinct().count() > 5
+    assert got.groupBy((got.container / 2**32).cast("int")).count().agg({"count": "max"}).first()[0] < 200
