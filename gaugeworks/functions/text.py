@@ -111,6 +111,11 @@ def rescued(score: Column, similarity: Column, below: float) -> Column:
 CLAUSE_CUT = r"\s*\n\s*|\s*;\s+|(?<=[A-Za-z)][.!?])\s+(?=[A-Z0-9\"(])"
 
 
+def percent(value: Column, digits: int = 1) -> Column:
+    """A share as text, ``n/a`` for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value), "n/a").otherwise(F.concat(F.format_string(f"%.{digits}f", 100 * value), F.lit("%")))
+
+
 def clause_spans(items: Column, least: int = 4) -> Column:
     """Items cut into clauses; pieces of under ``least`` words join the one before, repeated
     spans (by their words) are left out."""

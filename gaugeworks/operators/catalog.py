@@ -57,6 +57,25 @@ def invalid_bundle_metrics(table: DataFrame, metrics: DataFrame) -> DataFrame:
     return table.join(metrics.select(F.col("name").alias("metric")), "metric", "left_anti")
 
 
+def document_bundle(table: DataFrame, metrics: DataFrame, doc_type: str, agent: str | None = None) -> DataFrame:
+    """(metric, pos) of the bundle of a document type, checked: an unknown type is a KeyError,
+    and so is a metric of it, additions for any agent included, that the catalog lacks."""
+    own = table.where(F.col("bundle") == doc_type)
+    if not own.limit(1).collect():
+        known = [r[0] for r in bounded_rows(table.select("bundle").distinct().orderBy("bundle"), 10_000, "bundles")]
+        raise KeyError(f"unknown document type {doc_type!r}; known: {known}")
+    if bad := invalid_bundle_metrics(own, metrics).select("metric").limit(1).collect():
+        raise KeyError(f"unknown metric {bad[0][0]!r} in {doc_type!r}")
+    return bundle_metrics(table, doc_type, agent)
+
+
+def with_metrics(metrics: DataFrame, entries: list[dict]) -> DataFrame:
+    """The catalog with further metrics; one of the same name is replaced."""
+    more = registry(metrics.sparkSession, entries)
+    kept = metrics.join(F.broadcast(more.select("name")), "name", "left_anti")  # as many as the caller lists
+    return kept.select("name", "tier", "aggregation", "agents").unionByName(more.select("name", "tier", "aggregation", "agents"))
+
+
 def dashboard(table: DataFrame, metrics: DataFrame, bundle: str, agent: str | None = None, max_tier: int = 1) -> DataFrame:
     """The metrics of a bundle up to a tier, in the bundle's order."""
     names = bundle_metrics(table, bundle, agent)

@@ -30,9 +30,14 @@ def per_class(df: DataFrame, by: list[str], expected: str = "expected", predicte
     return accuracy(rows, [*by, expected], expected, predicted).withColumnsRenamed({expected: "class", "hits": "correct"})
 
 
-def macro_accuracy(df: DataFrame, by: list[str], expected: str = "expected", predicted: str = "predicted") -> DataFrame:
-    """Mean of the class accuracies."""
-    return per_class(df, by, expected, predicted).groupBy(*by).agg(F.count("*").alias("classes"), F.avg("accuracy").alias("macro_accuracy"))
+def rounded(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.round(c, digits)
+
+
+def macro_accuracy(df: DataFrame, by: list[str], expected: str = "expected", predicted: str = "predicted", digits: int | None = None) -> DataFrame:
+    """Mean of the class accuracies; with ``digits`` these are rounded first, and so is the mean."""
+    mean = rounded(F.avg(rounded(F.col("accuracy"), digits)), digits)
+    return per_class(df, by, expected, predicted).groupBy(*by).agg(F.count("*").alias("classes"), mean.alias("macro_accuracy"))
 
 
 def confusion(df: DataFrame, by: list[str], expected: str = "expected", predicted: str = "predicted") -> DataFrame:
@@ -57,21 +62,23 @@ def top_confusions(cells: DataFrame, k: int, expected: str = "expected", predict
     return cells.where((F.col(expected) != F.col(predicted)) & (F.col("n") > 0)).orderBy(F.desc("n"), expected, predicted).limit(k)
 
 
-def binary(df: DataFrame, by: list[str], expected: str = "expected", predicted: str = "predicted", positive: str | None = None) -> DataFrame:
-    """tp, fp, fn, tn and what follows. Without ``positive`` texts that mean yes are."""
+def binary(df: DataFrame, by: list[str], expected: str = "expected", predicted: str = "predicted", positive: str | None = None, digits: int | None = None) -> DataFrame:
+    """tp, fp, fn, tn and what follows. Without ``positive`` texts that mean yes are. With
+    ``digits`` every rate is rounded, and F1 and F2 are those of the rounded rates."""
     e = flag(F.col(expected)) if positive is None else (F.col(expected).eqNullSafe(F.lit(positive))).cast("int")
     p = flag(F.col(predicted)) if positive is None else (F.col(predicted).eqNullSafe(F.lit(positive))).cast("int")
     count = lambda x, y: F.count_if((e == x) & (p == y))
     cells = df.groupBy(*by).agg(F.count("*").alias("n"), count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
-    return with_rates(cells)
+    return with_rates(cells, digits)
 
 
-def with_rates(cells: DataFrame) -> DataFrame:
+def with_rates(cells: DataFrame, digits: int | None = None) -> DataFrame:
     """precision, recall, f1, f2 and accuracy from tp, fp, fn, tn."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    rated = cells.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "accuracy": ratio(tp + tn, tp + fp + fn + tn)})
+    rates = {"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "accuracy": ratio(tp + tn, tp + fp + fn + tn)}
+    rated = cells.withColumns({k: rounded(c, digits) for k, c in rates.items()})
     p, r = F.col("precision"), F.col("recall")
-    return rated.withColumns({"f1": ratio(2 * p * r, p + r), "f2": ratio(5 * p * r, 4 * p + r)})
+    return rated.withColumns({"f1": rounded(ratio(2 * p * r, p + r), digits), "f2": rounded(ratio(5 * p * r, 4 * p + r), digits)})
 
 
 def distribution(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

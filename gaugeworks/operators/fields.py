@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.parse import date_grounded, date_score, no_real_date, parse_date, parse_money, prose_date
 from gaugeworks.functions.similarity import list_score_udf, name_score_udf
-from gaugeworks.functions.text import containment, content_tokens, let, normalized, stripped, token_f1, tokens
+from gaugeworks.functions.text import containment, content_tokens, let, normalized, rescued, stripped, token_f1, tokens
 from gaugeworks.operators.classify import ratio
 from gaugeworks.settings import Settings
 from gaugeworks.taxonomy import ID_HINTS, MONEY_HINTS
@@ -65,15 +65,24 @@ def native_score(kind: Column, pred: Column, exp: Column) -> Column:
     )
 
 
-def score_scalars(df: DataFrame, kind: str = "field_type", pred: str = "predicted", exp: str = "expected", out: str = "score") -> DataFrame:
+def score_scalars(
+    df: DataFrame, kind: str = "field_type", pred: str = "predicted", exp: str = "expected", out: str = "score", similarity: str | None = None, settings: Settings = Settings()
+) -> DataFrame:
     """``df`` with the score of each scalar field, in one pass over its rows.
 
     Values of rows that native rules settle never meet Python: the Arrow UDF gets nulls for
-    them, which it passes over. Null counts as empty text.
+    them, which it passes over. Null counts as empty text. ``similarity`` names a column with
+    the embedding similarity of the two texts: it lifts the scores of names and free texts
+    that are below the settings' limit, where neither text is blank.
     """
     known = df.withColumn("__native", native_score(F.col(kind), F.col(pred), F.col(exp)))
     due = lambda c: F.when(F.col("__native").isNull(), F.coalesce(c, F.lit("")))
-    return known.withColumn(out, F.coalesce("__native", name_score_udf(due(pred), due(exp)))).drop("__native")
+    score = F.coalesce("__native", name_score_udf(due(pred), due(exp)))
+    if similarity is not None:
+        blank = (stripped(F.coalesce(pred, F.lit(""))) == "") | (stripped(F.coalesce(exp, F.lit(""))) == "")
+        near = F.when(~blank & ~F.col(kind).isin("id", "money", "date", "containment"), F.col(similarity))
+        score = rescued(score, near, settings.rescue_below)
+    return known.withColumn(out, score).drop("__native")
 
 
 def score_lists(df: DataFrame, pred: str, exp: str, partial: Column, kind: str = "name", settings: Settings = Settings(), out: str = "list_score") -> DataFrame:
@@ -86,13 +95,17 @@ def list_total(score: Column, partial: Column) -> Column:
     return F.when(partial, score["recall"]).otherwise(score["f1"])
 
 
-def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Settings()) -> DataFrame:
+def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Settings(), element: str = "name") -> DataFrame:
     """Scores of whole documents from fields in long form.
 
     ``fields`` has the columns of ``doc``, field, field_type (null: by name), predicted and
-    expected, and optionally pred_items and exp_items for lists. Fields whose expected
-    value is null or '' don't count; an empty list counts. Result: doc, field_scores (map),
-    overall_score, ambiguous_fields, needs_review.
+    expected, and optionally pred_items and exp_items for lists (of ``element`` kind). Fields
+    whose expected value is null or '' don't count; an empty list counts. Result: doc,
+    field_scores (map), overall_score, ambiguous_fields, needs_review. If there is a column
+    text with the document's text, every field that the model filled is audited against it
+    and the label, those without an expected value too: audits (map of counts and
+    rates by field) and overall_verified_precision, the mean over the audited fields, both
+    null where there is no text.
     """
     has_lists = {"pred_items", "exp_items"} <= set(fields.columns)
     is_list = F.col("exp_items").isNotNull() if has_lists else F.lit(False)
@@ -107,12 +120,12 @@ def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Sett
     scored = missing.select(*doc, "field", "score").unionByName(given.select(*doc, "field", "score"))
     if has_lists:
         lists = rows.where("__list")
-        listed = score_lists(lists, "pred_items", "exp_items", F.col("__partial"), settings=settings)
+        listed = score_lists(lists, "pred_items", "exp_items", F.col("__partial"), element, settings)
         scored = scored.unionByName(listed.select(*doc, "field", list_total(F.col("list_score"), F.col("__partial")).alias("score")))
     scored = scored.withColumn("score", F.round("score", 4))
     low, high = settings.band
     one = scored.groupBy(*doc, "field").agg(F.max("score").alias("score"))
-    return (
+    totals = (
         one.groupBy(*doc)
         .agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "score")))).alias("field_scores"),
@@ -121,6 +134,43 @@ def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Sett
         )
         .withColumn("needs_review", F.size("ambiguous_fields") > 0)
     )
+    if "text" not in fields.columns or not settings.verify:
+        return totals
+    return totals.join(audited_documents(fields, doc, settings, element), doc, "left")
+
+
+def audited_documents(fields: DataFrame, doc: list[str], settings: Settings = Settings(), element: str = "name") -> DataFrame:
+    """(doc, audits, overall_verified_precision) of the fields that the model filled, for
+    documents with a text; columns as for :func:`score_documents`.
+
+    A value or an item is true if it matches a label or stands in the text. Of a field that
+    occurs twice in a document the counts are added up.
+    """
+    rows = fields.where(F.coalesce(F.col("text") != "", F.lit(False)))
+    has_lists = {"pred_items", "exp_items"} <= set(fields.columns)
+    is_list = F.coalesce(F.col("pred_items").isNotNull() | F.col("exp_items").isNotNull(), F.lit(False)) if has_lists else F.lit(False)
+    rows = rows.withColumn("__list", is_list).withColumn("__kind", F.coalesce("field_type", field_type(F.col("field"), F.col("__list"))))
+    scalars = audit_scalars(rows.where(~F.col("__list") & (stripped(F.coalesce("predicted", F.lit(""))) != "")), "__kind", "predicted", "expected", "text", settings)
+    true_ = F.greatest("matched_gt", "verified_in_doc")
+    counts = scalars.select(*doc, "field", F.lit(1).alias("n_predicted"), "matched_gt", "verified_in_doc", true_.alias("true_items"))
+    if has_lists:
+        items = rows.where("__list").select(*doc, "field", content_tokens(tokens(F.col("text"))).alias("__words"), F.coalesce("exp_items", F.array().cast("array<string>")).alias("__e"), F.explode("pred_items").alias("item"))
+        hit = score_lists(items.withColumn("__p", F.array(F.coalesce("item", F.lit("")))), "__p", "__e", F.lit(False), element, settings)
+        hit = hit.withColumn("hit_gt", F.col("list_score.matched") > 0)
+        one = audit_items(hit, "__words", "hit_gt", settings).select(
+            *doc, "field", F.lit(1).alias("n_predicted"), F.col("hit_gt").cast("int").alias("matched_gt"), F.col("in_doc").cast("int").alias("verified_in_doc"), F.col("true_item").cast("int").alias("true_items")
+        )
+        counts = counts.unionByName(one)
+    n = F.col("n_predicted")
+    sums = counts.groupBy(*doc, "field").agg(*[F.sum(c).alias(c) for c in ("n_predicted", "matched_gt", "verified_in_doc", "true_items")])
+    sums = sums.withColumn("verified_precision", F.round(F.col("true_items") / n, 4)).withColumns(
+        {"hallucinated": n - F.col("true_items"), "hallucination_rate": F.round((n - F.col("true_items")) / n, 4)}
+    )
+    audit = F.struct("n_predicted", "matched_gt", "verified_in_doc", "true_items", "verified_precision", "hallucinated", "hallucination_rate")
+    return sums.groupBy(*doc).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", audit.alias("audit"))))).alias("audits"),
+        F.round(F.avg("verified_precision"), 4).alias("overall_verified_precision"),
+    )
 
 
 def grounded(words: Column, doc_words: Column, coverage: float) -> Column:
@@ -174,16 +224,35 @@ def audit_totals(items: DataFrame, by: list[str], has_match: str = "hit_gt", ite
     )
 
 
-def category_presence(df: DataFrame, by: list[str], answer: str, candidates: str, settings: Settings = Settings()) -> DataFrame:
-    """Share of expected categories whose clause is covered by a candidate span.
+def category_presence(df: DataFrame, by: list[str], answer: str, candidates: str, settings: Settings = Settings(), similarities: str | None = None) -> DataFrame:
+    """Share of expected categories whose clause is covered by a candidate span, or near one
+    by ``similarities``, a column with the embedding similarity of each candidate.
 
     ``df`` has one row per expected category; groups without any are absent (their score is 1
     by definition of the caller)."""
     hit = F.exists(F.col(candidates), lambda c: (c != "") & (containment_score(c, F.col(answer)) >= settings.coverage))
+    if similarities is not None:
+        hit = hit | F.coalesce(F.array_max(similarities) >= settings.presence, F.lit(False))
     rows = df.withColumn("matched", F.coalesce(hit, F.lit(False)) & (F.col(answer) != ""))
     return rows.groupBy(*by).agg(F.count("*").alias("n_expected"), F.count_if("matched").alias("n_matched"), (F.count_if("matched") / F.count("*")).alias("score"))
 
 
-def chained_composite(sorter: Column, extractor: Column) -> Column:
-    """A quarter the sorter's score, three quarters the extractor's."""
-    return 0.25 * sorter + 0.75 * extractor
+#: Weights of the sorter and of the extractor in the score of a chained run.
+CHAIN = (0.25, 0.75)
+
+
+def chained_composite(sorter: Column, extractor: Column, weights: tuple[float, float] = CHAIN) -> Column:
+    """The weighted score of a chained run, by default a quarter the sorter's."""
+    return weights[0] * sorter + weights[1] * extractor
+
+
+def chained_summary(exact: Column, subtype: Column, overall: Column, presence: Column, n: Column, weights: tuple[float, float] = CHAIN, digits: int = 4) -> Column:
+    """struct<sorter, extractor, composite, weights, n> of a chained run."""
+    r = lambda c: F.round(c, digits)
+    return F.struct(
+        F.struct(r(exact).alias("exact_match"), r(subtype).alias("subtype_accuracy")).alias("sorter"),
+        F.struct(r(overall).alias("overall_extraction_score"), r(presence).alias("field_presence")).alias("extractor"),
+        r(chained_composite(exact, overall, weights)).alias("composite"),
+        F.struct(F.lit(weights[0]).alias("sorter"), F.lit(weights[1]).alias("extractor")).alias("weights"),
+        n.alias("n"),
+    )

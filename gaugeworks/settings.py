@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
 
+#: Sections of a settings file whose keys are settings.
+SECTIONS = ("field_scoring", "verification", "taxonomy", "reporting")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds of the scorers. Plans capture the values when they are built."""
@@ -28,13 +33,26 @@ class Settings:
     def with_(self, **changes) -> Settings:
         return dataclasses.replace(self, **changes)
 
+    def configured(self, **overrides) -> Settings:
+        """Settings with overrides by name, or by ``section__name`` as in the sections of a
+        settings file. An unknown name is an error."""
+        known = {f.name for f in dataclasses.fields(self)}
+        names = {k: k.rpartition("__")[2] for k in overrides}
+        if bad := sorted(k for k, n in names.items() if n not in known):
+            raise KeyError(f"unknown settings {bad}")
+        changed = Settings.from_mapping({names[k]: v for k, v in overrides.items()})
+        return self.with_(**{n: getattr(changed, n) for n in names.values()})
+
     @classmethod
     def from_mapping(cls, values: dict) -> Settings:
-        """Known keys overlay the defaults; unknown keys are ignored."""
+        """Known keys overlay the defaults, those of a section too; unknown keys are reported
+        by a warning and left out."""
+        values = {k: v for key, value in (values or {}).items() for k, v in (value.items() if key in SECTIONS and isinstance(value, dict) else [(key, value)])}
         known = {f.name for f in dataclasses.fields(cls)}
         out = {}
         for k, v in (values or {}).items():
             if k not in known:
+                warnings.warn(f"unknown setting {k!r}", stacklevel=2)
                 continue
             out[k] = frozenset(v) if k in ("partial_gt", "containment") else tuple(v) if k == "band" else {m: tuple(p) for m, p in v.items()} if k == "prices" else v
         return cls(**out)
