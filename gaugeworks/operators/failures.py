@@ -39,6 +39,6 @@ def per_subtype(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame) -> DataFrame:
+def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of expected against predicted families, failed rows included."""
-    return df.groupBy(normalize_subtype(F.col("expected_subtype")).alias("expected"), normalize_subtype(F.col("contract_subtype")).alias("predicted")).agg(F.count("*").alias("n"))
+    return df.groupBy(*(by or []), normalize_subtype(F.col("expected_subtype")).alias("expected"), normalize_subtype(F.col("contract_subtype")).alias("predicted")).agg(F.count("*").alias("n"))

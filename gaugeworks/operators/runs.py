@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import failures
 from gaugeworks.operators.ordering import with_lag
-from gaugeworks.operators.stats import wilson
+from gaugeworks.operators.stats import bootstrap, wilson
+from gaugeworks.taxonomy import FAILURE_MODES, SORTER_TASK
 
 # Fixed value: the form of a run's name.
 RUN_NAME = (
@@ -182,6 +184,61 @@ def sessions(df: DataFrame, session: str = "session", received: str = "received_
     )
 
 
+def run_records(df: DataFrame, session: str = "session", received: str = "received_at", model: str | None = None, prompt_version: str | None = None, usage: bool = True) -> DataFrame:
+    """One record per session from delivered rows of a sorter, as a run log has it.
+
+    Columns: session, task, model, prompt_version (those of the first row), timestamp (the
+    first), n_rows, rates with bootstrap intervals, confidence, n_failed and mode_counts,
+    per_subtype (map), confusion (cells), and with the token columns prompt_tokens,
+    completion_tokens, total_tokens and cost if ``df`` has them and ``usage``. A missing
+    flag is a miss here. Sessions that are null or blank are left out; rates have four digits.
+    """
+    rows = failures.with_mode(df.where(F.coalesce(F.col(session) != "", F.lit(False))).withColumn("__session", F.col(session)))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    rows = rows.withColumns({"__exact": flag("doc_type_ok"), "__sub": flag("subtype_ok"), "__equiv": flag("subtype_ok_equiv")})
+    first = lambda c: F.min_by(c, F.struct(F.col(received).isNull(), received)) if c else F.lit(None).cast("string")
+    rate = lambda c: F.round(F.avg(c), 4)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("bigint")
+    tokens = {c: total(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens") if usage and c in df.columns}
+    if usage and "cost" in df.columns:
+        tokens |= {"cost_usd": F.round(F.avg("cost"), 6).alias("cost_usd"), "cost_total_usd": F.round(F.sum("cost"), 6).alias("cost_total_usd")}
+    modes = F.struct(*[F.count_if(F.col("mode") == m).alias(m) for m in FAILURE_MODES])
+    base = rows.groupBy("__session").agg(
+        F.count("*").alias("n_rows"), first(model).alias("model"), first(prompt_version).alias("prompt_version"), F.min(received).alias("timestamp"),
+        rate("__exact").alias("exact_match"), rate("__sub").alias("subtype_accuracy"), rate("__equiv").alias("subtype_accuracy_equiv"), rate("confidence").alias("confidence"),
+        F.count_if(F.col("mode") != "ok").alias("n_failed"), modes.alias("mode_counts"), *tokens.values(),
+    )
+    ci = lambda c: bootstrap(rows, "__session", c).select("__session", F.struct(*[F.round(x, 4).alias(x) for x in ("lo", "hi", "half")]).alias(f"{c}_ci"))
+    cell = F.struct(*[F.col(c) for c in ("accuracy", "accuracy_equiv", "correct", "equiv", "total")])
+    classes = (
+        failures.per_subtype(rows, ["__session"])
+        .withColumns({"accuracy": F.round("accuracy", 4), "accuracy_equiv": F.round("accuracy_equiv", 4), "equiv": F.col("correct_equiv") - F.col("correct"), "total": F.col("n")})
+        .groupBy("__session")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subtype", cell.alias("cell"))))).alias("per_subtype"))
+    )
+    cells = failures.confusion(rows, ["__session"]).groupBy("__session").agg(F.array_sort(F.collect_list(F.struct("expected", "predicted", "n"))).alias("confusion"))
+    out = base
+    for more in (ci("__exact"), ci("__sub"), classes, cells):  # one row per session each
+        out = out.join(more, "__session", "left")
+    named = {"__session": session, "__exact_ci": "exact_match_ci", "__sub_ci": "subtype_accuracy_ci"}
+    return out.withColumnsRenamed(named).withColumn("task", F.lit(SORTER_TASK))
+
+
+def as_log_records(records: DataFrame, session: str = "session", project: str = "") -> DataFrame:
+    """(session, raw): records of :func:`run_records` as nested JSON, as lines of a run log are."""
+    sorter = F.struct(
+        "exact_match", "exact_match_ci", "subtype_accuracy", "subtype_accuracy_ci", "subtype_accuracy_equiv", "confidence",
+        F.struct("n_failed", "mode_counts").alias("failure_insights"), "per_subtype", F.col("confusion").alias("confusion_matrix"),
+    )
+    used = [F.col(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "cost_usd", "cost_total_usd") if c in records.columns]
+    record = F.struct(
+        F.lit("experiment").alias("type"), "task", F.col(session).alias("experiment_name"), "model", F.struct(F.col("prompt_version").alias("sorter")).alias("prompt_versions"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), "n_rows", F.col("n_rows").alias("n_ok"), F.struct(sorter.alias("sorter")).alias("scores"),
+        F.struct(F.struct(*used, F.col("n_rows").alias("rows_with_usage")).alias("sorter")).alias("tokens"), F.struct(F.lit(project).alias("project")).alias("data_source"),
+    )
+    return records.select(session, F.to_json(record).alias("raw"))
+
+
 def chart_frames(df: DataFrame, metric: str, lo: str, hi: str, row_id: str) -> dict[str, DataFrame]:
     """The data of each chart: interval plot, versions, models, confidence and cost scatters."""
     t = trend(df, metric, lo, hi)
@@ -191,4 +248,25 @@ def chart_frames(df: DataFrame, metric: str, lo: str, hi: str, row_id: str) -> d
         "model_comparison": group_summary(df, "model", metric, row_id).orderBy(F.desc("mean"), "model"),
         "confidence": with_metric(df, metric).where("average_confidence is not null").select("experiment_name", "average_confidence", metric),
         "cost": with_metric(df, metric).where("cost_estimated_usd > 0").select("experiment_name", "cost_estimated_usd", metric),
+        "subtype_heatmap": subtype_heatmap(df, row_id),
+        "failure_modes": failure_bars(df, row_id),
     }
+
+
+def _columns_like(df: DataFrame, prefix: str) -> dict[str, str]:
+    return {c: c[len(prefix) :].strip() for c in df.columns if c.startswith(prefix)}
+
+
+def subtype_heatmap(df: DataFrame, row_id: str, prefix: str = "Accuracy: ", name: str = "experiment_name") -> DataFrame:
+    """(row_id, name, key, value) of the columns with a prefix; empty where there are none."""
+    columns = _columns_like(df, prefix)
+    if not columns:
+        return df.select(row_id, name, F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value")).limit(0)
+    plain = df.select(row_id, name, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    return wide_to_long(plain, [row_id, name], columns, "key", "value")
+
+
+def failure_bars(df: DataFrame, row_id: str, prefix: str = "Failures: ", name: str = "experiment_name") -> DataFrame:
+    """(row_id, name, mode, n) of the failure columns, totals left out."""
+    rows = subtype_heatmap(df, row_id, prefix, name).where("key <> 'n Failed' and value > 0")
+    return rows.select(row_id, name, F.col("key").alias("mode"), F.col("value").cast("bigint").alias("n"))

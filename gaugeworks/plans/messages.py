@@ -31,7 +31,7 @@ def p7_kept(spark: SparkSession, base: str) -> DataFrame:
     """Every message once, whole."""
     store, keyed = stored_messages(spark, base)
     found = store.read()
-    return keyed.limit(0) if found is None else found
+    return (keyed.limit(0) if found is None else found).drop("message")
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -42,13 +42,13 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return messages if kept is None else messages.join(kept.select("row_id"), "row_id", "left_anti")
 
 
-P7_SQL = r"""
-    SELECT row_id FROM (
-      SELECT row_id, row_number() OVER (PARTITION BY t, f ORDER BY received_at NULLS LAST, row_id) AS place FROM (
-        SELECT row_id, received_at,
+_PLACED = r"""
+      SELECT *, row_number() OVER (PARTITION BY t, f ORDER BY received_at NULLS LAST, row_id) AS place FROM (
+        SELECT *,
           regexp_replace(regexp_replace(lower(trim(trace_id)), '^(?:urn:uuid:|trace:)', ''), '[{}\-]', '', 'g') AS t,
           lower(nfc_normalize(trim(regexp_extract(CASE WHEN contains(filename, '%') THEN url_decode(filename) ELSE filename END, '[^/\\]*$')))) AS f
         FROM sorter_rows WHERE trace_id IS NOT NULL AND filename IS NOT NULL)
-      WHERE t <> '' AND f <> '')
-    WHERE place > 1
+      WHERE t <> '' AND f <> ''
 """
+P7_SQL = f"SELECT row_id FROM ({_PLACED}) WHERE place > 1"
+P7_KEPT_SQL = f"SELECT * EXCLUDE (place, t, f) FROM ({_PLACED}) WHERE place = 1"

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.plans import drifting, messages, nested, reference, timestamps, units
+from gaugeworks.plans import drifting, messages, nested, reference, roundtrips, timestamps, twins, units
 
+assert roundtrips.QUERIES is twins.QUERIES is reference.QUERIES  # they add to one registry
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | {"p7_found": messages.P7_SQL}
+    return reference.SQL | {"p7_found": messages.P7_SQL, "p7_kept": messages.P7_KEPT_SQL}

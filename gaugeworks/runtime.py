@@ -64,7 +64,9 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses; it lives as long as this process."""
     if not _MADE:
         atexit.register(clean_up)
-    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    _MADE.append(path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return _MADE[-1]
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SCORE_SCHEMA = "agent string, metric string, value_num double, value_str string, doc_id string, run_id string, metadata map<string,string>, ts double, seq bigint"
 #: Rows that a workbook or a report takes at most; both are made on the driver.
 SHEET_LIMIT = 100_000
+#: Bytes of a workbook or code book that is read on the driver.
+SHEET_BYTES = 200_000_000
 
 
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType, task: str | None = None) -> DataFrame:
@@ -33,6 +35,15 @@ def append_records(df: DataFrame, path: str, timestamp: str = "timestamp") -> No
     df.write.mode("append").json(path)
 
 
+def emit_scores(scores: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Appends scores to a manifest, one line of JSON each with its keys in order. A metric that
+    the catalog lacks is an error before anything is written."""
+    from gaugeworks.operators.scorecard import checked
+
+    line = F.to_json(F.struct(*sorted(scores.columns)), {"ignoreNullFields": "false"})
+    checked(scores, metrics).select(line.alias("value")).write.mode("append").text(path)
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORE_SCHEMA).json(path)
 
@@ -86,29 +97,79 @@ def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
     return out.getvalue()
 
 
+CODEBOOK = ["column", "type", "description", "source", "example"]
+
+
+_URL = re.compile(r"[A-Za-z][\w+.-]+:")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file wherever the session's file systems reach."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file from wherever the session's file systems reach; at most SHEET_BYTES."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).getLen() > SHEET_BYTES:
+        raise ValueError(f"{path} is larger than {SHEET_BYTES} bytes")
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def write_workbook(path: str, df: DataFrame, sheet: str, codebook: list[tuple] | None = None) -> None:
     """Writes a bounded frame (and a code book) as a workbook on the driver."""
     from gaugeworks.runtime import bounded_rows
 
     sheets = {sheet: (df.columns, [tuple(r) for r in bounded_rows(df, SHEET_LIMIT, "a sheet")])}
     if codebook is not None:
-        sheets["Codebook"] = (["column", "type", "description", "source", "example"], codebook)
-    with open(path, "wb") as f:
-        f.write(workbook_bytes(sheets))
+        sheets["Codebook"] = (CODEBOOK, codebook)
+    _put(df.sparkSession, path, workbook_bytes(sheets))
+
+
+def _put(spark: SparkSession | None, path: str, data: bytes) -> None:
+    if spark is not None and _URL.match(path):
+        write_bytes(spark, path, data)
+    else:
+        with open(path, "wb") as f:
+            f.write(data)
+
+
+def write_codebook(path: str, codebook: list[tuple], spark: SparkSession | None = None) -> None:
+    out = io.StringIO(newline="")
+    w = csv.writer(out)
+    w.writerow(CODEBOOK)
+    w.writerows(codebook)
+    _put(spark, path, out.getvalue().encode())
+
 
+def write_sweep(log: DataFrame, raw: str, row_id: str, folder: str, version: str | None = None, notes: dict[str, str] | None = None) -> tuple[str, int]:
+    """The workbook and the code book of the champion's runs; the workbook's path and rows."""
+    from gaugeworks.operators.export import codebook, sorter_columns, sweep_frame
 
-def write_codebook(path: str, codebook: list[tuple]) -> None:
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow(["column", "type", "description", "source", "example"])
-        w.writerows(codebook)
+    frame = sweep_frame(log, raw, row_id, version, notes).drop(row_id)
+    columns = sorter_columns() + ([("Notes", F.lit(None))] if notes else [])
+    book, path = codebook(columns, frame), f"{folder.rstrip('/')}/model_sweep.xlsx"
+    write_workbook(path, frame, "Eval Results", book)
+    write_codebook(f"{folder.rstrip('/')}/codebook.csv", book, log.sparkSession)
+    return path, read_sheet(log.sparkSession, path, "Eval Results").count()
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet of a workbook as text and double columns; names are compared without case."""
+    """A sheet of a workbook as text and double columns; names are compared without case. A
+    sheet with more than SHEET_LIMIT rows is an error."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(read_bytes(spark, path)) if _URL.match(path) else path) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         names = {s.get("name").lower(): s.get(rel) for s in book.find("m:sheets", ns)}
         if sheet.lower() not in names:
@@ -138,6 +199,8 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
             else:
                 line.append(v.text if c.get("t") == "str" else float(v.text))
         rows.append(line)
+        if len(rows) > SHEET_LIMIT + 1:
+            raise ValueError(f"{sheet} has more than {SHEET_LIMIT} rows")
     header = [str(h) for h in rows[0]] if rows else []
     body = [r + [None] * (len(header) - len(r)) for r in rows[1:]]
     number = [all(isinstance(r[i], float) or r[i] is None for r in body) and any(r[i] is not None for r in body) for i in range(len(header))]

@@ -1,8 +1,11 @@
 """A data source over a paged trace interface (REST), and the rows of its traces.
 
 ``spark.read.format("gaugeworks_traces")``; options: url, public_key, secret_key, path
-(traces), session, name, from, to, max_items, page_size, pages_per_task, min_interval.
-Each partition is a range of pages; requests are spaced and repeated on failure.
+(traces, or scores), session, name, from, to, max_items, page_size, pages_per_task,
+min_interval. Requests are spaced by min_interval and repeated on failure. All pages are one
+partition unless pages_per_task says otherwise: the rate of requests grows with the tasks,
+so smaller ranges are for servers without a limit and for saved pages (a ``file:`` URL
+of a folder that all executors see).
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -46,6 +50,8 @@ def fetch(url: str, auth: tuple[str, str] | None = None, opener: Callable = urll
 
 
 def page_url(options: dict, page: int) -> str:
+    if options["url"].startswith("file:"):  # pages saved as files
+        return f"{options['url'].rstrip('/')}/{options.get('path', 'traces')}-{page}.json"
     query = {"page": page, "limit": int(options.get("page_size", 50))}
     for key, name in (("session", "sessionId"), ("name", "name"), ("from", "fromTimestamp"), ("to", "toTimestamp")):
         if options.get(key):
@@ -73,7 +79,8 @@ class TraceReader(DataSourceReader):
         size, most = int(self.options.get("page_size", 50)), int(self.options.get("max_items") or 0)
         if most:
             pages = min(pages, -(-most // size))
-        step = int(self.options.get("pages_per_task", 100))
+        # one task by default: the interval between requests is kept within a task
+        step = int(self.options.get("pages_per_task") or pages)
         return [Pages(p, min(pages, p + step - 1), (most - (p - 1) * size) if most else -1) for p in range(1, pages + 1, step)]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
@@ -101,6 +108,84 @@ class TraceSource(DataSource):
         return TraceReader(self.options)
 
 
+def _frame(spark: SparkSession, url: str, path: str, session: str | None = None, name: str | None = None, **options) -> DataFrame:
+    spark.dataSource.register(TraceSource)
+    given = {"url": url, "path": path, "session": session, "name": name, **options}
+    return spark.read.format(TraceSource.name()).options(**{k: str(v) for k, v in given.items() if v not in (None, "")}).load()
+
+
+def list_traces(spark: SparkSession, url: str, **options) -> DataFrame:
+    """The traces of a session, a name or a span of time (session, name, from, to, max_items)."""
+    return _frame(spark, url, "traces", **options)
+
+
+def list_scores(spark: SparkSession, url: str, **options) -> DataFrame:
+    """(id, trace_id, name, value_num, value_str, timestamp) of the scores on the server."""
+    raw = _frame(spark, url, "scores", **options)
+    of = lambda k: F.get_json_object("raw", f"$.{k}")
+    number = of("value").try_cast("double")
+    return raw.select("id", of("traceId").alias("trace_id"), "name", number.alias("value_num"), F.when(number.isNull(), F.coalesce(of("stringValue"), of("value"))).alias("value_str"), "timestamp")
+
+
+def one(url: str, kind: str, key: str, auth: tuple[str, str] | None = None, opener: Callable = urllib.request.urlopen) -> dict:
+    """A single trace or session (``kind`` is traces or sessions) as the server gives it."""
+    return fetch(f"{url.rstrip('/')}/{kind}/{urllib.parse.quote(key, safe='')}", auth, opener)
+
+
+SPAN_SCHEMA = "span_id string, trace_id string, name string, start_time string, end_time string, status string, raw string"
+
+
+def spans(spark: SparkSession, url: str, project: str, limit: int = 1000, opener: Callable = urllib.request.urlopen) -> DataFrame | None:
+    """Up to ``limit`` spans of a project from a collector; None if it doesn't answer. Both
+    the newer layout (``data`` with ``context``) and the older one (flat rows) are read."""
+    if not available(url, opener=opener):
+        return None
+    try:
+        answer = fetch(f"{url.rstrip('/')}/v1/projects/{urllib.parse.quote(project, safe='')}/spans?limit={limit}", opener=opener)
+    except (OSError, ValueError, RuntimeError):
+        return None
+    found = (answer.get("data") or answer.get("spans") or []) if isinstance(answer, dict) else answer
+    rows = []
+    for s in found[:limit]:
+        ids = s.get("context") or {}
+        status = s.get("status_code") or (s.get("status") if isinstance(s.get("status"), str) else None)
+        rows.append((ids.get("span_id") or s.get("span_id"), ids.get("trace_id") or s.get("trace_id"), s.get("name"), s.get("start_time"), s.get("end_time"), status, json.dumps(s)))
+    return spark.createDataFrame(rows, SPAN_SCHEMA)
+
+
+def send_scores(scores: DataFrame, url: str, auth: tuple[str, str] | None, post: Callable | None = None) -> int:
+    """Sends (trace_id, name, value, comment) rows to a server; returns how many it took.
+
+    Without credentials nothing is sent, and a failure to send never raises: scoring goes
+    on without the server. Rows without a trace are passed over. Each task posts its rows.
+    """
+    if not auth:
+        return 0
+    rows = scores.where("trace_id is not null").select("trace_id", "name", "value", "comment")
+    target, head = f"{url.rstrip('/')}/scores", "Basic " + base64.b64encode(":".join(auth).encode()).decode()
+    deliver = post or _post
+
+    def run(batches: Iterator) -> Iterator:
+        sent = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                body = {"traceId": row["trace_id"], "name": row["name"], "value": row["value"], "comment": row["comment"]}
+                try:
+                    deliver(target, head, json.dumps(body).encode())
+                    sent += 1
+                except (OSError, ValueError):
+                    continue
+        yield pa.RecordBatch.from_pydict({"sent": pa.array([sent], pa.int64())})
+
+    return rows.mapInArrow(run, "sent bigint").agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
+
+
+def _post(url: str, auth: str, body: bytes) -> None:
+    request = urllib.request.Request(url, body, {"Authorization": auth, "Content-Type": "application/json"}, method="POST")
+    with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+        answer.read()
+
+
 def sorter_rows(traces: DataFrame) -> DataFrame:
     """One flat row per trace of a sorter; traces without a type and an expectation are left out."""
     of = lambda path: F.coalesce(F.get_json_object("raw", f"$.output.sorter.{path}"), F.get_json_object("raw", f"$.output.{path}"))
@@ -109,7 +194,7 @@ def sorter_rows(traces: DataFrame) -> DataFrame:
         F.col("session_id").alias("session"), F.get_json_object("raw", "$.input.filename").alias("filename"), F.col("id").alias("trace_id"),
         of("expected_subtype").alias("expected_subtype"), of("contract_subtype").alias("contract_subtype"), yes("subtype_ok").alias("subtype_ok"),
         yes("subtype_ok_equiv").alias("subtype_ok_equiv"), yes("doc_type_ok").alias("doc_type_ok"), of("confidence").try_cast("double").alias("confidence"),
-        of("doc_type").alias("doc_type"), F.col("timestamp"),
+        of("doc_type").alias("doc_type"), F.get_json_object("raw", "$.input.model").alias("model"), F.get_json_object("raw", "$.input.prompt_version").alias("prompt_version"), F.col("timestamp"),
     )
     return rows.where(F.col("doc_type").isNotNull() | F.col("expected_subtype").isNotNull())
 

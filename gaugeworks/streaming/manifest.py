@@ -20,6 +20,6 @@ def windowed_scores(scores: DataFrame, every: str = "1 hour", late: str = "7 day
     return timed.groupBy(F.window("at", every), "agent", "metric").agg(F.count("*").alias("n"), F.sum("value_num").alias("total"), F.avg("value_num").alias("mean"))
 
 
-def start_scorecard(scores: DataFrame, target: str, checkpoint: str, every: str = "1 hour") -> StreamingQuery:
+def start_scorecard(scores: DataFrame, target: str, checkpoint: str, every: str = "1 hour", late: str = "7 days") -> StreamingQuery:
     """Writes finished windows to ``target``; exactly once through the checkpoint."""
-    return windowed_scores(scores, every).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return windowed_scores(scores, every, late).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

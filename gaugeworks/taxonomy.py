@@ -69,3 +69,6 @@ DAYS_PER = {"year": 365, "month": 30, "week": 7, "day": 1}
 # Words in a field's name that tell its type.
 MONEY_HINTS = ["value", "amount", "fee", "compensation", "price", "cost", "salary", "consideration", "total"]
 ID_HINTS = ["number", "id", "docket", "reference", "filing"]
+
+# Tasks of run records.
+SORTER_TASK, EXTRACTION_TASK = "subtype_classification", "contract_entity_extraction"
