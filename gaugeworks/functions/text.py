@@ -129,9 +129,7 @@ def clause_spans(items: Column, least: int = 4) -> Column:
         ).otherwise(F.concat(acc, F.array(p))),
     )
     flat = F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), merged))
-    same = lambda a, b: F.array_join(tokens(a), " ") == F.array_join(tokens(b), " ")
-    return F.aggregate(
-        flat,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(F.exists(acc, lambda q: same(p, q)), acc).otherwise(F.concat(acc, F.array(p))),
-    )
+    key = lambda p: F.array_join(tokens(p), " ")
+    # of spans with the same words the first: each span's words are joined once
+    first = lambda ks: lambda p, i: F.array_position(ks, ks[i]) == i + 1
+    return let(flat, lambda ps: let(F.transform(ps, key), lambda ks: F.filter(ps, first(ks))))

@@ -114,10 +114,12 @@ def _pages(spark: SparkSession, base: str, kind: str, items: DataFrame, order: s
     folder = fresh_path(spark, kind)
     if not folder.startswith("file:"):
         raise ValueError("saved pages must lie in a folder that workers can open as files")
-    n = items.count()
+    low, last = items.agg(F.min(order), F.max(order)).first()
+    if low is not None and low < 0:
+        raise ValueError("places must not be negative")
     numbered = items.withColumn("page", F.floor(F.col(order) / PAGE) + 1)
     pages = numbered.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(order, "item"))).alias("rows"))  # PAGE items each
-    total = max(1, -(-n // PAGE))
+    total = 1 if last is None else last // PAGE + 1
     head = spark.createDataFrame([(p,) for p in range(1, total + 1)], "page bigint")
     body = F.to_json(F.struct(F.coalesce(F.col("rows.item"), F.array()).alias("data"), F.struct(F.lit(total).alias("totalPages")).alias("meta")))
 
@@ -135,7 +137,7 @@ def _pages(spark: SparkSession, base: str, kind: str, items: DataFrame, order: s
                 os.replace(f"{target}/{kind}-{page}.json.part", f"{target}/{kind}-{page}.json")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    if head.join(pages, "page", "left").select("page", body).mapInArrow(save, "n bigint").agg(F.sum("n")).first()[0] != total:
+    if head.join(pages, "page", "left").select("page", body.alias("body")).mapInArrow(save, "n bigint").agg(F.sum("n")).first()[0] != total:
         raise RuntimeError("pages are missing")
     return folder
 
