@@ -1,15 +1,18 @@
 """Personal data in free text: found by a tagger, replaced by typed placeholders.
 
-Texts are cut into overlapping windows; windows of like length are tagged together. A
-span counts from the window in whose core it begins, where the tagger saw text on
-both sides, and from either window if it touches the edge between their cores; spans of
-neighbouring windows that overlap are settled over the whole text: of those that have a
-form, the longer one stays. An exact check follows: each span is snapped to the form
-of its kind, or dropped if it has none.
+A learned first stage (:mod:`gaugeworks.llm.gate`) picks the parts of a text that the
+tagger has to read. Parts are cut into overlapping windows; windows of like length are
+tagged together. A span counts from the window in whose core it begins, where the
+tagger saw text on both sides, and from either window if it touches the edge between
+their cores. Spans that overlap are reconciled over the whole text: of all sets of spans
+that don't overlap, the one in which the tags are furthest ahead of "outside", summed
+over its characters, stays. An exact check follows: each span is snapped to the form of
+its kind, or dropped if it has none.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
 from collections.abc import Iterator
@@ -47,16 +50,25 @@ def _windows(length: int) -> Iterator[tuple[int, int, int, int]]:
         at = stop
 
 
-def _settle(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Of overlapping spans the longest, then the first, for a whole text."""
-    out: list[tuple[int, int, str]] = []
-    for s in sorted(set(spans)):
-        if out and s[0] < out[-1][1]:
-            if s[1] - s[0] > out[-1][1] - out[-1][0]:
-                out[-1] = s
+def settle(spans: dict[tuple[int, int, str], float]) -> list[tuple[int, int, str]]:
+    """Of all sets of spans that don't overlap the one of the largest total weight, in order;
+    of equal ones that with the earlier spans. Weights are positive."""
+    order = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
+    ends = [s[1] for s in order]
+    best: list[float] = [0.0]
+    take: list[bool] = []
+    for s in order:
+        alone = spans[s] + best[bisect.bisect_right(ends, s[0], 0, len(best) - 1)]
+        take.append(alone > best[-1])
+        best.append(max(alone, best[-1]))
+    out, i = [], len(order)
+    while i:
+        if take[i - 1]:
+            out.append(order[i - 1])
+            i = bisect.bisect_right(ends, order[i - 1][0], 0, i - 1)
         else:
-            out.append(s)
-    return out
+            i -= 1
+    return out[::-1]
 
 
 def spans_in(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
@@ -65,15 +77,16 @@ def spans_in(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]
     for k, text in enumerate(texts):
         if text:
             x = symbols(text)
-            jobs += [(k, start, low, high, x[start:end]) for start, end, low, high in _windows(len(x))]
+            for first, last in tagger.gate.parts(x) if tagger.gate else [(0, len(x))]:
+                jobs += [(k, first + start, first + low, first + high, x[first + start : first + end]) for start, end, low, high in _windows(last - first)]
     jobs.sort(key=lambda j: len(j[4]))
-    raw: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    raw: list[dict[tuple[int, int, str], float]] = [{} for _ in texts]
     for g in range(0, len(jobs), TOGETHER):
         group = jobs[g : g + TOGETHER]
         x = np.zeros((len(group[-1][4]), len(group)), np.int16)
         for c, job in enumerate(group):
             x[: len(job[4]), c] = job[4]
-        tags = tagger.decode(x)
+        tags, ahead = tagger.decode_scored(x)
         begins = (tags > 0) & (tags % 2 == 1)
         for c in np.flatnonzero(begins.any(0)):
             k, start, low, high, piece = group[c]
@@ -83,12 +96,16 @@ def spans_in(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]
                 while e < len(piece) and column[e] == column[t] + 1:
                     e += 1
                 if low <= start + t <= high or start + t < low <= start + e:
-                    raw[k].append((int(start + t), int(start + e), KINDS[(column[t] - 1) // 2]))
+                    span = (int(start + t), int(start + e), KINDS[(column[t] - 1) // 2])
+                    raw[k][span] = max(raw[k].get(span, 0.0), max(1e-6, float(ahead[t:e, c].sum())))
     out = []
     for text, found in zip(texts, raw, strict=True):
         formed = {s: at for s in found if (at := snap(text, *s))}
-        exact = [(*at, s[2]) for s in _settle(list(formed)) for at in formed[s]]
-        out.append(_settle(exact))
+        exact: dict[tuple[int, int, str], float] = {}
+        for s in settle({s: found[s] for s in formed}):
+            for at in formed[s]:
+                exact[(*at, s[2])] = max(exact.get((*at, s[2]), 0.0), found[s])
+        out.append(settle(exact))
     return out
 
 

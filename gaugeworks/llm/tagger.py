@@ -10,6 +10,8 @@ import unicodedata
 
 import numpy as np
 
+from gaugeworks.llm.gate import Gate
+
 PAD, SIZE = 0, 104
 _NEVER = np.float32(-1e4)
 
@@ -54,8 +56,10 @@ def shut_transitions(kinds: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    """Weights of the net, and of its first stage (:class:`gaugeworks.llm.gate.Gate`) if it has one."""
+
+    def __init__(self, weights: dict[str, np.ndarray], gate: Gate | None = None):
+        self.w, self.gate = weights, gate
         self.hidden = weights["wh_f"].shape[0]
         self.tags = weights["out"].shape[1]
 
@@ -116,6 +120,10 @@ class Tagger:
     # -- CRF ------------------------------------------------------------------------
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags [T, B] (Viterbi)."""
+        return self.decode_scored(x)[0]
+
+    def decode_scored(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best tags [T, B], and by how much each is ahead of "outside" at its place."""
         e = self.emissions(x)
         steps, batch, n = e.shape
         shut = shut_transitions((n - 1) // 2)
@@ -138,7 +146,7 @@ class Tagger:
             tags[t] = at
             at = back[t][rows, at]
         tags[~real] = 0
-        return tags
+        return tags, np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0]
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood per character, and its gradients."""
@@ -206,12 +214,16 @@ class Tagger:
         return {f"wx_{d}": gx, f"wh_{d}": gh}
 
     def save(self, path: str) -> None:
-        np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.w.items()})
+        g = self.gate
+        gate = {} if g is None else {"gate_here": g.here, "gate_before": g.before, "gate_after": g.after, "gate_at": np.array([g.bias, g.threshold])}
+        np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in (self.w | gate).items()})
 
     @classmethod
     def load(cls, data) -> Tagger:
         with np.load(data) as found:
-            return cls({k: found[k].astype(np.float32) for k in found.files})
+            w = {k: found[k].astype(np.float32) for k in found.files}
+        tables = [w.pop(k, None) for k in ("gate_here", "gate_before", "gate_after", "gate_at")]
+        return cls(w, None if tables[3] is None else Gate(*tables[:3], *map(float, tables[3])))
 
 
 class Adam:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gaugeworks.llm.pii import WEIGHTS, find_spans, redact, redacted, spans_in
+from gaugeworks.llm.pii import WEIGHTS, find_spans, redact, redacted, settle, spans_in
 from gaugeworks.llm.pii_rules import KINDS, NameForms, snap, weak_labels
 from gaugeworks.llm.tagger import Tagger
 
@@ -73,13 +73,15 @@ def test_span_at_a_core_edge_stays():
     text = "z " * 159 + "Mr Lumika Grisley said " + "z " * 180
 
     class Split:
-        def decode(self, x):
+        gate = None
+
+        def decode_scored(self, x):
             tags, name = np.zeros(x.shape, np.int8), 2 * KINDS.index("name") + 1
             for c in range(x.shape[1]):
                 left = (x[:, c] > 0).sum() == 416
                 begin, end = (321, 335) if left else (318 - 288, 335 - 288)
                 tags[begin, c], tags[begin + 1 : end, c] = name, name + 1
-            return tags
+            return tags, np.ones(x.shape)
 
     assert [(text[b:e], k) for b, e, k in spans_in([text], Split())[0]] == [("Lumika Grisley", "name")]
 
@@ -92,3 +94,42 @@ def test_short_long_and_several_single_names():
     assert len(long) > 60 and names(f"by {long} here", long) == [long]
     assert names("by Grisley/Varnley; Oskelle here", "Grisley/Varnley; Oskelle") == ["Grisley", "Varnley", "Oskelle"]
     assert names("by Grisley/B here", "Grisley/B") == ["Grisley"]
+
+
+def test_settling_against_all_sets():
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        spans = {(b := rng.randrange(20), b + rng.randint(1, 6), "name"): rng.random() for _ in range(rng.randint(0, 8))}
+        apart = lambda c: all(x[1] <= y[0] or y[1] <= x[0] for x, y in itertools.combinations(c, 2))
+        most = max(sum(spans[s] for s in c) for n in range(len(spans) + 1) for c in itertools.combinations(spans, n) if apart(c))
+        got = settle(spans)
+        assert got == sorted(got) and apart(got) and abs(sum(spans[s] for s in got) - most) < 1e-9
+
+
+def test_first_stage_scores_by_brute_force():
+    from gaugeworks.llm import gate
+
+    rng = np.random.default_rng(2)
+    own = gate.Gate(*(rng.normal(size=gate.TABLE).astype(np.float32) for _ in range(3)), 0.25, 1.0)
+    x = rng.integers(1, 104, 60).astype(np.int16)
+    h = gate._hashes(x)
+    for i, got in enumerate(own.scores(x)):
+        before, after = own.before[h[max(0, i - gate.REACH) : i]].sum() / gate.REACH, own.after[h[i + 1 : i + 1 + gate.REACH]].sum() / gate.REACH
+        assert got == pytest.approx(own.here[h[i]] + before + after + 0.25, abs=1e-4)
+    hot = own.scores(x) > 1
+    covered = np.zeros(60, bool)
+    for s, e in own.parts(x):
+        covered[s:e] = True
+    assert covered[hot].all() and own.parts(np.zeros(0, np.int16)) == [] and own.parts(np.array([5, 5], np.int16)) == [(0, 2)]
+
+
+def test_first_stage_keeps_what_the_tagger_finds():
+    full = Tagger(TAGGER.w)
+    filler = "The lessee shall keep the quay in good repair and pay no demurrage on Sundays. " * 60
+    texts = [TEXT, filler, filler + TEXT + filler, "", "ab"]
+    assert spans_in(texts, TAGGER) == spans_in(texts, full)
+    parts = TAGGER.gate.parts(np.array([ord(c) - 31 for c in filler], np.int16))
+    assert sum(e - s for s, e in parts) < len(filler) / 4
