@@ -207,3 +207,47 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     schema = T.StructType([T.StructField(h, T.DoubleType() if n else T.StringType()) for h, n in zip(header, number, strict=True)])
     data = [tuple(v if n or v is None else str(v) for v, n in zip(r, number, strict=False)) for r in body]
     return spark.createDataFrame(data, schema)
+
+
+# Headers of workbooks and the columns of a table of runs.
+RUN_HEADERS = {
+    "DATE": "run_date", "Experiment Name": "experiment_name", "SAMPLE (n)": "sample_n", "MODEL": "model", "Prompt Version": "prompt_version", "Temperature": "temperature",
+    "Doc Type Accuracy": "doc_type_accuracy", "Subtype Accuracy": "subtype_accuracy", "Subtype Accuracy (equiv)": "subtype_accuracy_equiv", "Average Confidence": "average_confidence",
+    "Rows Completed": "rows_completed", "Rows Failed": "rows_failed", "Subtype Accuracy CI (lo)": "subtype_ci_lo", "Subtype Accuracy CI (hi)": "subtype_ci_hi",
+    "Failures: n Failed": "failures_n", "Cost Estimated USD": "cost_estimated_usd", "Overall Extraction": "overall_extraction",
+}
+
+
+def run_table(frame: DataFrame) -> DataFrame:
+    """A workbook's sheet or an export as a table of runs: known headers get its column names,
+    others stay; ``result_id`` numbers the rows if there is none."""
+    out = frame.withColumnsRenamed({h: c for h, c in RUN_HEADERS.items() if h in frame.columns})
+    words = {"run_date", "experiment_name", "model", "prompt_version"}
+    kinds = dict(out.dtypes)  # an empty column of a sheet or a CSV file is text
+    measures = [c for c in out.columns if kinds[c] == "string" and (c in RUN_HEADERS.values() and c not in words or c.startswith(("Accuracy: ", "Failures: ")))]
+    out = out.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in measures})
+    out = out.withColumns({c: F.col(c).cast("bigint") for c in ("sample_n", "rows_completed", "rows_failed", "failures_n") if c in out.columns})
+    if "result_id" not in out.columns:
+        out = out.withColumn("result_id", F.monotonically_increasing_id())
+    if "run_date" in out.columns:
+        out = out.withColumn("run_date", F.try_to_timestamp(F.col("run_date").cast("string")))
+    return out
+
+
+def read_runs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A table of runs from Parquet, CSV, a workbook (sheet Eval Results) or a run log in lines
+    of JSON, by the ending of ``path``; of a log the sorter's runs, or the extractor's if
+    ``kind`` is extraction."""
+    from gaugeworks.operators.export import export_frame, extraction_columns, sorter_columns
+    from gaugeworks.taxonomy import EXTRACTION_TASK, SORTER_TASK
+
+    low = path.lower()
+    if low.endswith(".xlsx"):
+        return run_table(read_sheet(spark, path, "Eval Results"))
+    if low.endswith(".csv"):
+        return run_table(spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"'))
+    if low.endswith((".jsonl", ".json")):
+        extraction = kind == "extraction"
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        return run_table(export_frame(lines, "value", extraction_columns() if extraction else sorter_columns(), task=EXTRACTION_TASK if extraction else SORTER_TASK))
+    return run_table(spark.read.parquet(path))

@@ -88,6 +88,10 @@ def test_trace_source(spark, server, tmp_path):
     assert traces.available(server) and not traces.available("http://127.0.0.1:9")
     assert main(["sync", server, str(tmp_path / "runs")]) == 0
     assert spark.read.parquet(str(tmp_path / "runs")).first().n_rows == 6
+    sheet = logs.read_sheet(spark, str(tmp_path / "runs.xlsx"), "Eval Results").first()
+    assert (sheet["Experiment Name"], sheet["SAMPLE (n)"], sheet["Subtype Accuracy"]) == ("s1", 6.0, 0.6667)
+    assert logs.read_codebook(spark, str(tmp_path / "runs-codebook.csv")).count() == 114
+    assert len(traces.TraceReader({"url": server, "page_size": "2"}).partitions()) == 1  # one task keeps the interval
 
 
 def test_report_and_commands(spark, tmp_path):
@@ -139,3 +143,80 @@ def test_config(tmp_path, monkeypatch):
     assert TraceConfig.load(str(tmp_path / "none")) is None
     (tmp_path / "p.yaml").write_text("profiles:\n  sorter:\n    doc_bundle: contracts\n")
     assert load_profiles({"sorter": {"tasks": ["t"]}}, str(tmp_path / "p.yaml"))["sorter"] == {"tasks": ["t"], "doc_bundle": "contracts"}
+
+
+def test_runs_from_every_kind_of_file(spark, tmp_path):
+    from gaugeworks.operators import export
+
+    def record(i, task="subtype_classification"):
+        score = {"subtype_accuracy": 0.9 - i / 10, "failure_insights": {"n_failed": i, "mode_counts": {"family_confusion": i}}, "per_subtype": {"license": {"accuracy": 0.5 + i / 10}}}
+        return {"task": task, "experiment_name": f"run{i}", "model": f"m{i % 2}", "prompt_version": f"sorter_v{i % 2}", "timestamp": f"2025-01-0{i + 1}T00:00:00Z", "n_rows": 40 + i, "scores": {"sorter": score, "overall_extraction_score": 0.5}}
+
+    (tmp_path / "log.jsonl").write_text("\n".join([json.dumps(record(i)) for i in range(4)] + ["", json.dumps(record(5, "contract_entity_extraction"))]))
+    log = str(tmp_path / "log.jsonl")
+    assert main(["export", log, str(tmp_path / "sorter.xlsx")]) == 0 and main(["export", log, str(tmp_path / "sweep"), "--kind", "sweep"]) == 0
+    assert main(["export", log, str(tmp_path / "ex.xlsx"), "--kind", "extraction"]) == 0
+    assert logs.read_sheet(spark, str(tmp_path / "ex.xlsx"), "Eval Results").first()["Experiment Name"] == "run5"
+    back = logs.read_sheet(spark, str(tmp_path / "sweep" / "model_sweep.xlsx"), "Eval Results")
+    assert sorted(r["Experiment Name"] for r in back.collect()) == ["run0", "run2"]
+    for path in (log, str(tmp_path / "sorter.xlsx")):
+        assert main(["analyze", path, "--out", str(tmp_path / "r.md"), "--target", "0.95"]) == 0
+        text = (tmp_path / "r.md").read_text()
+        assert "run0 with 90.0 %" in text and "5.0 % short" in text and "only 40 documents" in text and "family_confusion leads with 6 of 6" in text and "weakest is license" in text
+        assert all(f"## {t}" in text for t in ("Leaders", "Models", "Failure modes", "Subtypes", "Hotspots", "Reliability", "Regressions"))
+    assert main(["analyze", log, "--kind", "extraction", "--out", str(tmp_path / "r.md")]) == 0 and "run5 with 50.0 %" in (tmp_path / "r.md").read_text()
+    lines = spark.read.text(log).selectExpr("monotonically_increasing_id() id", "value")
+    noted = export.sweep_frame(lines, "value", "id", notes={"run2": "again"}).collect()
+    assert {r["Experiment Name"]: r["Notes"] for r in noted} == {"run0": None, "run2": "again"}
+    assert export.sweep_frame(lines.limit(0), "value", "id").count() == 0
+
+
+def test_single_reads_spans_and_score_sink(spark, tmp_path):
+    import io
+    import urllib.error
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    sent = []
+
+    def opener(request, timeout=None):
+        url = request if isinstance(request, str) else request.full_url
+        if "spans" in url:
+            return Answer(json.dumps({"data": [{"name": "a", "context": {"span_id": "1", "trace_id": "t"}, "status_code": "OK"}, {"name": "b", "span_id": "2", "status": "ERROR"}]}).encode())
+        return Answer(b'{"id": "x y"}')
+
+    def down(request, timeout=None):
+        raise urllib.error.URLError("down")
+
+    assert traces.one("http://h", "sessions", "x y", opener=opener) == {"id": "x y"}
+    rows = traces.spans(spark, "http://h", "p q", opener=opener).orderBy("name").collect()
+    assert [(r.span_id, r.trace_id, r.status) for r in rows] == [("1", "t", "OK"), ("2", None, "ERROR")]
+    assert traces.spans(spark, "http://h", "p", limit=1, opener=opener).count() == 1 and traces.spans(spark, "http://h", "p", opener=down) is None
+    scores = spark.createDataFrame([("t1", "m", 1.0, None), ("t2", "m", 2.0, "c"), (None, "m", 3.0, None)], "trace_id string, name string, value double, comment string")
+
+    def post(url, auth, body):
+        if json.loads(body)["traceId"] == "t1":
+            raise OSError("refused")
+
+    assert traces.send_scores(scores, "http://h", None) == 0
+    assert traces.send_scores(scores, "http://h", ("a", "b"), post) == 1 and not sent
+
+
+def test_manifest_checks_metrics_before_writing(spark, tmp_path):
+    metrics = spark.createDataFrame([("m", 0)], "name string, tier int")
+    scores = spark.createDataFrame([("a", "m", 1.0), ("a", "n", 2.0)], "agent string, metric string, value_num double")
+    with pytest.raises(ValueError, match="n"):
+        logs.emit_scores(scores, metrics, str(tmp_path / "m"))
+    assert not (tmp_path / "m").exists()
+    logs.emit_scores(scores.where("metric = 'm'"), metrics, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first().value == '{"agent":"a","metric":"m","value_num":1.0}'
+    assert logs.read_scores(spark, str(tmp_path / "m")).first().metric == "m"
+
+
+def test_sheet_bound(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s.xlsx")
+    logs.write_workbook(path, spark.range(5).toDF("x"), "S")
+    monkeypatch.setattr(logs, "SHEET_LIMIT", 4)
+    with pytest.raises(ValueError, match="more than"):
+        logs.read_sheet(spark, path, "S")
