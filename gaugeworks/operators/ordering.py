@@ -36,7 +36,7 @@ def with_lag(df: DataFrame, part: str, block: Column, order: list[Column], value
     last = F.max_by(value, F.struct(*[_ascending(c) for c in order]))
     ends = rows.groupBy(part, "__block").agg(last.alias("__end"))
     ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(part).orderBy("__block"))).where("__end is not null")
-    return near.join(ends, [part, "__block"], "left").withColumn(out, F.coalesce(out, "__end")).drop("__block", "__end")
+    return near.join(ends, [part, "__block"], "left").select(*df.columns, F.coalesce(out, "__end").alias(out))
 
 
 def _ascending(key: Column) -> Column:

@@ -74,21 +74,21 @@ def _(spark, base):
 
 @query("workbook_sheet", "SELECT site_id::DOUBLE site_id, site_name, tz_name, locale, duration_unit, date_scale FROM sites")
 def _(spark, base):
-    path = f"{fresh_path(spark, 'book')}.xlsx"
+    path = f"{fresh_path(spark, 'book')}/book.xlsx"
     logs.write_workbook(path, table(spark, base, "sites"), "Sites", [("a", "b", "c", "d", "e")])
     return logs.read_sheet(spark, path, "SITES")
 
 
 @query("workbook_codebook", "SELECT column_name AS \"column\", CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE 'int' END AS type FROM (DESCRIBE sites)")
 def _(spark, base):
-    path, sites = f"{fresh_path(spark, 'book')}.xlsx", table(spark, base, "sites")
+    path, sites = f"{fresh_path(spark, 'book')}/book.xlsx", table(spark, base, "sites")
     logs.write_workbook(path, sites, "Sites", [(f.name, f.dataType.simpleString(), "", "", "") for f in sites.schema])
     return logs.read_sheet(spark, path, "Codebook").select("column", "type")
 
 
 @query("codebook_file", "SELECT site_name AS \"column\", tz_name AS type, 'says \"' || locale || '\", in' || chr(10) || 'two lines' AS description FROM sites")
 def _(spark, base):
-    path = f"{fresh_path(spark, 'codebook')}.csv"
+    path = f"{fresh_path(spark, 'codebook')}/codebook.csv"
     sites = bounded_rows(table(spark, base, "sites"), 10_000, "sites")
     logs.write_codebook(path, [(r.site_name, r.tz_name, f'says "{r.locale}", in\ntwo lines', "", "") for r in sites], spark)
     return logs.read_codebook(spark, path).select("column", "type", "description")

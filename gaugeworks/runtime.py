@@ -25,6 +25,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, str(path.relative_to(root.parent)))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     context.addPyFile(str(target))
     context._gaugeworks_shipped = True
 
