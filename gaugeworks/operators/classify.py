@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.labels import equivalent_subclasses, flag, normalize_answer, normalize_consideration, normalize_label
-from gaugeworks.taxonomy import CONSIDERATIONS, ERROR_PREFIX
+from gaugeworks.taxonomy import CONSIDERATIONS, ERROR_PREFIX, TASK_KINDS
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -98,6 +98,37 @@ def score_task(df: DataFrame, task: str, by: list[str], expected: str = "expecte
     return exact.join(macro, by) if by else exact.crossJoin(F.broadcast(macro))  # both are one row without groups
 
 
+#: The label that counts as positive in yes/no tasks.
+POSITIVE = "yes"
+
+
+def task_frames(df: DataFrame, task: str, by: list[str], expected: str = "expected", predicted: str = "predicted", k: int = 5, digits: int | None = None) -> dict[str, DataFrame]:
+    """Everything a task is scored by, as frames per group: overall (n, exact match and macro
+    accuracy; for several classes micro accuracy, which is the exact match), per_class,
+    confusion and top_confusions (of all groups together), and binary for yes/no tasks.
+
+    Tasks of documents' classes have a second level: see :func:`hierarchical`. Chained runs
+    and clause tasks have no pairs of labels and are an error here.
+    """
+    kind = TASK_KINDS.get(task, task)
+    if kind in ("chained", "contracteval"):
+        raise ValueError(f"{task} isn't scored by pairs of labels")
+    pairs = df.withColumns({"__e": normalize_answer(task, F.col(expected)), "__p": normalize_answer(task, F.col(predicted))})
+    overall = score_task(df, task, by, expected, predicted)
+    if digits is not None:
+        overall = overall.withColumns({c: F.round(c, digits) for c in ("exact_match", "macro_accuracy")})
+    if kind == "multiclass":
+        overall = overall.withColumn("micro_accuracy", F.col("exact_match"))
+    cells = confusion(pairs, by, "__e", "__p").withColumnsRenamed({"__e": "expected", "__p": "predicted"})
+    classes = per_class(pairs, by, "__e", "__p").withColumnRenamed("__e", "class")
+    frames = {"overall": overall, "per_class": classes, "confusion": cells}
+    together = cells.groupBy("expected", "predicted").agg(F.sum("n").alias("n")) if by else cells
+    frames["top_confusions"] = top_confusions(together, k)
+    if kind == "legalbench":
+        frames["binary"] = binary(pairs, by, "__e", "__p", POSITIVE, digits)
+    return frames
+
+
 def hierarchical(df: DataFrame, by: list[str], doc: tuple[str, str], sub: tuple[str, str]) -> DataFrame:
     """Accuracy of class, subclass (strict and with equivalents) and of both at once."""
     de, dp = (normalize_label(F.col(c)) for c in doc)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import bare, clause_covered, jaccard, said_no_related
 from gaugeworks.operators.classify import ratio, with_rates
+from gaugeworks.operators.quantiles import at_ranks
 from gaugeworks.taxonomy import POSITIVE_DENOMINATOR
 
 
@@ -46,17 +47,6 @@ def clause_metrics(rows: DataFrame, by: list[str], denominator: int | None = POS
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The value at position n div 2 (from 0) of each group's non-null values in order.
-
-    Values are counted first, so a group is as large as its number of distinct values; the
-    position is found by a running sum over those.
-    """
-    from pyspark.sql import Window
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.withColumn("__end", F.sum("__n").over(run))
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    both = summed.join(totals, by) if by else summed.crossJoin(F.broadcast(totals))  # totals is one row then
-    at = F.floor(F.col("__all") / 2)
-    return both.where((F.col("__end") > at) & (F.col("__end") - F.col("__n") <= at)).select(*by, F.col(value).alias(f"{value}_median"))
+    """The value at position n div 2 (from 0) of each group's values in order; groups of any
+    size, see :mod:`gaugeworks.operators.quantiles`. Groups without a value are left out."""
+    return at_ranks(rows, by, value, {f"{value}_median": F.floor(F.col("n") / 2)}).drop("n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.parse import parse_date, parse_duration, parse_money
 from gaugeworks.operators.classify import ratio
+from gaugeworks.operators.quantiles import with_medians
 
 
 def error_classes(df: DataFrame, by: list[str], score: str = "field_score") -> DataFrame:
@@ -25,11 +26,12 @@ def presence(df: DataFrame, by: list[str], value: str = "predicted") -> DataFram
 def errors(pairs: DataFrame, by: list[str], pred: str = "p", exp: str = "e") -> DataFrame:
     """n, mean and median absolute error, and the coefficient of determination of raw
     predictions (null below two pairs or without variance) of pairs where both are known."""
-    rows = pairs.where(F.col(pred).isNotNull() & F.col(exp).isNotNull())
     d = F.abs(F.col(pred) - F.col(exp))
+    rows = pairs.where(F.col(pred).isNotNull() & F.col(exp).isNotNull()).select(*by, pred, exp, d.alias("__d"))
     total = F.count("*") * F.var_pop(exp)
     r2 = F.when((F.count("*") >= 2) & (total > 0), 1 - F.sum(d * d) / total)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mae"), F.median(d).alias("median_ae"), r2.alias("r2"))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mae"), r2.alias("r2"))
+    return with_medians(totals, rows, by, {"__d": "median_ae"}).select(*by, "n", "mae", "median_ae", "r2")
 
 
 def date_pairs(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import failures
 from gaugeworks.operators.ordering import with_lag
+from gaugeworks.operators.quantiles import with_medians
 from gaugeworks.operators.stats import bootstrap, wilson
 from gaugeworks.taxonomy import FAILURE_MODES, SORTER_TASK
 
@@ -152,10 +153,12 @@ def highest(summary: DataFrame, value: str, key: str, k: int = 5) -> DataFrame:
 def reliability(df: DataFrame, metric: str, half: Column, n: str = "sample_n") -> DataFrame:
     """Sizes and half-widths of intervals over all runs, in one row."""
     rows = with_metric(df, metric).withColumn("__half", half)
-    return rows.agg(
-        F.count("*").alias("n_runs"), F.median(n).alias("median_n"), F.min(n).cast("double").alias("min_n"), F.median("__half").alias("median_ci_half"),
-        F.max("__half").alias("max_ci_half"), F.count("__half").alias("runs_with_ci"), F.try_divide(F.count("__half"), F.count("*")).alias("runs_with_ci_pct"),
+    totals = rows.agg(
+        F.count("*").alias("n_runs"), F.min(n).cast("double").alias("min_n"), F.max("__half").alias("max_ci_half"), F.count("__half").alias("runs_with_ci"),
+        F.try_divide(F.count("__half"), F.count("*")).alias("runs_with_ci_pct"),
     )
+    out = with_medians(totals, rows.select(n, "__half"), [], {n: "median_n", "__half": "median_ci_half"})
+    return out.select("n_runs", "median_n", "min_n", "median_ci_half", "max_ci_half", "runs_with_ci", "runs_with_ci_pct")
 
 
 def champion_version(df: DataFrame, version: str, metric: str, row_id: str, n: str = "sample_n") -> DataFrame:

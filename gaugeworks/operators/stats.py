@@ -164,6 +164,26 @@ def bootstrap(df: DataFrame, by: str, value: str, n_boot: int = 2000, alpha: flo
     return ready.select(by, "n", "mean", lo.alias("lo"), hi.alias("hi"), ((hi - lo) / 2).alias("half"))
 
 
+def bootstrap_drawn(df: DataFrame, by: str, value: str, order: str, most: int = 2_000, n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """n, mean, lo, hi of groups of up to ``most`` values, drawn one by one in the order of
+    ``order`` from a seeded generator, which gives the same figures as :func:`interval` on
+    the list. Larger groups and those below two values are left out; they are for
+    :func:`bootstrap`."""
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(by, v.alias("__v"), F.col(order).alias("__o"))
+    small = rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).withColumnRenamed(by, "__g")
+    listed = rows.join(small, F.col(by).eqNullSafe(F.col("__g"))).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__o", "__v"))).alias("__l"))
+
+    @F.arrow_udf("struct<lo: double, hi: double>")
+    def drawn(lists: pa.Array) -> pa.Array:
+        found = [interval(x, n_boot, alpha, seed) for x in lists.to_pylist()]
+        return pa.array([{"lo": lo, "hi": hi} for lo, hi in found], pa.struct([("lo", pa.float64()), ("hi", pa.float64())]))
+
+    values = F.transform("__l", lambda x: x["__v"])
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    return listed.select(by, F.size("__l").cast("bigint").alias("n"), mean.alias("mean"), drawn(values).alias("__ci")).select(by, "n", "mean", "__ci.*")
+
+
 def bootstrap_difference(df: DataFrame, side: str, a: str, b: str, by: str, value: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """delta, ci_lo, ci_hi and significant of side ``b`` against ``a`` per group, resampled as in
     :func:`bootstrap`; groups with a side below two values are left out."""

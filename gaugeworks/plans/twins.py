@@ -34,6 +34,7 @@ from gaugeworks.plans.reference import (
     q_words,
     query,
 )
+from gaugeworks.operators.quantiles import medians
 from gaugeworks.runtime import spread, table
 from gaugeworks.settings import Settings
 from gaugeworks.taxonomy import (
@@ -225,6 +226,43 @@ def _(spark, base):
     )
 
 
+_YES = lambda c: f"(coalesce({c}, false))"
+
+
+def _flags(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "sorter_rows").select("session", F.col("doc_type_ok").cast("string").alias("expected"), F.col("subtype_ok").cast("string").alias("predicted"))
+
+
+@query(
+    "task_binary",
+    f"""SELECT session, n, tp, fp, fn, tn, p AS precision, r AS recall, {_RATE('tp + tn', 'n')} accuracy, {_RATE('2 * p * r', 'p + r')} f1, {_RATE('5 * p * r', '4 * p + r')} f2
+    FROM (SELECT *, {_RATE('tp', 'tp + fp')} p, {_RATE('tp', 'tp + fn')} r FROM (
+      SELECT session, count(*) n, {big('count(*) FILTER (e AND p)')} tp, {big('count(*) FILTER (NOT e AND p)')} fp, {big('count(*) FILTER (e AND NOT p)')} fn, {big('count(*) FILTER (NOT e AND NOT p)')} tn
+      FROM (SELECT session, {_YES('doc_type_ok')} e, {_YES('subtype_ok')} p FROM {PAIRS}) GROUP BY session))""",
+)
+def _(spark, base):
+    return classify.task_frames(_flags(spark, base), "legalbench", ["session"], digits=4)["binary"]
+
+
+_SAID = lambda c: f"CASE WHEN {c} IS NULL THEN '' WHEN {c} THEN 'yes' ELSE 'no' END"
+
+
+@query("task_per_class", f"SELECT session, e AS class, count(*) n, {big('count(*) FILTER (e = p)')} correct, count(*) FILTER (e = p) / count(*)::DOUBLE accuracy FROM (SELECT session, {_SAID('doc_type_ok')} e, {_SAID('subtype_ok')} p FROM {PAIRS}) GROUP BY 1, 2")
+def _(spark, base):
+    return classify.task_frames(_flags(spark, base), "legalbench", ["session"])["per_class"]
+
+
+@query("task_overall", f"SELECT session, count(*) n, round(count(*) FILTER (e = p) / count(*)::DOUBLE, 4) exact_match FROM (SELECT session, {q_fold('expected_subtype')} e, {q_fold('contract_subtype')} p FROM {PAIRS} WHERE session IS NOT NULL) GROUP BY session")
+def _(spark, base):
+    rows = _pairs(spark, base).where("session is not null")
+    return classify.task_frames(rows, "maud_question", ["session"], digits=4)["overall"].select("session", "n", "exact_match")
+
+
+@query("medians", "SELECT l_returnflag, median(l_extendedprice) median_price FROM lineitem GROUP BY 1")
+def _(spark, base):
+    return medians(table(spark, base, "lineitem"), ["l_returnflag"], "l_extendedprice", "median_price")
+
+
 # -- text --------------------------------------------------------------------------
 _PIECE_GAP = "[ \\t\\n\\x0B\\f\\r]"
 _SENTENCE = f"'([A-Za-z)][.!?]){_PIECE_GAP}+([A-Z0-9\"(])', '\\1' || chr(1) || '\\2', 'g'"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import text
 from gaugeworks.operators import catalog, classify, export, fields, runs, stats
 from gaugeworks.operators.ordering import with_lag
+from gaugeworks.operators.quantiles import at_ranks, bucket_of, medians, with_medians
 from gaugeworks.settings import Settings
 
 
@@ -123,3 +124,41 @@ def test_texts(spark):
 def test_difference_needs_two_values_a_side(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 2.0), ("g", "b", 3.0), ("h", "a", None)], "g string, side string, v double")
     assert stats.bootstrap_difference(df, "side", "a", "b", "g", "v").count() == 0
+
+
+def test_order_statistics_against_sorting(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e9), rng.gauss(0, 1e-300), 0.0, -0.0, 5.0, float("inf"), -float("inf"), 1e-310]) for _ in range(301)]
+    rows = [("a", v) for v in values] + [(None, v) for v in values[:100]] + [("b", 7.0), ("n", None), ("n", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    keys = sorted(values)
+    got = [r.b for r in spark.createDataFrame([(i, v) for i, v in enumerate(keys)], "i int, v double").select("i", bucket_of(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got)
+    own = {r.g: (r.n, r.low, r.high) for r in at_ranks(df, ["g"], "v", {"low": F.lit(0), "high": F.col("n") - 1}).collect()}
+    assert own == {"a": (301, keys[0], keys[-1]), None: (100, min(values[:100]), max(values[:100])), "b": (1, 7.0, 7.0)}
+    middle = {r.g: r.m for r in medians(df, ["g"], "v", "m").collect()}
+    assert middle["a"] == statistics.median(values) and middle[None] == statistics.median(values[:100]) and middle["b"] == 7.0
+    totals = df.groupBy("g").agg(F.count("*").alias("rows"))
+    assert {r.g for r in with_medians(totals, df, ["g"], {"v": "m"}).where("m is null").collect()} == {"n"}
+    assert medians(df.limit(0), [], "v", "m").count() == 0 and with_medians(df.agg(F.count("*").alias("rows")), df.limit(0), [], {"v": "m"}).first().m is None
+
+
+def test_drawn_bootstrap_is_that_of_a_list(spark):
+    values = [0.1, 0.9, 0.4, 0.7, 0.2]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("one", 9, 1.0), ("g", 9, None)], "g string, o int, v double")
+    rows = stats.bootstrap_drawn(df.orderBy(F.rand(1)), "g", "v", "o", n_boot=300).collect()
+    assert len(rows) == 1 and (rows[0].lo, rows[0].hi) == stats.interval(values, n_boot=300) and rows[0].n == 5
+    assert stats.bootstrap_drawn(df, "g", "v", "o", most=4).count() == 0
+
+
+def test_frames_of_a_task(spark):
+    df = spark.createDataFrame([("s", "Yes", "y"), ("s", "No", "yes"), ("s", "1", "0"), ("s", None, "true")], "session string, expected string, predicted string")
+    frames = classify.task_frames(df, "legalbench", ["session"], digits=4)
+    assert frames["overall"].first().exact_match == 0.25 and frames["binary"].first().precision == 0.3333
+    assert {(r["class"], r.n, r.correct) for r in frames["per_class"].collect()} == {("yes", 2, 1), ("no", 1, 0), ("", 1, 0)}
+    assert frames["top_confusions"].count() == 3 and classify.task_frames(df, "multiclass", [])["overall"].first().micro_accuracy == 0.0
+    with pytest.raises(ValueError):
+        classify.task_frames(df, "chained", [])
