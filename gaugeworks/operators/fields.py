@@ -141,20 +141,23 @@ def score_documents(fields: DataFrame, doc: list[str], settings: Settings = Sett
 
 def audited_documents(fields: DataFrame, doc: list[str], settings: Settings = Settings(), element: str = "name") -> DataFrame:
     """(doc, audits, overall_verified_precision) of the fields that the model filled, for
-    documents with a text; columns as for :func:`score_documents`.
+    documents with a text; columns as for :func:`score_documents`, and optionally words, the
+    content words of the text, made once per document.
 
     A value or an item is true if it matches a label or stands in the text. Of a field that
     occurs twice in a document the counts are added up.
     """
     rows = fields.where(F.coalesce(F.col("text") != "", F.lit(False)))
+    if "words" not in fields.columns:
+        rows = rows.withColumn("words", content_tokens(tokens(F.col("text"))))
     has_lists = {"pred_items", "exp_items"} <= set(fields.columns)
     is_list = F.coalesce(F.col("pred_items").isNotNull() | F.col("exp_items").isNotNull(), F.lit(False)) if has_lists else F.lit(False)
     rows = rows.withColumn("__list", is_list).withColumn("__kind", F.coalesce("field_type", field_type(F.col("field"), F.col("__list"))))
-    scalars = audit_scalars(rows.where(~F.col("__list") & (stripped(F.coalesce("predicted", F.lit(""))) != "")), "__kind", "predicted", "expected", "text", settings)
+    scalars = audit_scalars(rows.where(~F.col("__list") & (stripped(F.coalesce("predicted", F.lit(""))) != "")), "__kind", "predicted", "expected", "text", settings, "words")
     true_ = F.greatest("matched_gt", "verified_in_doc")
     counts = scalars.select(*doc, "field", F.lit(1).alias("n_predicted"), "matched_gt", "verified_in_doc", true_.alias("true_items"))
     if has_lists:
-        items = rows.where("__list").select(*doc, "field", content_tokens(tokens(F.col("text"))).alias("__words"), F.coalesce("exp_items", F.array().cast("array<string>")).alias("__e"), F.explode("pred_items").alias("item"))
+        items = rows.where("__list").select(*doc, "field", F.col("words").alias("__words"), F.coalesce("exp_items", F.array().cast("array<string>")).alias("__e"), F.explode("pred_items").alias("item"))
         hit = score_lists(items.withColumn("__p", F.array(F.coalesce("item", F.lit("")))), "__p", "__e", F.lit(False), element, settings)
         hit = hit.withColumn("hit_gt", F.col("list_score.matched") > 0)
         one = audit_items(hit, "__words", "hit_gt", settings).select(
@@ -189,8 +192,10 @@ def verify_items(items: Column, doc_words: Column, coverage: float = 0.7) -> Col
     return let(doc_words, lambda d: F.transform(items, lambda i: grounded(content_tokens(tokens(i)), d, coverage)))
 
 
-def audit_scalars(df: DataFrame, kind: str, pred: str, exp: str, doc: str, settings: Settings = Settings()) -> DataFrame:
+def audit_scalars(df: DataFrame, kind: str, pred: str, exp: str, doc: str, settings: Settings = Settings(), doc_words: str | None = None) -> DataFrame:
     """``df`` with matched_gt, verified_in_doc and hallucinated of each populated field.
+    ``doc_words`` names a column with the content words of the text, if they were made once
+    per document.
 
     A value is true if it matches the label or stands in the document. Fields that the
     model left null or blank aren't audited (all three are 0).
@@ -198,7 +203,7 @@ def audit_scalars(df: DataFrame, kind: str, pred: str, exp: str, doc: str, setti
     scored = score_scalars(df, kind, pred, exp, "__score")
     given = stripped(F.coalesce(pred, F.lit(""))) != ""
     words = content_tokens(tokens(F.when(F.col(kind) == "date", prose_date(F.col(pred))).otherwise(F.col(pred))))
-    in_text = grounded(words, content_tokens(tokens(F.col(doc))), settings.coverage)
+    in_text = grounded(words, F.col(doc_words) if doc_words else content_tokens(tokens(F.col(doc))), settings.coverage)
     found = F.when(F.col(kind) == "date", date_grounded(parse_date(F.col(pred)), F.col(doc))).otherwise(in_text)
     match = F.coalesce((F.col(exp) != "") & (F.col("__score") >= settings.match), F.lit(False))
     step = scored.withColumns({"matched_gt": (given & match).cast("int"), "verified_in_doc": (given & found).cast("int")})

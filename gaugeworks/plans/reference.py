@@ -415,15 +415,18 @@ def _(spark, base):
 
 
 def _with_text(spark: SparkSession, base: str, how: str = "inner") -> DataFrame:
-    """Fields with the text of their document; in a left join, '' where there is none."""
+    """Fields with the text of their document and its content words, which are made once per
+    document; in a left join, '' and none where there is no text."""
     docs = table(spark, base, "documents").where("text is not null").select("filename", "text")
-    return spread(_typed(spark, base), "row_id").join(docs, "filename", how).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = spread(docs, "filename").withColumn("words", text.content_tokens(text.tokens(F.col("text"))))
+    found = _typed(spark, base).join(docs, "filename", how)
+    return found.withColumns({"text": F.coalesce("text", F.lit("")), "words": F.coalesce("words", F.array().cast("array<string>"))})
 
 
 @query("scalar_audit")
 def _(spark, base):
-    rows = _with_text(spark, base, "left").where("field <> 'parties'").select("row_id", F.coalesce("field_type", F.lit("name")).alias("kind"), "predicted", "expected", "text")
-    return fields.audit_scalars(rows, "kind", "predicted", "expected", "text").select("row_id", "matched_gt", "verified_in_doc", "hallucinated")
+    rows = _with_text(spark, base, "left").where("field <> 'parties'").select("row_id", F.coalesce("field_type", F.lit("name")).alias("kind"), "predicted", "expected", "text", "words")
+    return fields.audit_scalars(rows, "kind", "predicted", "expected", "text", doc_words="words").select("row_id", "matched_gt", "verified_in_doc", "hallucinated")
 
 
 @query(
@@ -433,13 +436,12 @@ def _(spark, base):
 )
 def _(spark, base):
     rows = _with_text(spark, base).where("predicted is not null")
-    words = text.content_tokens(text.tokens(F.col("text")))
-    return rows.select("row_id", fields.verify_items(F.array("predicted"), words)[0].alias("grounded"))
+    return rows.select("row_id", fields.verify_items(F.array("predicted"), F.col("words"))[0].alias("grounded"))
 
 
 @query("list_audit")
 def _(spark, base):
-    rows = _with_text(spark, base, "left").where("field = 'parties'").select("row_id", text.content_tokens(text.tokens(F.col("text"))).alias("words"), _items("expected").alias("e"), F.explode_outer(_items("predicted")).alias("item"))
+    rows = _with_text(spark, base, "left").where("field = 'parties'").select("row_id", "words", _items("expected").alias("e"), F.explode_outer(_items("predicted")).alias("item"))
     one = fields.score_lists(rows.withColumn("p", F.array_compact(F.array("item"))), "p", "e", F.lit(False)).withColumn("hit_gt", F.col("list_score.matched") > 0)
     return fields.audit_totals(fields.audit_items(one, "words", "hit_gt"), ["row_id"])
 

@@ -395,9 +395,10 @@ _DOC_KINDS = {"effective_date": "free_text", "term_length": "containment", "rene
 
 def _documents(spark: SparkSession, base: str) -> DataFrame:
     kinds, is_list = F.create_map(*[F.lit(x) for kv in _DOC_KINDS.items() for x in kv]), F.col("field") == "parties"
-    docs = table(spark, base, "documents").where("text is not null").select("filename", "text")
+    docs = spread(table(spark, base, "documents").where("text is not null").select("filename", "text"), "filename")
+    docs = docs.withColumn("words", text.content_tokens(text.tokens(F.col("text"))))
     rows = table(spark, base, _FIELDS).withColumns({"field_type": F.try_element_at(kinds, F.col("field")), "pred_items": F.when(is_list, _items("predicted")), "exp_items": F.when(is_list, _items("expected"))})
-    return spread(rows, "row_id").join(docs, "filename", "left")
+    return rows.join(docs, "filename", "left")
 
 
 _SCALAR = {k: f"round({_Q_SETTLED[k]}, 4)" for k in ("containment", "free_text", "id")}
