@@ -89,36 +89,39 @@ class Node:
         self.fields: dict[str, object] = {}
 
 
-def walk(record: dict, keys: set[str], map_keys: set[str], values: bool = True) -> list[Node]:
+def walk(record: dict, keys: set[str], map_keys: set[str], values: bool = True, fields: bool = True) -> list[Node]:
     """The nodes of one record in order of entry, numbered depth first without recursion;
-    plain values in lists have their numbers even where they aren't asked for."""
+    plain values in lists have their numbers even where they (``values``) or plain fields
+    (``fields``) aren't asked for."""
     clock, root = 1, Node("", "", RECORD, None, None, 1)
     found, stack = [root], [(root, iter(record.items()))]
     while stack:
         node, children = stack[-1]
         listed = node.kind in LISTS
         for key, x in children:
-            if node.kind == MAP or listed:
-                at, of = f"{node.path}[{key}]", node.table
-            else:
-                at, of = (f"{node.path}.{key}", f"{node.table}.{key}") if node.path else (key, key)
             inside: object = x
-            if isinstance(x, dict):
+            kind_of = x.__class__
+            if kind_of is dict:
                 kind = ENTRY if node.kind == MAP or listed else MAP if key in map_keys else ONLY if key in keys else OBJECT
-                at = f"{at}[0]" if kind == ONLY else at
-            elif isinstance(x, list):
+            elif kind_of is list:
                 kind = LIST
-            elif not listed and (inside := as_list(x)) is not None:
-                kind = LIST_TEXT
             elif listed:
+                if not values:
+                    clock += 2
+                    continue
                 kind = VALUE
+            elif kind_of is str and (x[:1] == "[" or x[:1].isspace()) and (inside := as_list(x)) is not None:
+                kind = LIST_TEXT
             else:
-                node.fields[key] = x
+                if fields:
+                    node.fields[key] = x
                 continue
+            if node.kind == MAP or listed:
+                at, of = f"{node.path}[{key}]", node.table
+            else:
+                at, of = (f"{node.path}.{key}", f"{node.table}.{key}") if node.path else (key, key)
+                at = f"{at}[0]" if kind == ONLY else at
             clock += 1
-            if kind == VALUE and not values:
-                clock += 1
-                continue
             child = Node(at, of, kind, None if listed else key, key if listed else None, clock)
             found.append(child)
             if kind == VALUE:
@@ -154,12 +157,27 @@ def link(nodes_: list[Node]) -> None:
 
 
 def _text(value: object) -> str | None:
-    return None if value is None else value if isinstance(value, str) else json.dumps(value)
+    return value if value is None or value.__class__ is str else json.dumps(value)
 
 
-def _typed(value: object) -> dict[str, str | None]:
-    kind = "null" if value is None else "text" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "number"
-    return {"value": _text(value), "type": kind}
+_TYPES = {type(None): "null", str: "text", bool: "boolean"}
+
+
+def _field_map(nodes_: list[Node], typed: bool) -> pa.Array:
+    """The plain fields of nodes as a map column, made of flat lists."""
+    offsets, names, texts, kinds = [0], [], [], []
+    for n in nodes_:
+        if n.fields:
+            names.extend(n.fields)
+            for v in n.fields.values():
+                texts.append(_text(v))
+                if typed:
+                    kinds.append(_TYPES.get(v.__class__, "number"))
+        offsets.append(len(names))
+    values = pa.array(texts, pa.string())
+    if typed:
+        values = pa.StructArray.from_arrays([values, pa.array(kinds, pa.string())], ["value", "type"])
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names, pa.string()), values)
 
 
 def _untyped(value: str | None, kind: str) -> object:
@@ -202,22 +220,20 @@ def gathered_list_keys(df: DataFrame, raw: str) -> set[str]:
     return {r[0] for r in bounded_rows(seen, LIST_KEYS_LIMIT, "keys that hold lists of objects")}
 
 
+_STRING, _LONG = ("string", pa.string()), ("bigint", pa.int64())
+# SQL type, and a function that makes the column of nodes
 _COLUMNS = {
-    "node": ("string", pa.string(), lambda n: n.path),
-    "parent": ("string", pa.string(), lambda n: n.entry),
-    "node_table": ("string", pa.string(), lambda n: n.table),
-    "kind": ("string", pa.string(), lambda n: n.kind),
-    "key": ("string", pa.string(), lambda n: n.key),
-    "pos": ("int", pa.int32(), lambda n: n.pos),
-    "up": ("bigint", pa.int64(), lambda n: n.up),
-    "pre": ("bigint", pa.int64(), lambda n: n.pre),
-    "post": ("bigint", pa.int64(), lambda n: n.post),
-    "texts": ("map<string,string>", pa.map_(pa.string(), pa.string()), lambda n: [(k, _text(v)) for k, v in n.fields.items()]),
-    "typed": (
-        "map<string,struct<value:string,type:string>>",
-        pa.map_(pa.string(), pa.struct([("value", pa.string()), ("type", pa.string())])),
-        lambda n: [(k, _typed(v)) for k, v in n.fields.items()],
-    ),
+    "node": (_STRING[0], lambda ns: pa.array([n.path for n in ns], _STRING[1])),
+    "parent": (_STRING[0], lambda ns: pa.array([n.entry for n in ns], _STRING[1])),
+    "node_table": (_STRING[0], lambda ns: pa.array([n.table for n in ns], _STRING[1])),
+    "kind": (_STRING[0], lambda ns: pa.array([n.kind for n in ns], _STRING[1])),
+    "key": (_STRING[0], lambda ns: pa.array([n.key for n in ns], _STRING[1])),
+    "pos": ("int", lambda ns: pa.array([n.pos for n in ns], pa.int32())),
+    "up": (_LONG[0], lambda ns: pa.array([n.up for n in ns], _LONG[1])),
+    "pre": (_LONG[0], lambda ns: pa.array([n.pre for n in ns], _LONG[1])),
+    "post": (_LONG[0], lambda ns: pa.array([n.post for n in ns], _LONG[1])),
+    "texts": ("map<string,string>", lambda ns: _field_map(ns, False)),
+    "typed": ("map<string,struct<value:string,type:string>>", lambda ns: _field_map(ns, True)),
 }
 
 
@@ -226,38 +242,34 @@ def _walked(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...], col
     source = df.select(F.col(row_id).alias("__rec"), F.col(raw).alias("__raw"))
     names = ["fields" if c in ("texts", "typed") else c for c in columns]
     schema = ", ".join([f"__rec {source.schema['__rec'].dataType.simpleString()}", *(f"{n} {_COLUMNS[c][0]}" for n, c in zip(names, columns, strict=True))])
+    fields = "fields" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = [_COLUMNS[c] for c in columns]
-        for batch in batches:
-            at, out, size = [], [[] for _ in makers], 0
-
-            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                arrays = [pa.array(values, kind) for values, (_, kind, _) in zip(out, makers, strict=True)]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *arrays], ["__rec", *names])
+        def made(ids: pa.Array, at: list[int], found: list[Node]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *(_COLUMNS[c][1](found) for c in columns)], ["__rec", *names])
 
+        for batch in batches:
+            at, out, size = [], [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if (record := whole_object(text)) is None:
                     continue
-                found = walk(record, keys, maps, not entries_only)
+                found = walk(record, keys, maps, not entries_only, fields)
                 found = [n for n in found if n.kind in ENTRIES] if entries_only else found
                 link(found)
-                for node in found:
-                    at.append(i)
-                    size += len(node.path)
-                    for values, (_, _, get) in zip(out, makers, strict=True):
-                        values.append(get(node))
-                    if size > FLUSH:
-                        yield made()
-                        at, out, size = [], [[] for _ in makers], 0
-            yield made()
+                at += [i] * len(found)
+                out += found
+                size += sum([len(n.path) for n in found])
+                if size > FLUSH:
+                    yield made(batch.column(0), at, out)
+                    at, out, size = [], [], 0
+            yield made(batch.column(0), at, out)
 
     return source.mapInArrow(run, schema).withColumnRenamed("__rec", row_id)
 
 
-def nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = (), fields: bool = True) -> DataFrame:
+def nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = (), fields: bool = True, links_only: bool = False) -> DataFrame:
     """One row per entry: ``row_id``, node, parent, node_table, pre, post and, if asked for,
-    its plain fields as text.
+    its plain fields as text; with ``links_only`` just ``row_id``, node and parent.
 
     node is the path, ``[i]`` after the key of a list, ``[key]`` after a key of ``map_keys``;
     null elements hold their position. parent is the nearest entry around it, '' for the
@@ -265,7 +277,8 @@ def nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = (),
     Lines that aren't whole JSON objects, null and blank lines have no nodes; a repeated
     line has its nodes under its own id. Other columns are left out.
     """
-    return _walked(df, row_id, raw, map_keys, ["node", "parent", "node_table", "pre", "post", *(["texts"] if fields else [])], True)
+    columns = ["node", "parent"] if links_only else ["node", "parent", "node_table", "pre", "post", *(["texts"] if fields else [])]
+    return _walked(df, row_id, raw, map_keys, columns, True)
 
 
 def all_nodes(df: DataFrame, row_id: str, raw: str, map_keys: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ MAP_KEYS = ("per_subtype",)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return nodes(table(spark, base, "experiment_log"), "rec_id", "raw", MAP_KEYS, fields=False).select("rec_id", "node", "parent")
+    return nodes(table(spark, base, "experiment_log"), "rec_id", "raw", MAP_KEYS, links_only=True)
 
 
 def p6_nodes(spark: SparkSession, base: str) -> DataFrame:
