@@ -97,23 +97,30 @@ def sketch(value: object) -> str:
     return f"#{int(math.log10(number)) if number > 0 and math.isfinite(number) else 0}"
 
 
-def paths_of(record: dict, skip: frozenset[str]) -> Iterator[tuple[str, str, str]]:
-    """(path, type, sketch) of every non-null value that counts, at any depth."""
-    stack = [("", iter(record.items()))]
+def marked_paths(record: dict, skip: frozenset[str], enter: bool) -> Iterator[tuple[str, str, str, bool]]:
+    """(path, type, sketch, skipped) of every non-null value at any depth; skipped tells that a
+    key of ``skip`` is on its path. Such values are passed over unless ``enter``."""
+    stack = [("", False, iter(record.items()))]
     while stack:
-        prefix, fields = stack[-1]
+        prefix, out, fields = stack[-1]
         for key, value in fields:
-            if value is None or key in skip:
+            skipped = out or key in skip
+            if value is None or skipped and not enter:
                 continue
             path = f"{prefix}{key}"
-            yield path, type_of(value), sketch(value)
+            yield path, type_of(value), sketch(value), skipped
             if isinstance(value, dict):
-                stack.append((f"{path}.", iter(value.items())))
+                stack.append((f"{path}.", skipped, iter(value.items())))
                 break
         else:
             stack.pop()
 
 
+def paths_of(record: dict, skip: frozenset[str]) -> Iterator[tuple[str, str, str]]:
+    """(path, type, sketch) of every value that counts."""
+    return (p[:3] for p in marked_paths(record, skip, False))
+
+
 def _alike(a: list[frozenset[str]], b: list[frozenset[str]]) -> np.ndarray:
     """Shared words of all words, for all pairs."""
     at = {w: k for k, w in enumerate(sorted(frozenset().union(*a, *b)))}
@@ -279,12 +286,13 @@ def _above(path: str) -> Iterator[str]:
         yield path
 
 
-def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip: tuple[str, ...] = SKIP, ordered: bool = True) -> DataFrame:
+def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip: tuple[str, ...] = SKIP, ordered: bool = True, whole: bool = False) -> DataFrame:
     """(stream, seq, file, schema): the paths of each file with type and sketch.
 
     Paths are gathered per Arrow batch first, so a file sends a row per path and task, not
     per record. A path of several types has them joined by ``|``.
-    Files without stream, seq or file are left out if ``ordered``.
+    Files without stream, seq or file are left out if ``ordered``. With ``whole`` there is
+    also a column everything, which holds the paths at and below the keys in ``skip`` too.
     """
     source = df.select(F.col(stream).alias("stream"), F.col(seq).alias("seq"), F.col(file).alias("file"), F.col(raw).alias("raw"))
     if ordered:
@@ -298,20 +306,27 @@ def file_schemas(df: DataFrame, stream: str, seq: str, file: str, raw: str, skip
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for s, q, f, text in rows:
                 if (record := whole_object(text)) is not None:
-                    for path, kind, look in paths_of(record, ignored):
-                        at = (s, q, f, path, kind)
+                    for path, kind, look, skipped in marked_paths(record, ignored, whole):
+                        at = (s, q, f, path, kind, skipped)
                         if look < seen.get(at, "\U0010ffff"):
                             seen[at] = look
-            columns = list(zip(*seen, strict=True)) if seen else [()] * 5
-            types = [batch.schema.field(i).type for i in range(3)] + [pa.string(), pa.string()]
+            columns = list(zip(*seen, strict=True)) if seen else [()] * 6
+            types = [batch.schema.field(i).type for i in range(3)] + [pa.string(), pa.string(), pa.bool_()]
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)] + [pa.array(list(seen.values()), pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["stream", "seq", "file", "path", "type", "look"])
-
-    rows = source.mapInArrow(run, f"stream {kinds['stream']}, seq {kinds['seq']}, file {kinds['file']}, path string, type string, look string")
-    per_path = rows.groupBy("stream", "seq", "file", "path").agg(
-        F.array_join(F.array_sort(F.collect_set("type")), "|").alias("type"), F.min("look").alias("look")
-    )
-    return per_path.groupBy("stream", "seq", "file").agg(F.array_sort(F.collect_list(F.struct("path", "type", "look"))).alias("schema"))
+            yield pa.RecordBatch.from_arrays(arrays, ["stream", "seq", "file", "path", "type", "skipped", "look"])
+
+    rows = source.mapInArrow(run, f"stream {kinds['stream']}, seq {kinds['seq']}, file {kinds['file']}, path string, type string, skipped boolean, look string")
+    types = lambda rule: F.array_join(F.array_sort(F.collect_set(F.when(rule, F.col("type")))), "|")
+    counts = ~F.col("skipped")
+    made = {"type": types(counts), "look": F.min(F.when(counts, F.col("look")))}
+    if whole:
+        made |= {"any_type": types(F.lit(True)), "any_look": F.min("look")}
+    per_path = rows.groupBy("stream", "seq", "file", "path").agg(*[c.alias(n) for n, c in made.items()])
+    schema = F.array_sort(F.collect_list(F.when(F.col("type") != "", F.struct("path", "type", "look"))))
+    out = [schema.alias("schema")]
+    if whole:
+        out.append(F.array_sort(F.collect_list(F.struct("path", F.col("any_type").alias("type"), F.col("any_look").alias("look")))).alias("everything"))
+    return per_path.groupBy("stream", "seq", "file").agg(*out)
 
 
 def schema_changes(schemas: DataFrame, words: Words = NO_WORDS) -> DataFrame:
@@ -319,6 +334,7 @@ def schema_changes(schemas: DataFrame, words: Words = NO_WORDS) -> DataFrame:
     its stream; ``schemas`` as from :func:`file_schemas`, ``words`` as known. First files have no changes, and
     neither have files without a whole record, which are passed over."""
     kind = schemas.schema["file"].dataType.simpleString()
+    schemas = schemas.where("stream is not null and seq is not null and file is not null and size(schema) > 0").select("stream", "seq", "file", "schema")
     order = with_previous(schemas, "stream", "seq")
     earlier = schemas.select("stream", F.col("seq").alias("prev_seq"), F.col("schema").alias("before"))
     pairs = (

@@ -21,9 +21,9 @@ RUN_WORDS = Words(
 )
 
 
-def _schemas(spark: SparkSession, base: str, skip: tuple[str, ...] = SKIP, ordered: bool = True) -> DataFrame:
+def _schemas(spark: SparkSession, base: str, whole: bool = False) -> DataFrame:
     log = table(spark, base, "experiment_log")
-    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", skip, ordered), "schemas")
+    return materialised(file_schemas(log, "stream_id", "file_seq", "file_id", "raw", SKIP, ordered=not whole, whole=whole), "schemas")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -35,8 +35,11 @@ def p5_table(spark: SparkSession, base: str) -> DataFrame:
 
     Renamings are those of the report. Below the keys that it leaves out, fields go by
     their own path: there keys such as subtypes are data, and would be taken for renamed.
+    Both come from one pass over the records.
     """
-    meaning = meanings(_schemas(spark, base, skip=(), ordered=False), schema_changes(_schemas(spark, base), RUN_WORDS))
+    schemas = _schemas(spark, base, whole=True)
+    everything = schemas.select("stream", "seq", "file", F.col("everything").alias("schema"))
+    meaning = meanings(everything, schema_changes(schemas, RUN_WORDS))
     return united(table(spark, base, "experiment_log"), ["rec_id", "file_id", "stream_id"], "raw", meaning)
 
 
