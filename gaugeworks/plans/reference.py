@@ -492,7 +492,8 @@ def _(spark, base):
 def _(spark, base):
     rows = _clauses(spark, base)
     mean = rows.groupBy("lang").agg(F.avg("jaccard").alias("jaccard_mean"))
-    return mean.join(clauses.upper_median(rows, ["lang"], "jaccard"), "lang", "left")
+    both = mean.join(clauses.upper_median(rows.where("lang is not null"), ["lang"], "jaccard"), "lang", "left")
+    return both.withColumn("jaccard_mean", F.round("jaccard_mean", 9))
 
 
 # -- diagnostics -------------------------------------------------------------------

@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | {"p7_found": messages.P7_SQL, "p7_kept": messages.P7_KEPT_SQL}
+    return reference.SQL | {"p7_found": messages.P7_SQL, "p7_kept": messages.P7_KEPT_SQL, "p6_found": nested.P6_SQL}

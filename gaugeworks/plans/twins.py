@@ -11,6 +11,7 @@ from gaugeworks.functions.similarity import jaro_winkler_udf
 from gaugeworks.operators import classify, clauses, export, failures, fields, runs, scorecard
 from gaugeworks.plans.reference import (
     _CELLS,
+    _CLAUSES,
     _FIELDS,
     _M,
     _OK,
@@ -419,7 +420,6 @@ def _(spark, base):
     return scored.select("extraction_id", F.size("field_scores").cast("bigint").alias("n_fields"), F.round("overall_score", 9).alias("overall_score"), F.array_join("ambiguous_fields", ",").alias("ambiguous"), "needs_review")
 
 
-_Q_GROUNDED = lambda item: f"len(i) > 0 AND len(d) > 0 AND len(list_intersect(i, d)) / greatest(len(i), 1)::DOUBLE >= 0.7".replace("i)", f"{item})")  # noqa: E731, F541
 _DOCS = f"{_FIELDS} f JOIN documents d ON d.filename = f.filename AND d.text <> ''"
 _AUDITED = " UNION ALL ".join(
     f"""SELECT extraction_id, field, 1 AS n, coalesce(s >= 0.6, false)::INT gt, (len(i) > 0 AND len(dw) > 0 AND len(list_intersect(i, dw)) / greatest(len(i), 1)::DOUBLE >= 0.7)::INT doc FROM (
@@ -478,6 +478,9 @@ def _partial(spark: SparkSession, base: str) -> DataFrame:
     return clauses.clause_rows(rows.select("doc_id", "lang", spans.alias("spans"), output.alias("output")))
 
 
+SQL["clause_jaccard"] = f"""
+    SELECT lang, round(avg(j), 9) jaccard_mean, CASE WHEN lang IS NOT NULL THEN list_sort(list(j) FILTER (j IS NOT NULL))[len(list(j) FILTER (j IS NOT NULL)) // 2 + 1] END jaccard_median
+    FROM ({_PARTIAL_ROWS.replace(_PARTIAL, _CLAUSES)}) GROUP BY lang"""
 _N = lambda o: big(f"count(*) FILTER (o = '{o}')")
 
 
