@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
+import subprocess
 import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -26,6 +28,32 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType, tas
     return rows if task is None else rows.where(F.col("task") == task)
 
 
+def default_log(variable: str = "GAUGEWORKS_LOG") -> str:
+    """Where run records go if no path is given: the environment's, else one below the home folder."""
+    return os.environ.get(variable) or os.path.join(os.path.expanduser("~"), ".gaugeworks", "runs.jsonl")
+
+
+def git_snapshot(folder: str = ".") -> dict[str, object]:
+    """Commit, branch and whether files are changed, of a work tree; empty outside one."""
+
+    def git(*words: str) -> str | None:
+        try:
+            done = subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, timeout=10, check=True)
+        except (OSError, subprocess.SubprocessError):
+            return None
+        return done.stdout.strip()
+
+    commit = git("rev-parse", "HEAD")
+    if commit is None:
+        return {}
+    return {"commit": commit, "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "changed": bool(git("status", "--porcelain"))}
+
+
+def record_day(timestamp: Column) -> Column:
+    """The UTC day of a record's ISO timestamp; null for other texts. The session's zone is UTC."""
+    return F.to_date(F.try_to_timestamp(timestamp))
+
+
 def append_records(df: DataFrame, path: str, timestamp: str = "timestamp") -> None:
     """Appends records as lines of JSON; a missing timestamp is now."""
     if timestamp in df.columns:

@@ -220,3 +220,22 @@ def test_sheet_bound(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(logs, "SHEET_LIMIT", 4)
     with pytest.raises(ValueError, match="more than"):
         logs.read_sheet(spark, path, "S")
+
+
+def test_snapshot_default_path_and_day(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    from pyspark.sql import functions as F
+
+    assert logs.git_snapshot(str(tmp_path)) == {}
+    for words in (["init", "-q"], ["-c", "user.name=n", "-c", "user.email=e", "commit", "-q", "--allow-empty", "-m", "x"]):
+        subprocess.run(["git", "-C", str(tmp_path), *words], check=True)
+    (tmp_path / "new").write_text("x")
+    found = logs.git_snapshot(str(tmp_path))
+    assert len(found["commit"]) == 40 and found["changed"] is True
+    monkeypatch.setenv("GAUGEWORKS_LOG", "/x/y.jsonl")
+    assert logs.default_log() == "/x/y.jsonl"
+    monkeypatch.delenv("GAUGEWORKS_LOG")
+    assert logs.default_log().endswith("runs.jsonl")
+    df = spark.createDataFrame([("2025-01-05T23:30:00-05:00",), ("soon",), (None,)], "t string")
+    assert [str(r.d) for r in df.select(logs.record_day(F.col("t")).alias("d")).collect()] == ["2025-01-06", "None", "None"]
