@@ -141,9 +141,10 @@ def export_frame(df: DataFrame, raw: str, columns: list[tuple[str, Column]], key
     return parsed.select(*(keys or []), *[c.alias(h) for h, c in columns])
 
 
-def sweep_frame(df: DataFrame, raw: str, row_id: str, version: str | None = None, notes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+def sweep_frame(df: DataFrame, raw: str, row_id: str, version: str | None = None, notes: dict[str, str] | DataFrame | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """The sorter's columns of the runs with the champion's prompt version, with a column
-    Notes where ``notes`` (by experiment name) are given.
+    Notes where ``notes`` (by experiment name) are given: a dict, or for any number of names a
+    frame of Experiment Name and Notes with one row a name.
 
     The champion has the highest subtype accuracy (missing counts as 0), then the most rows,
     then the smallest ``row_id``. Without any record the frame is empty.
@@ -155,10 +156,13 @@ def sweep_frame(df: DataFrame, raw: str, row_id: str, version: str | None = None
         wide = wide.join(F.broadcast(best), F.col("Prompt Version").eqNullSafe(F.col("__v")), "left_semi")  # one row
     else:
         wide = wide.where(F.col("Prompt Version") == version)
-    if not notes:
+    if isinstance(notes, DataFrame):
+        told = notes.select(F.col("Experiment Name").alias("__name"), "Notes")
+    elif notes:
+        told = F.broadcast(df.sparkSession.createDataFrame(sorted(notes.items()), "`__name` string, Notes string"))  # as many as the caller lists
+    else:
         return wide
-    told = df.sparkSession.createDataFrame(sorted(notes.items()), "`__name` string, Notes string")  # as many as the caller lists
-    return wide.join(F.broadcast(told), F.col("Experiment Name") == F.col("__name"), "left").drop("__name")
+    return wide.join(told, F.col("Experiment Name") == F.col("__name"), "left").drop("__name")
 
 
 def codebook(columns: list[tuple[str, Column]], frame: DataFrame) -> list[tuple[str, str, str, str, str]]:

@@ -614,10 +614,9 @@ _SWEEP_ROWS = f"""SELECT rec_id, {_SWEEP['Experiment Name']} AS "Experiment Name
 )
 def _(spark, base):
     log = table(spark, base, "experiment_log")
-    names = [r[0] for r in export.export_frame(log, "raw", export.sorter_columns()[1:2], task="subtype_classification").distinct().where("`Experiment Name` like 'loam%'").limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("too many experiments for a list of notes")
-    wide = export.sweep_frame(log, "raw", "rec_id", notes={n: f"seen {len(n)}" for n in names} or {"": ""})
+    names = export.export_frame(log, "raw", export.sorter_columns()[1:2], task="subtype_classification").where("`Experiment Name` like 'loam%'").distinct()
+    notes = names.withColumn("Notes", F.concat(F.lit("seen "), F.length("Experiment Name").cast("string")))
+    wide = export.sweep_frame(log, "raw", "rec_id", notes=notes)
     return wide.select("rec_id", "Experiment Name", "Prompt Version", "Subtype Accuracy", "Notes")
 
 

@@ -239,3 +239,16 @@ def test_snapshot_default_path_and_day(spark, tmp_path, monkeypatch):
     assert logs.default_log().endswith("runs.jsonl")
     df = spark.createDataFrame([("2025-01-05T23:30:00-05:00",), ("soon",), (None,)], "t string")
     assert [str(r.d) for r in df.select(logs.record_day(F.col("t")).alias("d")).collect()] == ["2025-01-06", "None", "None"]
+
+
+def test_sweep_notes_of_any_number_of_experiments(spark, tmp_path):
+    def raw(name, task="subtype_classification"):
+        return F.to_json(F.struct(F.lit(task).alias("task"), name.alias("experiment_name"), F.lit("sorter_v1").alias("prompt_version")))
+
+    many = spark.range(20_500).select(F.col("id").alias("rec_id"), raw(F.concat(F.lit("loam-é_"), (F.col("id") % 10_250 + 10_000).cast("string"))).alias("raw"))
+    few = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(30_000 + i).cast("bigint").alias("rec_id"), r.alias("raw")) for i, r in enumerate([raw(F.lit("quill_1")), raw(F.lit(None).cast("string")), raw(F.lit("loam_x"), "extraction"), F.lit('{"task"')])])).alias("r")).select("r.*")
+    many.union(few).write.parquet(str(tmp_path / "experiment_log.parquet"))
+    got = entry.queries()["sweep_with_notes"](spark, str(tmp_path))
+    assert got.columns == ["rec_id", "Experiment Name", "Prompt Version", "Subtype Accuracy", "Notes"]
+    assert {(r.Notes, r["count"]) for r in got.groupBy("Notes").count().collect()} == {("seen 12", 20_500), (None, 2)}
+    assert {r.rec_id for r in got.where("Notes is null").collect()} == {30_000, 30_001} and got.select("rec_id").distinct().count() == 20_502
