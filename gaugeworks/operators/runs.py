@@ -16,6 +16,10 @@ RUN_NAME = (
     r"^([a-z0-9.-]+?)_(?:(sorter|contracts_specialist|legalbench_task)_)??(v?\d+)(?:_([a-z]+))?(?:_(.+))?$"
 )
 FRAGMENT = r"(?:sorter|contracts_specialist|legalbench_task)_(v?\d+)"
+# RUN_NAME for the JVM as SQL reads it: only \n ends a line, and $ is the very end.
+_JVM_NAME = "(?d)" + RUN_NAME.removesuffix("$") + r"\z"
+# Fixed value: the space separators of Unicode, which SQL trims.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def display_model(slug: Column, names: dict[str, str]) -> Column:
@@ -29,12 +33,12 @@ def display_model(slug: Column, names: dict[str, str]) -> Column:
 def with_name_parts(df: DataFrame, name: str, names: dict[str, str] | None = None) -> DataFrame:
     """``df`` with model_slug, prompt_kind, version, dimension and suffix of a run's name; for
     other names the first word and any version fragment. Missing parts are null."""
-    raw = F.trim(F.coalesce(name, F.lit("")))
-    known = raw.rlike(RUN_NAME)
+    raw = F.trim(F.coalesce(name, F.lit("")), F.lit(_SPACES))
+    known = raw.rlike(_JVM_NAME)
     blank = lambda c: F.when(c != "", c)
-    part = lambda i: F.when(known, blank(F.regexp_extract(raw, RUN_NAME, i)))
-    slug = F.when(known, F.regexp_extract(raw, RUN_NAME, 1)).otherwise(blank(F.substring_index(raw, "_", 1)))
-    version = F.when(known, F.regexp_extract(raw, RUN_NAME, 3)).otherwise(blank(F.regexp_extract(raw, FRAGMENT, 1)))
+    part = lambda i: F.when(known, blank(F.regexp_extract(raw, _JVM_NAME, i)))
+    slug = F.when(known, F.regexp_extract(raw, _JVM_NAME, 1)).otherwise(blank(F.substring_index(raw, "_", 1)))
+    version = F.when(known, F.regexp_extract(raw, _JVM_NAME, 3)).otherwise(blank(F.regexp_extract(raw, FRAGMENT, 1)))
     return df.withColumns(
         {"model_slug": slug, "prompt_kind": part(2), "version": version, "dimension": part(4), "suffix": part(5), "friendly_model": display_model(slug, names or {})}
     )

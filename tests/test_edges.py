@@ -1,6 +1,7 @@
 """Sources, sinks, reports, the stream and the entry points."""
 
 import json
+import math
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -252,3 +253,13 @@ def test_sweep_notes_of_any_number_of_experiments(spark, tmp_path):
     assert got.columns == ["rec_id", "Experiment Name", "Prompt Version", "Subtype Accuracy", "Notes"]
     assert {(r.Notes, r["count"]) for r in got.groupBy("Notes").count().collect()} == {("seen 12", 20_500), (None, 2)}
     assert {r.rec_id for r in got.where("Notes is null").collect()} == {30_000, 30_001} and got.select("rec_id").distinct().count() == 20_502
+
+
+def test_frame_keys_of_odd_names_and_scores(spark, tmp_path):
+    found = {"m_v1\n": None, "m_v1\r": None, "m_v1_x\n": None, "m_v1_a_b\rc": "v1", "m_v1_a_b\u2028c": "v1", "\u00a0m_v1\u3000": "v1", "\tm_v1": None, "m_v1_a_b\nc": None, "x_sorter_v2\n": "v2"}
+    rows = [(i, name, "m", None, 1, 0.5) for i, name in enumerate(found)] + [(90, "m_v1", None, None, 1, float("nan")), (91, None, "m", None, 1, None)]
+    spark.createDataFrame(rows, "result_id bigint, experiment_name string, model string, run_date timestamp, sample_n bigint, subtype_accuracy double").write.parquet(str(tmp_path / "eval_results.parquet"))
+    got = {r.result_id: r for r in entry.queries()["frame_keys"](spark, str(tmp_path)).collect()}
+    assert {name: got[i].version for i, name in enumerate(found)} == found
+    assert {name: got[i].key for i, name in enumerate(found)} == {name: f"m_{v or '?'}" for name, v in found.items()}
+    assert math.isnan(got[90].percent) and got[90].key == "?_v1" and got[91].percent is None and got[0].percent == 50.0
